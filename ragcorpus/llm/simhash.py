@@ -115,6 +115,30 @@ def group_labels(fp: np.ndarray, radius: int) -> np.ndarray:
     return label
 
 
+def first_of_each_group(docs: DataFrame, radius: int = 4, words_per_shingle: int = 4, seed: int = 42) -> DataFrame:
+    """The rows of docs(doc_id, text, ...) that stand for their group: smallest doc_id, then smallest text.
+
+    Decided on fingerprints and text hashes alone; the texts are read a second time and joined with the ids that
+    go, so a text is never shuffled by a group's key. Exact copies of a row that stands for its group leave one.
+    """
+    own = docs.withColumn("_hash", F.xxhash64(F.col("doc_id"), F.col("text")))
+
+    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            values = np.array([simhash(t, words_per_shingle, seed) for t in part["text"]], np.uint64)
+            yield pd.DataFrame({"doc_id": part["doc_id"], "_hash": part["_hash"], "fp": values.view(np.int64)})
+
+    prints = save(own.select("doc_id", "_hash", "text").mapInPandas(batches, "doc_id long, _hash long, fp long"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_hash").alias("h"))).alias("best")
+    fps = prints.groupBy("fp").agg(best)
+    comps = connected_components(fingerprint_links(fps.select("fp"), radius))
+    named = fps.join(comps, F.col("fp") == F.col("node"), "left").select("best", F.coalesce("component", "fp").alias("component"))
+    kept = named.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.h").alias("_hash"))
+    found = own.join(save(kept), "_hash", "left_semi")
+    once = found.groupBy("_hash").agg(*[F.first(F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return once.select(*docs.columns)
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, words_per_shingle: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs.
 
