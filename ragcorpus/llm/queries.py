@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragcorpus.llm import fingerprints, packing, pii, sharding, simhash, token_counts, toxicity
+from ragcorpus.llm import fingerprints, packing, pii, pq_dedup, sharding, simhash, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op1_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,6 +53,7 @@ def op10_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kd_tree_sharding": op1_kd_tree_sharding,
+    "op2_pq_near_dedup": op2_pq_near_dedup,
     "op5_toxicity_trees": op5_toxicity_trees,
     "op6_bottom_k_fingerprints": op6_bottom_k_fingerprints,
     "op7_best_fit_packing": op7_best_fit_packing,
