@@ -2,18 +2,21 @@
 
 A text is cut before every single space that a non-space follows. The pattern of the vocabulary always starts a
 match there, and no match reaches over such a place, so the ids of the pieces, one after another, are the ids of the
-text. A text with white space at the start of a piece (runs of spaces, a space before a newline) is encoded whole.
+text.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
+import numpy as np
 import tiktoken
 
-#: A worker forgets its pieces beyond this number, which bounds its memory.
-CACHE_PIECES = 600_000
+#: A worker forgets its pieces beyond this number, and keeps none longer than this, which bounds its memory.
+CACHE_PIECES, CACHE_CHARS = 600_000, 64
+_CUT = re.compile(r"(?= \S)")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,14 +42,13 @@ def token_bytes(path: str) -> list[bytes]:
     return table
 
 
-def pieces(text: str) -> list[str] | None:
-    """text cut before single spaces, or None where a piece would start with white space."""
+def pieces(text: str) -> list[str]:
+    """text cut before single spaces that a non-space follows."""
     parts = text.split(" ")
-    out = [parts[0], *[" " + p for p in parts[1:]]]
-    for p in parts[1:]:
-        if not p or p[0].isspace():
-            return None
-    return out
+    for p in parts:
+        if not p or p[0].isspace():  # white space in runs
+            return [p for p in _CUT.split(text) if p]
+    return [parts[0], *[" " + p for p in parts[1:]]]
 
 
 class _Cache(dict):
@@ -55,11 +57,11 @@ class _Cache(dict):
         self.encode, self.dtype = enc.encode_ordinary, dtype
 
     def __missing__(self, piece: str) -> bytes:
-        import numpy as np
-
-        if len(self) >= CACHE_PIECES:
-            self.clear()
-        found = self[piece] = np.array(self.encode(piece), self.dtype).tobytes()
+        found = np.array(self.encode(piece), self.dtype).tobytes()
+        if len(piece) <= CACHE_CHARS:
+            if len(self) >= CACHE_PIECES:
+                self.clear()
+            self[piece] = found
         return found
 
 
@@ -70,13 +72,4 @@ def cache(path: str, dtype: str) -> _Cache:
 
 def encode_bytes(text: str | None, known: _Cache) -> bytes:
     """The ids of a text as flat bytes of the cache's dtype."""
-    import numpy as np
-
-    if not text:
-        return b""
-    parts = text.split(" ")
-    for p in parts:
-        if not p or p[0].isspace():
-            return np.array(known.encode(text), known.dtype).tobytes()
-    get = known.__getitem__
-    return get(parts[0]) + b"".join([get(" " + p) for p in parts[1:]])
+    return b"".join(map(known.__getitem__, pieces(text))) if text else b""

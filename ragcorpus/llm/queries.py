@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ragcorpus.llm import fingerprints, packing, pii, pq_dedup, sharding, simhash, token_counts, toxicity
+from ragcorpus.llm import bpe, fingerprints, packing, pii, pq_dedup, sharding, simhash, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,13 @@ def op2_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), path)
+    both = encoded.withColumn("decoded", bpe.decoded(F.col("ids"), path))
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,6 +62,7 @@ def op10_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kd_tree_sharding": op1_kd_tree_sharding,
     "op2_pq_near_dedup": op2_pq_near_dedup,
+    "op3_bpe_round_trip": op3_bpe_round_trip,
     "op5_toxicity_trees": op5_toxicity_trees,
     "op6_bottom_k_fingerprints": op6_bottom_k_fingerprints,
     "op7_best_fit_packing": op7_best_fit_packing,
