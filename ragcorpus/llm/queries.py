@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragcorpus.llm import bpe, fingerprints, packing, pii, pq_dedup, sharding, simhash, token_counts, toxicity
+from ragcorpus.llm import bpe, fingerprints, html_crf, packing, pii, pq_dedup, sharding, simhash, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_html_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kd_tree_sharding": op1_kd_tree_sharding,
     "op2_pq_near_dedup": op2_pq_near_dedup,
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op4_html_field": op4_html_field,
     "op5_toxicity_trees": op5_toxicity_trees,
     "op6_bottom_k_fingerprints": op6_bottom_k_fingerprints,
     "op7_best_fit_packing": op7_best_fit_packing,
