@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled pages that the field is trained on.
-PAGES = 200
+PAGES = 300
 
 _TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
@@ -203,7 +203,7 @@ class Field:
             return [self.names.setdefault(f, len(self.names)) for f in features]
         return [self.names[f] for f in features if f in self.names]
 
-    def fit(self, pages: list[list[Block]], rounds: int = 60, rate: float = 0.25, l2: float = 0.02) -> Field:
+    def fit(self, pages: list[list[Block]], rounds: int = 200, rate: float = 0.1, l2: float = 0.01) -> Field:
         ids = [[self._ids([*b.path, *text_features(b, i, len(p))], True) for i, b in enumerate(p)] for p in pages]
         most, width = max(map(len, pages)), len(self.names)
         x = np.zeros((len(pages), most, width), np.float32)
