@@ -13,7 +13,8 @@ from ragcorpus.plans.tables import BM25_SQL, BONUS_SQL, DENSE_SQL, HITS_SQL, KNN
 
 
 def six(name: str) -> Column:
-    return F.round(name, 6).alias(name)
+    """Six places of a value that is rounded to nine: the small addend decides halves alike in every engine."""
+    return F.round(F.col(name) + 1e-10, 6).alias(name)
 
 
 @query(r"""SELECT doc_id, len(t)::INTEGER AS n_tokens, len(list_distinct(t))::INTEGER AS n_distinct FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS t FROM documents)""")
@@ -22,7 +23,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"))
 
 
-@query(f"WITH {BM25_SQL} SELECT term, df, round(idf, 6) AS idf FROM terms")
+@query(f"WITH {BM25_SQL} SELECT term, df, round(idf + 1e-10, 6) AS idf FROM terms")
 def bm25_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_bm25_index(chunks(spark, sf_dir)).terms.select("term", "df", six("idf"))
 
@@ -32,27 +33,27 @@ def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_bm25_index(chunks(spark, sf_dir)).postings.select(F.col("chunk_id").alias("doc_id"), "term", "tf", "dl")
 
 
-@query(f"WITH {BM25_SQL} SELECT query_id, doc_id, round(score, 6) AS score FROM scores")
+@query(f"WITH {BM25_SQL} SELECT query_id, doc_id, round(score + 1e-10, 6) AS score FROM scores")
 def bm25_all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_scores(build_bm25_index(chunks(spark, sf_dir)), questions(spark, sf_dir)).select("query_id", F.col("chunk_id").alias("doc_id"), six("score"))
 
 
-@query(f"WITH {TOPK_SQL} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM topk")
+@query(f"WITH {TOPK_SQL} SELECT query_id, rank, doc_id, round(score + 1e-10, 6) AS score FROM topk")
 def bm25_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk(spark, sf_dir).select("query_id", "rank", "doc_id", six("score"))
 
 
-@query(f"WITH {KNN_SQL} SELECT query_id, rank, chunk_id, round(distance, 6) AS distance FROM near WHERE rank <= 20")
+@query(f"WITH {KNN_SQL} SELECT query_id, rank, chunk_id, round(distance + 1e-10, 6) AS distance FROM near WHERE rank <= 20")
 def knn_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.knn(vectors(spark, sf_dir), query_vectors(spark, sf_dir)).select("query_id", "rank", "chunk_id", six("distance"))
 
 
-@query(f"WITH {KNN_SQL} SELECT query_id, rank, chunk_id, round(round(1 - distance / sqrt(2.0), 9), 6) AS score FROM near WHERE rank <= 20")
+@query(f"WITH {KNN_SQL} SELECT query_id, rank, chunk_id, round(round(1 - distance / sqrt(2.0), 9) + 1e-10, 6) AS score FROM near WHERE rank <= 20")
 def knn_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.knn(vectors(spark, sf_dir), query_vectors(spark, sf_dir), with_score=True).select("query_id", "rank", "chunk_id", six("score"))
 
 
-@query(f"WITH {KNN_SQL} SELECT query_id, rank, chunk_id, round(distance, 6) AS score FROM near WHERE rank <= 5")
+@query(f"WITH {KNN_SQL} SELECT query_id, rank, chunk_id, round(distance + 1e-10, 6) AS score FROM near WHERE rank <= 5")
 def knn_by_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.knn_by_vector(vectors(spark, sf_dir), query_vectors(spark, sf_dir)).select("query_id", "rank", "chunk_id", six("score"))
 
@@ -86,7 +87,7 @@ fused AS (SELECT query_id, content, round(sum(part), 9) AS score, min((arm, firs
 rrf AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best)::INTEGER AS rank, best[3] AS doc_id, content, score FROM fused)"""
 
 
-@query(f"WITH {RRF_SQL} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM rrf")
+@query(f"WITH {RRF_SQL} SELECT query_id, rank, doc_id, round(score + 1e-10, 6) AS score FROM rrf")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.rrf(*_arms(spark, sf_dir)).select("query_id", "rank", F.col("chunk_id").alias("doc_id"), six("score"))
 
@@ -103,7 +104,7 @@ def hybrid(spark: SparkSession, sf_dir: str, scorer: object = None, strategy: st
     return fusion.retrieve(own, asked, index, strategy, scorer=scorer).withColumnRenamed("chunk_id", "doc_id")
 
 
-@query(f"WITH {RRF_SQL}, pool AS (SELECT query_id, rank, doc_id, score FROM rrf), {SELECT_SQL} SELECT query_id, rank, doc_id, source_type, round(raw, 6) AS score, round(authority_score, 6) AS authority_score FROM chosen")
+@query(f"WITH {RRF_SQL}, pool AS (SELECT query_id, rank, doc_id, score FROM rrf), {SELECT_SQL} SELECT query_id, rank, doc_id, source_type, round(raw + 1e-10, 6) AS score, round(authority_score + 1e-10, 6) AS authority_score FROM chosen")
 def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid(spark, sf_dir).select("query_id", "rank", "doc_id", "source_type", six("score"), six("authority_score"))
 
@@ -113,24 +114,24 @@ OVERLAP_SQL = r"""over AS (SELECT r.query_id, r.doc_id, r.rank AS before, round(
 pool AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before)::INTEGER AS rank FROM over)"""
 
 
-@query(f"WITH {RRF_SQL}, {OVERLAP_SQL.format(source='rrf')}, {SELECT_SQL} SELECT query_id, rank, doc_id, source_type, round(raw, 6) AS score, round(authority_score, 6) AS authority_score FROM chosen")
+@query(f"WITH {RRF_SQL}, {OVERLAP_SQL.format(source='rrf')}, {SELECT_SQL} SELECT query_id, rank, doc_id, source_type, round(raw + 1e-10, 6) AS score, round(authority_score + 1e-10, 6) AS authority_score FROM chosen")
 def hybrid_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid(spark, sf_dir, fusion.overlap_scorer).select("query_id", "rank", "doc_id", "source_type", six("score"), six("authority_score"))
 
 
 @query(f"""WITH {META_SQL}, {TYPE_SQL}, {DENSE_SQL}, dist AS (SELECT query_id, dense.doc_id, rank, round(1 - distance / sqrt(2.0), 9) AS score FROM dense JOIN dpairs USING (query_id, doc_id)),
-pool AS (SELECT dist.* FROM dist JOIN documents USING (doc_id)), {SELECT_SQL} SELECT query_id, rank, doc_id, source_type, round(raw, 6) AS score, round(authority_score, 6) AS authority_score FROM chosen""")
+pool AS (SELECT dist.* FROM dist JOIN documents USING (doc_id)), {SELECT_SQL} SELECT query_id, rank, doc_id, source_type, round(raw + 1e-10, 6) AS score, round(authority_score + 1e-10, 6) AS authority_score FROM chosen""")
 def dense_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid(spark, sf_dir, strategy="dense").select("query_id", "rank", "doc_id", "source_type", six("score"), six("authority_score"))
 
 
-@query(f"WITH {HITS_SQL}, {OVERLAP_SQL.format(source='(SELECT query_id, doc_id, pos AS rank, content FROM hits)')} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM pool WHERE rank <= 10")
+@query(f"WITH {HITS_SQL}, {OVERLAP_SQL.format(source='(SELECT query_id, doc_id, pos AS rank, content FROM hits)')} SELECT query_id, rank, doc_id, round(score + 1e-10, 6) AS score FROM pool WHERE rank <= 10")
 def reranked_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = hits(spark, sf_dir).withColumnRenamed("pos", "rank").join(questions(spark, sf_dir), "query_id")
     return fusion.rerank(pool, top_k=10).select("query_id", "rank", "doc_id", six("score"))
 
 
-@query(f"WITH {HITS_SQL}, pool AS (SELECT query_id, doc_id, pos AS rank, score FROM hits), {SELECT_SQL} SELECT query_id, rank, doc_id, source_type, round(raw, 6) AS score, round(authority_score, 6) AS authority_score FROM chosen")
+@query(f"WITH {HITS_SQL}, pool AS (SELECT query_id, doc_id, pos AS rank, score FROM hits), {SELECT_SQL} SELECT query_id, rank, doc_id, source_type, round(raw + 1e-10, 6) AS score, round(authority_score + 1e-10, 6) AS authority_score FROM chosen")
 def authority_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = fusion.select_with_authority(hits(spark, sf_dir).withColumnRenamed("pos", "rank"))
     return own.select("query_id", "rank", "doc_id", "source_type", six("score"), six("authority_score"))
