@@ -60,7 +60,8 @@ def bm25_topk(index: Bm25Index, queries: DataFrame, k: int = 20, k1: float = K1,
     """(query_id, rank, chunk_id, doc_order, score): the best k chunks of each query, ties in corpus order.
 
     Every chunk has a score, so chunks without a common term, which score 0, fill up in corpus order; only the first
-    chunks of the corpus can do so, k and as many as a query may have among its scored ones.
+    chunks of the corpus can do so, k and as many as a query may have among its scored ones. (Scores below 0 need a
+    mean idf below 0, most terms in over half of all chunks; then later chunks of score 0 may be missed.)
     """
     scores = bm25_scores(index, queries, k1, b)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_order", "chunk_id")
