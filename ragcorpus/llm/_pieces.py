@@ -15,7 +15,7 @@ import numpy as np
 import tiktoken
 
 #: A worker forgets its pieces beyond this number, and keeps none longer than this, which bounds its memory.
-CACHE_PIECES, CACHE_CHARS = 600_000, 64
+CACHE_PIECES, CACHE_CHARS = 300_000, 64
 _CUT = re.compile(r"(?= \S)")
 
 

@@ -20,11 +20,13 @@ from ragcorpus.llm._common import new_path
 #: The end-of-document id: beyond the vocabulary, and as two big-endian bytes a character of UTF-8, so that Spark's
 #: text writer, which ends each row with a line separator, writes flat token files.
 END_OF_DOCUMENT = 0xC480
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS = 1 << 16
+#: Documents of one file, which a task reads whole before it is cut into blocks.
+FILE_DOCUMENTS = 2_000
 
 
 def write_token_files(docs: DataFrame, path: str, ranks_path: str, text_col: str = "text") -> None:
-    """Write the texts of docs as flat token files, one file a task. Null and empty texts are a separator alone."""
+    """Write the texts of docs as flat token files of at most FILE_DOCUMENTS documents. Null and empty texts are a separator alone."""
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _pieces.cache(ranks_path, ">u2")
@@ -32,7 +34,7 @@ def write_token_files(docs: DataFrame, path: str, ranks_path: str, text_col: str
             yield pd.DataFrame({"ids": [_pieces.encode_bytes(t, known) for t in part["text"]]})
 
     flat = docs.select(F.col(text_col).alias("text")).mapInPandas(batches, "ids binary")
-    flat.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", chr(256)).text(path)
+    flat.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", chr(256)).option("maxRecordsPerFile", FILE_DOCUMENTS).text(path)
 
 
 def read_token_blocks(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -40,7 +42,8 @@ def read_token_blocks(spark: SparkSession, path: str, block_tokens: int = BLOCK_
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     size = 2 * block_tokens
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / size).cast("int")), lambda i: F.substring("content", i * size + 1, F.lit(size)))
-    name = F.regexp_extract(F.col("path"), r"(part-\d+)[^/]*$", 1)
+    # the number of the task and the number of its file; what stands between differs from run to run
+    name = F.concat_ws("-", F.regexp_extract("path", r"(part-\d+)[^/]*$", 1), F.regexp_extract("path", r"-c(\d+)[^/]*$", 1))
     return files.where("length > 0").select(name.alias("file"), F.posexplode(blocks).alias("block", "ids"))
 
 
