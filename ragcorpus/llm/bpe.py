@@ -2,10 +2,10 @@
 
 A word here is what stands between two single spaces, its space in front: one or a few whole matches of the
 vocabulary's pattern. Documents of a task are gathered into blocks; a block's texts become positions in the list of its
-distinct words. The (word, block, place) rows are dealt out and sorted by word, so each distinct word of the corpus is
-encoded once, whatever the number of blocks it occurs in; the ids go back to the blocks, which put their documents
-together by position. The block lists and the positions are made by two scans of docs; a checksum of each block's words
-goes both ways, and a block that differs between the scans stops the job.
+distinct words. Words are dealt over buckets by their hash, all of one block and bucket as one row; where a bucket's rows
+meet, each distinct word of the corpus is encoded once, whatever the number of blocks it occurs in. The ids go back to
+the blocks, which put their documents together by position. Words and positions are made by two scans of docs; a
+checksum of each block's words goes both ways, and a block that differs between the scans stops the job.
 """
 
 from __future__ import annotations
@@ -22,17 +22,15 @@ from pyspark.taskcontext import TaskContext
 from ragcorpus.llm import _pieces
 
 #: A block is closed at so many characters; one longer document is a block of its own.
-BLOCK_CHARS = 12_000_000
-WORDS_PER_ROW = 20_000
-ENCODED_ROWS = 400_000
-#: Place of a block's checksum among its words.
-CHECK = (1 << 31) - 1
+BLOCK_CHARS = 6_000_000
+#: Buckets of words for each shuffle partition.
+BUCKETS_PER_PARTITION = 4
 
 
 def _blocks(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[str], list[tuple]]]:
     """(block, distinct words by first occurrence, [(doc_id, positions)])."""
     context = TaskContext.get()
-    base, seq = (context.partitionId() if context else 0) << 12, 0
+    base, seq = (context.partitionId() if context else 0) << 20, 0
     words: dict[str, int] = {}
     docs: list[tuple] = []
     chars = 0
@@ -42,8 +40,6 @@ def _blocks(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[str], lis
             if docs and chars + size > BLOCK_CHARS:
                 yield base + seq, list(words), docs
                 words, docs, chars, seq = {}, [], 0, seq + 1
-                if seq >> 12:
-                    raise ValueError("a task holds more than 4096 blocks; read the documents in more partitions")
             at = words.setdefault
             docs.append((doc_id, np.array([at(w, len(words)) for w in (_pieces.pieces(text) if text else ())], np.uint32)))
             chars += size
@@ -51,18 +47,21 @@ def _blocks(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[str], lis
         yield base + seq, list(words), docs
 
 
-def _check(words: list[str]) -> int:
-    return zlib.crc32("\0".join(words).encode("utf-8", "surrogatepass"))
-
-
-def _squeezed(places: np.ndarray) -> bytes:
-    return zlib.compress(places.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers as their bytes by place, packed."""
+    return zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
 def _spread(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def _buckets(words: list[str], n: int) -> tuple[np.ndarray, int]:
+    """Each word's bucket, and a checksum of the words in their order."""
+    hashes = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint32, len(words))
+    return hashes % np.uint32(n), zlib.crc32(hashes.tobytes())
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids) for each row of docs; ids are little-endian unsigned 32-bit integers, one after another.
 
@@ -71,75 +70,77 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
     docs must read the same rows in the same partitions each time, as files and written tables do.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    n_buckets = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = "<u2" if max(_pieces.read_ranks(ranks_path).values()) < 1 << 16 else "<u4"
 
     def words_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block, words, _ in _blocks(parts):
-            for at in range(0, len(words), WORDS_PER_ROW):
-                yield pd.DataFrame({"block": [block], "place": [at], "words": [words[at : at + WORDS_PER_ROW]]})
-            yield pd.DataFrame({"block": [block], "place": [CHECK], "words": [[str(_check(words))]]})
+            bucket, check = _buckets(words, n_buckets)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+            rows = []
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
+                some = [words[i] for i in order[cuts[k] : cuts[k + 1]].tolist()]
+                rows.append((k, block, check, zlib.compress("".join(some).encode("utf-8", "surrogatepass"), 4), _squeezed(np.fromiter(map(len, some), np.uint32, len(some)))))
+            yield pd.DataFrame(rows, columns=["bucket", "block", "check", "chars", "lengths"])
 
     def positions_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block, words, rows in _blocks(parts):
-            check = _check(words)
+            bucket, check = _buckets(words, n_buckets)
             for at in range(0, len(rows), 2_000):
                 some = rows[at : at + 2_000]
-                yield pd.DataFrame({"block": block, "n_words": len(words), "check": check, "doc_id": pd.array([None if pd.isna(d) else int(d) for d, _ in some], "Int64"), "places": [_squeezed(p) for _, p in some]})
+                ids = pd.array([None if pd.isna(d) else int(d) for d, _ in some], "Int64")
+                head = [_squeezed(bucket) if at + i == 0 else None for i in range(len(some))]
+                yield pd.DataFrame({"block": block, "check": check, "doc_id": ids, "places": [_squeezed(p) for _, p in some], "buckets": head})
 
     def encode_once(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _pieces.encoding(ranks_path).encode_ordinary
-        last, ids, rows = None, b"", []
+        last, known = None, {}
         for part in parts:
-            for key, word in zip(part["key"].tolist(), part["word"], strict=True):
-                if key & CHECK == CHECK:
-                    rows.append((key, int(word).to_bytes(4, "little")))
-                    continue
-                if word != last:
-                    last, ids = word, np.array(encode(word), "<u4").tobytes()
-                rows.append((key, ids))
-            if len(rows) >= ENCODED_ROWS:
-                yield _by_block(rows)
-                rows = []
-        if rows:
-            yield _by_block(rows)
+            rows = []
+            for bucket, block, check, chars, lengths in part.itertuples(index=False):
+                if bucket != last:
+                    last, known = bucket, {}
+                text = zlib.decompress(chars).decode("utf-8", "surrogatepass")
+                ends = np.cumsum(_spread(lengths)).tolist()
+                found = []
+                for a, b in zip([0, *ends], ends, strict=False):
+                    word = text[a:b]
+                    ids = known.get(word)
+                    if ids is None:
+                        ids = known[word] = np.array(encode(word), kind).tobytes()
+                    found.append(ids)
+                sizes = np.fromiter(map(len, found), np.uint32, len(found))
+                rows.append((block, bucket, check, _squeezed(sizes), zlib.compress(b"".join(found), 1)))
+            yield pd.DataFrame(rows, columns=["block", "bucket", "check", "sizes", "ids"])
 
     def assemble(key: tuple, rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        n = int(rows["n_words"].iloc[0]) if len(rows) else 0
-        words: list[bytes | None] = [None] * n
-        check = None
-        for places, lengths, ids in zip(found["places"], found["lengths"], found["ids"], strict=True):
-            ends = np.cumsum(np.frombuffer(lengths, "<u4")).tolist()
-            for place, a, b in zip(np.frombuffer(places, "<u4").tolist(), [0, *ends], ends, strict=False):
-                if place == CHECK:
-                    check = int.from_bytes(ids[a:b], "little")
-                else:
-                    words[place] = ids[a:b]
-        if len(rows) and check != int(rows["check"].iloc[0]):
-            raise RuntimeError("documents came in other blocks when they were read again; write them to a table first")
-        out = [b"".join(map(words.__getitem__, _spread(p).tolist())) for p in rows["places"]]
-        return pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "n_tokens": [len(x) // 4 for x in out], "ids": out})
-
-    listed = own.mapInPandas(words_of, "block long, place long, words array<string>")
-    key = F.shiftleft(F.col("block"), 31)
-    each = listed.select("block", "place", F.posexplode("words").alias("i", "word")).select((key + F.col("place") + F.col("i")).alias("key"), "word")
-    encoded = each.repartition("word").sortWithinPartitions("word").mapInPandas(encode_once, "block long, places binary, lengths binary, ids binary")
-    positions = own.mapInPandas(positions_of, "block long, n_words long, check long, doc_id long, places binary")
+        if not len(rows):
+            raise RuntimeError("a block's documents are missing")
+        bucket = _spread(next(b for b in rows["buckets"] if b is not None))
+        words = np.empty(len(bucket), object)
+        at, order = 0, np.argsort(bucket, kind="stable")
+        for sizes, ids, check in found.sort_values("bucket")[["sizes", "ids", "check"]].itertuples(index=False):
+            if check != rows["check"].iloc[0]:
+                raise RuntimeError("documents came in other blocks when they were read again; write them to a table first")
+            ends = np.cumsum(_spread(sizes)).tolist()
+            ids = zlib.decompress(ids)
+            own = order[at : at + len(ends)].tolist()
+            at += len(ends)
+            for i, a, b in zip(own, [0, *ends], ends, strict=False):
+                words[i] = ids[a:b]
+        if at != len(bucket):
+            raise RuntimeError("words of a block are missing")
+        listed = words.tolist()
+        out = [np.frombuffer(b"".join(map(listed.__getitem__, _spread(p).tolist())), kind).astype("<u4") for p in rows["places"]]
+        return pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "n_tokens": [len(x) for x in out], "ids": [x.tobytes() for x in out]})
+
+    dealt = own.mapInPandas(words_of, "bucket int, block long, check long, chars binary, lengths binary").repartition("bucket").sortWithinPartitions("bucket")
+    encoded = dealt.mapInPandas(encode_once, "block long, bucket int, check long, sizes binary, ids binary")
+    positions = own.mapInPandas(positions_of, "block long, check long, doc_id long, places binary, buckets binary")
     return positions.groupBy("block").cogroup(encoded.groupBy("block")).applyInPandas(assemble, "doc_id long, n_tokens long, ids binary")
 
 
-def _by_block(rows: list[tuple[int, bytes]]) -> pd.DataFrame:
-    """Encoded words as one row for each block."""
-    keys = np.array([k for k, _ in rows], np.int64)
-    order = np.argsort(keys, kind="stable")
-    blocks = keys[order] >> 31
-    starts = np.concatenate(([0], np.flatnonzero(np.diff(blocks)) + 1, [len(rows)]))
-    out = []
-    for a, b in zip(starts[:-1], starts[1:], strict=True):
-        own = order[a:b]
-        ids = [rows[i][1] for i in own]
-        out.append((int(blocks[a]), (keys[own] & CHECK).astype("<u4").tobytes(), np.array([len(x) for x in ids], "<u4").tobytes(), b"".join(ids)))
-    return pd.DataFrame(out, columns=["block", "places", "lengths", "ids"])
-
-
 def decoded(ids: Column, ranks_path: str) -> Column:
     """The bytes of flat ids, by the vocabulary's token-byte table (at most its fixed size, read by each worker).
 
