@@ -77,7 +77,7 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     before = [(firsts[i - 1][0], d, h) for i, (_, d, h) in enumerate(firsts)]
     heads = F.broadcast(spark.createDataFrame(before, f"_range int, _id {docs.schema[id_col].dataType.simpleString()}, _h long"))
     sent = docs.join(heads, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h"))).drop("_id", "_h")
-    every = placed.withColumn("_sent", F.lit(False)).unionByName(sent.withColumn("_sent", F.lit(True)))
+    every = placed.withColumn("_sent", F.lit(False)).unionByName(sent.withColumn("_sent", F.lit(True))).repartition(ranges, "_range")
     order = Window.partitionBy("_range").orderBy("_sent", id_col, "_hash")
     return every.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).where("not _sent").drop("_sent", "_range")
 
