@@ -65,14 +65,15 @@ class Quantiser:
             out[i, : len(v)] = v
         return out / np.linalg.norm(out, axis=1, keepdims=True)
 
-    def encode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Own list, codes, and distance from the code."""
+    def encode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Own list, codes, distance from the code, and that distance in the first half of the parts alone."""
         own = _nearest(unit, self.centroids)
         residual = unit - self.centroids[own]
         width = residual.shape[1] // SUBSPACES
         codes = np.stack([_nearest(residual[:, m * width : (m + 1) * width], self.codebooks[m]) for m in range(SUBSPACES)], axis=1).astype(np.uint8)
         decoded = np.concatenate([self.codebooks[m][codes[:, m]] for m in range(SUBSPACES)], axis=1)
-        return own, codes, np.linalg.norm(residual - decoded, axis=1)
+        off, half = residual - decoded, SUBSPACES // 2 * width
+        return own, codes, np.linalg.norm(off, axis=1), np.linalg.norm(off[:, :half], axis=1)
 
     def probes(self, unit: np.ndarray, own: np.ndarray, radius: float) -> np.ndarray:
         """rows x lists: which lists may hold a vector within the radius."""
@@ -82,15 +83,23 @@ class Quantiser:
         found[np.arange(len(own)), own] = True
         return found
 
-    def near_codes(self, queries: np.ndarray, which: int, codes: np.ndarray, error: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, vector of list `which`) whose looked-up distance leaves them possible."""
+    def near_codes(self, queries: np.ndarray, which: int, codes: np.ndarray, error: np.ndarray, half: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, vector of list `which`) whose looked-up distance leaves them possible.
+
+        The first half of the parts is added up for all pairs, the other only for those that it leaves.
+        """
         residual = queries - self.centroids[which]
         width = residual.shape[1] // SUBSPACES
+        tables = [((residual[:, None, m * width : (m + 1) * width] - self.codebooks[m][None, :, :]) ** 2).sum(axis=2).astype(np.float32) for m in range(SUBSPACES)]
         total = np.zeros((len(queries), len(codes)), np.float32)
-        for m in range(SUBSPACES):
-            part = residual[:, None, m * width : (m + 1) * width] - self.codebooks[m][None, :, :]
-            total += (part**2).sum(axis=2).astype(np.float32)[:, codes[:, m]]
-        return np.nonzero(total <= ((radius + error + 1e-3) ** 2).astype(np.float32)[None, :])
+        for m in range(SUBSPACES // 2):
+            total += np.take(tables[m], codes[:, m], axis=1)
+        q, i = np.nonzero(total <= ((radius + half + 1e-3) ** 2).astype(np.float32)[None, :])
+        rest = total[q, i]
+        for m in range(SUBSPACES // 2, SUBSPACES):
+            rest += tables[m][q, codes[i, m]]
+        near = rest <= (radius + error[i] + 1e-3) ** 2
+        return q[near], i[near]
 
 
 def near_vectors(rows: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -141,14 +150,15 @@ def links(distinct: DataFrame, model: Quantiser, threshold: float) -> DataFrame:
     def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             unit = model.padded(part["v"].tolist())
-            own, codes, error = model.encode(unit)
-            probes = [np.flatnonzero(p) for p in model.probes(unit, own, radius)]
-            yield part.assign(list=own, codes=[c.tobytes() for c in codes], error=error, probes=probes)
+            own, codes, error, half = model.encode(unit)
+            # of two vectors that link, the one of the later list finds the other
+            probes = [np.flatnonzero(p[: o + 1]) for p, o in zip(model.probes(unit, own, radius), own, strict=True)]
+            yield part.assign(list=own, codes=[c.tobytes() for c in codes], error=error, half=half, probes=probes)
 
-    placed = save(distinct.mapInPandas(place, f"uid long, n long, label {dict(distinct.dtypes)['label']}, v {kind}, list int, codes binary, error double, probes array<int>"))
+    placed = save(distinct.mapInPandas(place, f"uid long, n long, label {dict(distinct.dtypes)['label']}, v {kind}, list int, codes binary, error double, half double, probes array<int>"))
     cell = ["label", "dims", "list"]
-    held = placed.select("label", F.size("v").alias("dims"), "list", "uid", "n", "v", "codes", "error", F.lit(0).alias("side"))
-    asked = placed.select("label", F.size("v").alias("dims"), F.explode("probes").alias("list"), "uid", "n", "v", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"), F.lit(1).alias("side"))
+    held = placed.select("label", F.size("v").alias("dims"), "list", F.col("list").alias("own"), "uid", "n", "v", "codes", "error", "half", F.lit(0).alias("side"))
+    asked = placed.select("label", F.size("v").alias("dims"), F.explode("probes").alias("list"), F.col("list").alias("own"), "uid", "n", "v", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"), F.lit(0.0).alias("half"), F.lit(1).alias("side"))
     count = lambda df, name: df.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias(name))
     blocks = save(count(held, "hb").join(count(asked, "ab"), cell))
     every = held.unionByName(asked).join(blocks, cell)
@@ -162,10 +172,10 @@ def links(distinct: DataFrame, model: Quantiser, threshold: float) -> DataFrame:
         if len(index) and len(query):
             x, y = model.padded(index["v"].tolist()), model.padded(query["v"].tolist())
             codes = np.frombuffer(b"".join(index["codes"]), np.uint8).reshape(-1, SUBSPACES)
-            which, error = int(index["list"].iloc[0]), index["error"].to_numpy()
+            which, error, half = int(index["list"].iloc[0]), index["error"].to_numpy(), index["half"].to_numpy()
             qs, xs = [], []
             for at in range(0, len(y), 256):
-                q, i = model.near_codes(y[at : at + 256], which, codes, error, radius)
+                q, i = model.near_codes(y[at : at + 256], which, codes, error, half, radius)
                 q = q + at
                 ok = np.concatenate([(y[q[s : s + 65536]] * x[i[s : s + 65536]]).sum(axis=1) for s in range(0, len(q), 65536)] or [np.empty(0)]) >= threshold
                 qs.append(q[ok])
@@ -175,10 +185,14 @@ def links(distinct: DataFrame, model: Quantiser, threshold: float) -> DataFrame:
             other = a[q] != b[i]
             q, i = q[other], i[other]
             sums = np.bincount(q, index["n"].to_numpy()[i], len(a)).astype(np.int64)
-            hit = np.flatnonzero(sums)
-            out["a"].append(a[hit])
-            out["b"].append(np.full(len(hit), -1))
-            out["n"].append(sums[hit])
+            # within a list each of two vectors asks for the other; between lists the answer counts for both
+            far = query["own"].to_numpy()[q] != which
+            back = np.bincount(i[far], query["n"].to_numpy()[q[far]], len(b)).astype(np.int64)
+            for uids, total in ((a, sums), (b, back)):
+                hit = np.flatnonzero(total)
+                out["a"].append(uids[hit])
+                out["b"].append(np.full(len(hit), -1))
+                out["n"].append(total[hit])
             # one edge for each vector of a group, to the group's smallest
             uids, flat = np.unique(np.concatenate([a[q], b[i]]), return_inverse=True)
             u, v, label = flat[: len(q)], flat[len(q) :], np.arange(len(uids))
@@ -198,5 +212,5 @@ def links(distinct: DataFrame, model: Quantiser, threshold: float) -> DataFrame:
         found = pd.DataFrame({k: np.concatenate(v) for k, v in out.items()})
         return found.assign(edge=found["n"] == 0)
 
-    found = dealt.select(*cell, "hold", "ask", "side", "uid", "n", "v", "codes", "error").groupBy(*cell, "hold", "ask").applyInPandas(compare, "a long, b long, n long, edge boolean")
+    found = dealt.select(*cell, "hold", "ask", "side", "own", "uid", "n", "v", "codes", "error", "half").groupBy(*cell, "hold", "ask").applyInPandas(compare, "a long, b long, n long, edge boolean")
     return found.select("a", F.when(F.col("edge"), F.col("b")).alias("b"), "n")
