@@ -39,12 +39,6 @@ def drop(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def rebalanced(df: DataFrame, *, input_bytes: bool = True) -> DataFrame:
-    """df spread over at least as many partitions as the cluster has slots, when it arrives in fewer."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
-
-
 def numbered(df: DataFrame, key: str, order: list[Column], name: str, rows_per_part: int = 500_000) -> DataFrame:
     """Add `name`: gapless numbers from 0 within each value of `key`.
 
