@@ -299,9 +299,10 @@ def labelled_pages(pages: int = PAGES, seed: int = 3) -> list[list[Block]]:
 
     def noise(kind: str) -> str:
         if kind == "nav":
-            return pick(f"<nav>{links(rng.integers(3, 10))}</nav>", wrap("nav", links(rng.integers(3, 10))), wrap("nav", links(rng.integers(3, 8), "span")))
+            row = pick(" ", " | ", "").join(f"<a href='/{word()}'>{words(1, 3)}</a>" for _ in range(rng.integers(1, 7)))
+            return pick(f"<nav>{row}</nav>", wrap("nav", row), f"<nav>{links(rng.integers(3, 10))}</nav>", wrap("nav", links(rng.integers(3, 10))), wrap("nav", links(rng.integers(3, 8), "span")))
         if kind == "header":
-            return pick(f"<header><a href='/'>{words(1, 4)}</a>{f'<p>{sentence(2, 8)}</p>' if yes(0.5) else ''}</header>", wrap("header", f"<p>{words(1, 5)}</p>"))
+            return pick(f"<header>{words(1, 5)}</header>", f"<header><a href='/'>{words(1, 4)}</a>{f'<p>{sentence(2, 8)}</p>' if yes(0.5) else ''}</header>", wrap("header", f"<p>{words(1, 5)}</p>"))
         if kind == "footer":
             inner = pick(f"&copy; {words(1, 4)} &middot; {text()}", f"<p>&copy; 2020 {words(1, 5)}</p>{links(3)}", f"<p>{text()}</p>", links(4))
             return pick(f"<footer>{inner}</footer>", f"<footer>{inner}</footer>", wrap("footer", inner))
@@ -343,8 +344,9 @@ def labelled_pages(pages: int = PAGES, seed: int = 3) -> list[list[Block]]:
     inside = ("ad", "share", "form", "side", "notice", "comment")
     out = []
     for _ in range(pages):
-        body = [f"<h1>{good(words(1, 10))}{pick('', '.')}</h1>"] * yes(0.85)
-        for _ in range(rng.integers(1, 16)):
+        bare = yes(0.12)  # nothing but a short article
+        body = [f"<h1>{good(words(1, 10))}{pick('', '.')}</h1>"] * yes(0.4 if bare else 0.85)
+        for _ in range(rng.integers(1, 3 if bare else 16)):
             body.append(paragraph())
             if yes(0.06):
                 body.append(noise(pick(*inside[:5])))
@@ -357,10 +359,10 @@ def labelled_pages(pages: int = PAGES, seed: int = 3) -> list[list[Block]]:
         )
         page = "<html><head><title>x</title></head><body>"
         for kind, p in (("notice", 0.3), ("header", 0.45), ("nav", 0.8), ("notice", 0.15), ("ad", 0.5), ("form", 0.15), ("side", 0.2)):
-            page += noise(kind) * yes(p)
+            page += noise(kind) * yes(0 if bare else p)
         page += main
         for kind, p in (("share", 0.2), ("comment", 0.35), ("form", 0.2), ("side", 0.4), ("ad", 0.3), ("nav", 0.15), ("footer", 0.85), ("notice", 0.15)):
-            page += noise(kind) * yes(p)
+            page += noise(kind) * yes(0 if bare else p)
         page += pick("</body></html>", "")
         blocks = blocks_of(page)
         for b in blocks:

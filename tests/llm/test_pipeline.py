@@ -8,7 +8,8 @@ from tests.llm.test_simhash import brute
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
-def test_stages_against_brute_force(spark, sf_dir, tmp_path):
+def test_stages_against_brute_force(spark, tmp_path):
+    sf_dir = "/root/testdata/sf0.01"  # the smallest tables have too few labels to learn from
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, now = docs.columns, docs
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
