@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ragcorpus.llm import pii
@@ -59,6 +61,27 @@ def test_added_spans():
         assert pii.find(text, trees, thresholds)[1] == [], text
 
 
+def bare(text):
+    """What the generators propose without their guards."""
+    return [(pii.KINDS.index(kind), m.start(), m.end()) for kind, _, pattern in pii.CANDIDATES for m in pattern.finditer(text)]
+
+
+def test_guards_lose_no_candidate():
+    for text in ("jane{@}example.com", "jane<@>example.com", "jane at\nexample.com", "jane\tAT\texample.com", "jane[ at]example.com", "jane{AT }example.com", "jane＠example.com", "10 . 20 . 30 . 40", "10[.)20(dot]30.40", "::1", "a\xa0at\u2003b.c"):
+        assert pii.candidates(text) == bare(text) != [], text
+        far = text + " x" * 300 + " looked at [@] 1[.]2"
+        assert set(pii.candidates(text)) <= set(pii.candidates(far)), text
+
+
+PARTS = st.sampled_from(["jane", "example", "com", "at", "AT", "@", "＠", "dot", ".", "[", "]", "(", ")", "{", "}", "<", ">", " ", "\n", "\t", "\xa0", ":", "-", "+", "/", "10", "255", "4111", "fe80", "ſ"])
+
+
+@settings(max_examples=1000, deadline=None)
+@given(st.lists(PARTS, max_size=14).map("".join))
+def test_guarded_candidates_are_those_of_the_bare_patterns(text):
+    assert pii.candidates(text) == bare(text)
+
+
 def test_held_out_examples():
     trees, thresholds = pii.model()
     x, y, kinds = pii.examples(seed=77)
