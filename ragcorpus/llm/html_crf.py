@@ -28,7 +28,8 @@ _TAG = re.compile(
 _MARK = re.compile(r"""\b(class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+|[0-9]+")
 # Element kinds.
-RAW = frozenset("script style noscript template iframe svg math object canvas audio video textarea select title".split())
+RAW = frozenset("script style iframe textarea title".split())  # text up to their end tag, or the page's end
+HIDDEN = frozenset("noscript template svg math object canvas audio video select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "html head body main article section aside nav header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre form fieldset legend "
@@ -36,6 +37,7 @@ BLOCK = frozenset(
 )
 CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot caption dd dt li option label button".split())
 SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table", "tbody", "thead", "tfoot")), "td": ("td th", ("tr",)), "th": ("td th", ("tr",)), "option": ("option", ("select",))}
+_HIDDEN = re.compile(rf"(?i)<(?:{'|'.join(sorted(HIDDEN))})\b")
 # Words of class, id and role, by what they tell.
 MARKS = {
     "nav": "nav menu navbar navigation breadcrumb breadcrumbs crumbs toc pagination pager tabs skip sitemap topnav mainnav links",
@@ -70,6 +72,48 @@ def _marks(attributes: str) -> tuple[str, ...]:
     return tuple(sorted(found))
 
 
+def _behind(tag: str, page: str, at: int) -> int:
+    """Where the text of a raw element ends, behind its end tag."""
+    end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+    return end.end() if end else len(page)
+
+
+def _hidden_ends(page: str) -> dict[int, int]:
+    """Where each hidden element ends, by where its start tag ends.
+
+    One without an end tag of its own before the end of the block around it, or of the page, is left out: it hides
+    nothing. One pass, whose stack holds blocks and hidden elements.
+    """
+    ends: dict[int, int] = {}
+    if not _HIDDEN.search(page):
+        return ends
+    stack: list[tuple[str, int]] = []
+    depth = dict.fromkeys(BLOCK | HIDDEN, 0)
+    at = 0
+    while m := _TAG.search(page, at):
+        at = m.end()
+        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        tag = tag.lower() if tag else ""
+        if tag in RAW and not closing and not attributes.endswith("/"):
+            at = _behind(tag, page, at)
+        if tag not in depth or tag in VOID:
+            continue
+        if closing:
+            top = "" if depth[tag] else tag
+            while top != tag:
+                top, start = stack.pop()
+                depth[top] -= 1
+                if top == tag and tag in HIDDEN:
+                    ends[start] = at
+        elif not attributes.endswith("/"):
+            if tag in CLOSES_P and stack and stack[-1][0] == "p":
+                stack.pop()
+                depth["p"] -= 1
+            stack.append((tag, at))
+            depth[tag] += 1
+    return ends
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The text blocks of a page in order; text outside of any element counts as the body's."""
     page = page or ""
@@ -106,7 +150,7 @@ def blocks_of(page: str | None) -> list[Block]:
             hidden -= t == "head"
         del stack[i:]
 
-    n = len(page)
+    n, ends = len(page), _hidden_ends(page)
     while at < n:
         m = _TAG.search(page, at)
         if not m:
@@ -122,10 +166,9 @@ def blocks_of(page: str | None) -> list[Block]:
         if not tag:
             continue
         tag = tag.lower()
-        if tag in RAW:
+        if tag in RAW or tag in HIDDEN:
             if not closing and not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else n
+                at = _behind(tag, page, at) if tag in RAW else ends.get(at, at)
             pieces.append(" ")
             continue
         if tag in VOID:

@@ -48,6 +48,35 @@ def test_layouts(page):
     assert html_crf.main_text(page, html_crf.field()) == WANT
 
 
+HIDDEN = ["video", "audio", "object", "canvas", "svg", "math", "noscript", "template", "select"]
+
+
+@pytest.mark.parametrize("tag", HIDDEN)
+def test_unclosed_elements_hide_nothing(tag):
+    model = html_crf.field()
+    half = BODY.index("<p>Second")
+    for page in (
+        f"<body><div><{tag} id=x></div><article>{BODY}</article></body>",
+        f"<body><{tag} id=x><article>{BODY}</article></body>",
+        f"<article>{BODY[:half]}<{tag} id=x>{BODY[half:]}</article>",
+        f"<article>{BODY[:half]}<{tag} id=x>{BODY[half:]}<{tag}>not shown</{tag}></article>",
+        f"<article>{BODY[:half]}<p><{tag} id=x></p>{BODY[half:]}</article><div><{tag}>not shown</{tag}></div>",
+    ):
+        assert html_crf.main_text(page, model) == WANT, page
+
+
+@pytest.mark.parametrize("tag", HIDDEN)
+def test_closed_elements_are_hidden(tag):
+    model = html_crf.field()
+    half = BODY.index("<p>Second")
+    for inner in ("not shown", "<p>not shown", "<p>not</p><div>shown</div>", f"a<{tag}>b</{tag}>c", f"<script>'</{tag.upper()}'</script>not shown"):
+        assert html_crf.main_text(f"<article>{BODY[:half]}<{tag} id=x>{inner}</{tag}>{BODY[half:]}</article>", model) == WANT, inner
+
+
+def test_many_unclosed_elements_take_linear_time():
+    assert len(html_crf.blocks_of("<div><video><p>a</p></div>" * 20_000)) == 20_000
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p"), (3, "u", "<p>" * 3000 + "deep"), (4, "u", f"<article>{BODY}</article>"), (4, "u", f"<article>{BODY}</article>"), (5, "u", "<!-- open"), (6, "u", "<article><p>" + "long word " * 40_000 + "</p></article>"), (7, "u", "<script>never closed <p>x</p>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))
