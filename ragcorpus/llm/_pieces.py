@@ -8,8 +8,10 @@ text.
 from __future__ import annotations
 
 import base64
+import json
 import re
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import tiktoken
@@ -32,6 +34,15 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
 
 
+@lru_cache(maxsize=4)
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of the tokenizer file (.json) beside the rank file, which the library finds in texts as well."""
+    found = json.loads(Path(path).with_suffix(".json").read_text(encoding="utf-8"))["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in found):
+        raise ValueError("only added tokens that stand for themselves are known")
+    return {t["content"]: t["id"] for t in found}
+
+
 @lru_cache(maxsize=4)
 def token_bytes(path: str) -> list[bytes]:
     """The bytes of each id; gaps are empty. At most as long as the vocabulary, which is fixed."""
@@ -73,3 +84,11 @@ def cache(path: str, dtype: str) -> _Cache:
 def encode_bytes(text: str | None, known: _Cache) -> bytes:
     """The ids of a text as flat bytes of the cache's dtype."""
     return b"".join(map(known.__getitem__, pieces(text))) if text else b""
+
+
+def encode_with_added(text: str | None, known: _Cache, added: dict[str, int]) -> bytes:
+    """As encode_bytes, but a text is split at the added tokens first, which have their own ids."""
+    if not text or not any(t in text for t in added):
+        return encode_bytes(text, known)
+    parts = re.split("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")", text)
+    return b"".join(np.array([added[p]], known.dtype).tobytes() if i % 2 else encode_bytes(p, known) for i, p in enumerate(parts))

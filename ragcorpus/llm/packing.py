@@ -94,13 +94,16 @@ def cut_pieces(ids: bytes, capacity: int, width: int = 4) -> list[tuple[int, int
 
 
 def token_pieces(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, separator: int = 0) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): the ids of each text and the separator, cut into pieces."""
+    """(doc_id, piece, start, length, ids_crc32): the ids of each text and the separator, cut into pieces.
+
+    The ids are those of the tokenizer file beside the rank file: its added tokens have their ids in texts too.
+    """
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _pieces.cache(ranks_path, "<u4")
+        known, added = _pieces.cache(ranks_path, "<u4"), _pieces.added_tokens(ranks_path)
         end = np.array([separator], "<u4").tobytes()
         for part in parts:
-            rows = [(d, *p) for d, t in zip(part["doc_id"].astype(object), part["text"], strict=True) for p in cut_pieces(_pieces.encode_bytes(t, known) + end, capacity)]
+            rows = [(d, *p) for d, t in zip(part["doc_id"].astype(object), part["text"], strict=True) for p in cut_pieces(_pieces.encode_with_added(t, known, added) + end, capacity)]
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield out.assign(doc_id=pd.array([None if pd.isna(x) else int(x) for x in out["doc_id"]], "Int64"))
 

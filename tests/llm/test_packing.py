@@ -66,6 +66,16 @@ def test_odd_texts(spark):
     check_sequences(rows)
 
 
+def test_added_tokens_have_their_ids(spark):
+    end = "<|endoftext|>"
+    texts = ["it's <|endoftext|> x", end, end * 3, f"a{end}", f"  {end}  b", f"<|{end}|> <|endoftext", f"x {end}\n{end} é" * 900, "<|ENDOFTEXT|>"]
+    docs = list(enumerate(texts))
+    rows = packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string"), vocabulary(RANKS)).collect()
+    assert library_ids(texts)[0] == [270, 338, 220, 50256, 2124, 0]
+    check_pieces(rows, docs)
+    check_sequences(rows)
+
+
 def test_repeats_null_ids_and_empty(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (None, None)], "doc_id long, text string")
     rows = packing.pack_documents(df, vocabulary(RANKS)).collect()
