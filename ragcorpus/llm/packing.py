@@ -48,6 +48,8 @@ def plan_runs(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, in
     while large:
         a = large.bit_length() - 1
         fits = large & ((1 << (capacity - a + 1)) - 1)
+        if left[a] == 1:  # it does not pair with itself
+            fits &= ~(1 << a)
         b = fits.bit_length() - 1
         n = left[a] if not fits else left[a] // 2 if a == b else min(left[a], left[b])
         if fits and n:

@@ -114,6 +114,11 @@ def test_plan_places_every_piece_once(counts, capacity):
     assert sequences <= len(free) * 1.1 + 1
 
 
+@pytest.mark.parametrize("counts, want", [({1024: 1, 1000: 1, 900: 1, 800: 1}, 2), ({1024: 3, 1000: 1}, 2), ({1000: 5, 700: 3, 690: 1}, 5), ({1024: 1}, 1), (dict.fromkeys(range(683, 1025), 1), 171)])
+def test_odd_large_pieces_pair(counts, want):
+    assert packing.plan_runs(counts, 2048)[1] == want
+
+
 @pytest.mark.parametrize("n", [1, 2047, 2048, 2049, 4096, 5000])
 def test_cuts(n):
     found = packing.cut_pieces(b"abcd" * n, 2048)
