@@ -140,7 +140,7 @@ class Lexicon:
             float(np.log1p(n)), total[FIXED] / n, float(np.log1p(total[FIXED] + spelled)), words / n, float(np.log1p(words)), values[:, WORD].max(), total[WORD] / n**0.5,
             prefixes / n, float(np.log1p(prefixes)), values[:, PREFIX].max(), near / (len(hits) + 1), total[SECOND] / n, total[CAPITAL] / n, total[UPPER] / chars,
             total[EXCLAIM] / n, total[QUESTION] / n, total[OTHER] / chars, total[OBFUSCATED] / n, total[HIDDEN] + spelled, total[ELONGATED] / n, len(used) / n, total[DIGITS] / chars,
-            float(len({tokens[i] for i in hits[:2000]})),
+            float(len(set(map(tokens.__getitem__, hits.tolist())))),
         ]
 
     def _spelled(self, tokens: list[str], codes: np.ndarray, used: np.ndarray, values: np.ndarray, size: int) -> int:

@@ -69,3 +69,9 @@ def test_trees_and_calibration():
     noisy = rng.random(2000) < np.where(y == 1, 0.7, 0.2)
     p = Calibrated().fit(x, noisy.astype(int), np.arange(2000) % 2)(x)
     assert abs(p[y == 1].mean() - 0.7) < 0.08 and abs(p[y == 0].mean() - 0.2) < 0.08
+
+
+def test_distinct_hits_of_a_whole_text():
+    at = toxicity.FEATURES.index("distinct_hits")
+    passage = "you moron loser scum"
+    assert toxicity.Lexicon().vector("idiot " * 3000 + passage)[at] == toxicity.Lexicon().vector(passage + " idiot" * 3000)[at] == 4
