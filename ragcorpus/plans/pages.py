@@ -126,9 +126,25 @@ walk AS (SELECT min(doc_id) AS url, 0 AS depth FROM documents UNION SELECT v, de
 SELECT url::VARCHAR AS url, min(depth)::INTEGER AS depth FROM walk GROUP BY url"""
 )
 def frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links, seeds = _numbered_links(spark, sf_dir)
+    return web.crawl_frontier(links, seeds, 6)
+
+
+@query(
+    """WITH RECURSIVE edges AS (SELECT DISTINCT doc_id AS u, doc_id * 2 + 1 AS v FROM documents UNION SELECT DISTINCT doc_id, doc_id * 2 + 2 FROM documents),
+walk AS (SELECT min(doc_id) AS url, 0 AS depth FROM documents UNION SELECT v, depth + 1 FROM walk JOIN edges ON u = url)
+SELECT url::VARCHAR AS url, min(depth)::INTEGER AS depth FROM walk GROUP BY url"""
+)
+def whole_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As frontier, without a limit: every page that can be reached."""
+    return web.crawl_frontier(*_numbered_links(spark, sf_dir))
+
+
+def _numbered_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Links from the page of each number to two others, and the least number as the seed."""
     docs = table(spark, sf_dir, "documents").select("doc_id")
     links = docs.select(F.col("doc_id").cast("string").alias("url"), F.explode(F.array((F.col("doc_id") * 2 + 1).cast("string"), (F.col("doc_id") * 2 + 2).cast("string"))).alias("link"))
-    return web.crawl_frontier(links, docs.agg(F.min("doc_id").cast("string").alias("url")), 6)
+    return links, docs.agg(F.min("doc_id").cast("string").alias("url"))
 
 
 SKIP_SQL = f"sk AS (SELECT page_id, {HOST_SQL} AS site, CASE WHEN {PATH_SQL} = '' THEN 'index' ELSE {PATH_SQL} END || '.html' AS filename FROM pages), ex AS (SELECT DISTINCT site, filename FROM sk WHERE page_id % 4 = 1)"

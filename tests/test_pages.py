@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ragcorpus.operators import _html, _split, chunking, parse, web
+from ragcorpus.plans import pages as plans
 from ragcorpus.sources import io
 from ragcorpus.streaming.ingest import page_chunks, stream_ingest
 
@@ -65,6 +66,13 @@ def test_frontier(spark, depth, want):
     assert dict(map(tuple, web.crawl_frontier(links, seeds, depth).collect())) == want
 
 
+def test_whole_frontier_reaches_every_document(spark, sf_dir):
+    ids = {str(r["doc_id"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()}
+    got = dict(map(tuple, plans.whole_frontier(spark, sf_dir).collect()))
+    assert ids <= set(got) and all(depth == (int(url) + 1).bit_length() - 1 for url, depth in got.items())
+    assert max(got.values()) > 6
+
+
 def test_skips_counts_and_sites(spark):
     pages = spark.createDataFrame([("s", "https://a/x", "h"), ("s", "https://a/", "h"), ("t", "https://a/x", "h")], "site string, url string, html string")
     items = web.mark_skipped(pages, spark.createDataFrame([("s", "x.html")], "site string, filename string"))
