@@ -10,26 +10,40 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a new local one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may leave it unset."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(path)
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         path = sc.getCheckpointDir()
     return path.rstrip("/")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """Where this application's scratch tables stand."""
+    return f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
+
+
 def save(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = path or f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    """Cut the lineage: write df as Parquet in the shared folder and read it back.
+
+    Results are read lazily, so an operator cannot delete the tables that its result stands on; drop_scratch does,
+    once the results of an application have been written.
+    """
+    path = path or new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def new_path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application."""
+    drop(spark, scratch_dir(spark))
 
 
 def drop(spark: SparkSession, path: str) -> None:
