@@ -64,3 +64,34 @@ def test_odd_vectors(spark):
     assert sorted(got, key=key) == sorted(brute(rows), key=key)
     assert pq_dedup.near_vectors(df.where("vec_id > 99")).collect() == []
     assert [tuple(r) for r in pq_dedup.near_vectors(df.where("vec_id = 4")).collect()] == [(4, 0, 4, True)]
+
+
+@pytest.mark.parametrize("noise, most", [(0.02, 0.3), (0.05, 0.3)])
+def test_clustered_vectors_probe_few_lists(noise, most):
+    """The share of lists that the lossless bounds leave to a query, where vectors form clusters."""
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(60, 64)) / 8)[rng.integers(0, 60, 4000)] + rng.normal(scale=noise, size=(4000, 64))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    model = pq_dedup.Quantiser.fit(unit, 64, 4)
+    own, _, _, far, _ = model.encode(unit)
+    model.reach = np.array([far[own == j].max(initial=-np.inf) for j in range(64)])
+    radius = math.sqrt(2 - 2 * 0.93)
+    probed = model.probes(unit, own, radius)
+    assert probed.mean() < most
+    near = unit @ unit.T >= 0.93
+    assert all(probed[i, own[near[i]]].all() for i in range(0, 4000, 37))
+
+
+def test_query_has_lists_to_choose_from(spark):
+    from ragcorpus.llm.queries import table
+
+    rows = table(spark, "/root/testdata/sf0.1", "embeddings").select(F.col("embedding").alias("v"), "label")
+    most = rows.groupBy("label").count().agg(F.max("count")).first()[0]
+    assert len(pq_dedup.fit_quantiser(rows, rows.count(), most, 64).centroids) >= 16
+
+
+def test_rare_values_that_differ_are_never_one(spark):
+    """Rows are told apart by value: two vectors of one label that differ in the last place are two."""
+    rows = [(2**53 + 1, [1.0, 2.0], 1), (None, [1.0, 2.0], 1), (5, [1.0, np.nextafter(2.0, 3.0)], 1), (6, [1.0, 2.0], 2)]
+    got = [tuple(r) for r in pq_dedup.near_vectors(spark.createDataFrame([(a, [float(x) for x in b], c) for a, b, c in rows], "vec_id long, embedding array<double>, label int")).collect()]
+    assert sorted(got, key=key) == sorted(brute(rows), key=key)
