@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragcorpus.llm._common import save
@@ -22,6 +22,8 @@ from ragcorpus.llm.components import connected_components
 BITS = 64
 #: Most fingerprints of one bucket that one task compares with as many others.
 BLOCK = 2048
+#: Fingerprints that one task sends to their buckets.
+FINGERPRINTS_PER_TASK = 100_000
 
 
 def simhash(text: str | None, words_per_shingle: int = 4, seed: int = 42) -> int:
@@ -55,15 +57,20 @@ def covering_masks(radius: int) -> list[int]:
     return masks
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp long): one row for each row of docs, fp the fingerprint's bits as a signed long."""
+def fingerprint(text: Column, words_per_shingle: int = 4, seed: int = 42) -> Column:
+    """The fingerprint's bits as a signed long; of a null text zero. Only texts go to Python, so ids stay as they are."""
 
-    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("long")
+    def bits(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            values = np.array([simhash(t, words_per_shingle, seed) for t in part["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": part["doc_id"], "fp": values.view(np.int64)})
+            yield pd.Series(np.array([simhash(t, words_per_shingle, seed) for t in part], np.uint64).view(np.int64))
+
+    return bits(text)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(batches, "doc_id long, fp long")
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, seed: int = 42) -> DataFrame:
+    """(doc_id, fp long): one row for each row of docs."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col), words_per_shingle, seed).alias("fp"))
 
 
 def fingerprint_links(fps: DataFrame, radius: int = 4) -> DataFrame:
@@ -74,7 +81,10 @@ def fingerprint_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     member, never all pairs, and a bucket of more than BLOCK members is dealt over pairs of blocks.
     """
     masks = F.array(*[F.lit(m) for m in covering_masks(radius)])
-    tables = fps.select("fp", F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))).alias("t", "k"))
+    # the distinct fingerprints are few beside what they become here, one row for each table, so they are dealt first
+    wide = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt_out = fps.select("fp").repartition(max(wide, -(-fps.count() // FINGERPRINTS_PER_TASK)), "fp")
+    tables = dealt_out.select("fp", F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))).alias("t", "k"))
     buckets = tables.groupBy("t", "k").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     pairs = buckets.where((F.col("n") == 2) & near).select("a", "b")
@@ -116,21 +126,18 @@ def group_labels(fp: np.ndarray, radius: int) -> np.ndarray:
 
 
 def first_of_each_group(docs: DataFrame, radius: int = 4, words_per_shingle: int = 4, seed: int = 42) -> DataFrame:
-    """The rows of docs(doc_id, text, ...) that stand for their group: smallest doc_id, then smallest text.
+    """The rows of docs(doc_id, text, ...) that stand for their group: smallest doc_id, then smallest digest of the text.
 
-    Decided on fingerprints and text hashes alone; the texts are read a second time and joined with the ids that
-    go, so a text is never shuffled by a group's key. Exact copies of a row that stands for its group leave one.
+    Decided on fingerprints and SHA-256 digests of (doc_id, text) alone; the texts are read a second time and joined
+    with the digests that stay, so a text is never shuffled by a group's key. Exact copies of a row that stands for its
+    group leave one. Null, empty and blank texts have the fingerprint zero and so form one group; rows without a doc_id
+    stay only where nobody in their group has one. No rows give none.
     """
-    own = docs.withColumn("_hash", F.xxhash64(F.col("doc_id"), F.col("text")))
-
-    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            values = np.array([simhash(t, words_per_shingle, seed) for t in part["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": part["doc_id"], "_hash": part["_hash"], "fp": values.view(np.int64)})
-
-    prints = save(own.select("doc_id", "_hash", "text").mapInPandas(batches, "doc_id long, _hash long, fp long"))
+    whole = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit(":"), F.col("text")), F.lit("")))
+    own = docs.withColumn("_hash", F.sha2(whole.cast("binary"), 256))
+    prints = save(own.select(F.col("doc_id").cast("long").alias("doc_id"), "_hash", fingerprint(F.col("text"), words_per_shingle, seed).alias("fp")))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_hash").alias("h"))).alias("best")
-    fps = prints.groupBy("fp").agg(best)
+    fps = save(prints.groupBy("fp").agg(best))
     comps = connected_components(fingerprint_links(fps.select("fp"), radius))
     named = fps.join(comps, F.col("fp") == F.col("node"), "left").select("best", F.coalesce("component", "fp").alias("component"))
     kept = named.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.h").alias("_hash"))
@@ -148,7 +155,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     equal texts share a fingerprint and so a component; other columns of docs are ignored. No rows give none.
     """
     prints = save(fingerprints(docs, id_col, text_col, words_per_shingle, seed))
-    fps = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    fps = save(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     comps = connected_components(fingerprint_links(fps.select("fp"), radius))
     named = fps.join(comps, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
