@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from ragcorpus.llm import _pieces
 from ragcorpus.llm._common import numbered, save
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def plan_runs(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -99,17 +98,20 @@ def token_pieces(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_
     """(doc_id, piece, start, length, ids_crc32): the ids of each text and the separator, cut into pieces.
 
     The ids are those of the tokenizer file beside the rank file: its added tokens have their ids in texts too.
+    Null and empty texts are one piece, the separator. Repeated rows repeat, and no rows give none.
     """
 
-    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
+    def pieces(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known, added = _pieces.cache(ranks_path, "<u4"), _pieces.added_tokens(ranks_path)
         end = np.array([separator], "<u4").tobytes()
+        names = ("piece", "start", "length", "ids_crc32")
         for part in parts:
-            rows = [(d, *p) for d, t in zip(part["doc_id"].astype(object), part["text"], strict=True) for p in cut_pieces(_pieces.encode_with_added(t, known, added) + end, capacity)]
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.assign(doc_id=pd.array([None if pd.isna(x) else int(x) for x in out["doc_id"]], "Int64"))
+            found = ([dict(zip(names, p, strict=True)) for p in cut_pieces(_pieces.encode_with_added(t, known, added) + end, capacity)] for t in part)
+            yield pd.Series(list(found), dtype=object)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(batches, PIECES)
+    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.explode(pieces(F.col(text_col))).alias("p"))
+    return cut.select("doc_id", "p.piece", "p.start", "p.length", "p.ids_crc32")
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
@@ -123,13 +125,16 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     most = int(max(counts.values(), default=0)) + 1
     keys = table[:, 0] * most + table[:, 1]
 
-    def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            run = np.searchsorted(keys, part["length"].to_numpy() * most + part["rank"].to_numpy(), "right") - 1
-            yield part.drop(columns="rank").assign(sequence_id=table[run, 3] + part["rank"].to_numpy() - table[run, 1], offset=table[run, 4])
+    @F.pandas_udf("struct<sequence_id:long,offset:long>")
+    def place(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for lengths, ranks in parts:
+            rank = ranks.to_numpy()
+            run = np.searchsorted(keys, lengths.to_numpy() * most + rank, "right") - 1
+            yield pd.DataFrame({"sequence_id": table[run, 3] + rank - table[run, 1], "offset": table[run, 4]})
 
     ranked = numbered(pieces, "length", [F.col("doc_id"), F.col("piece"), F.col("start")], "rank")
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(place, PIECES + ", sequence_id long, offset long")
+    placed = ranked.withColumn("at", place("length", "rank"))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset")
 
 
 def pack_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, separator: int = 0) -> DataFrame:
