@@ -223,23 +223,26 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Null and empty texts have none. Repeated rows repeat; a null doc_id stays null; other columns are ignored.
     """
     trees, thresholds = model()
+    names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]
 
-    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("struct<n_email:long,n_ip:long,n_card:long,n_phone:long,base_sha256:string,spans:string,n_added:long>")
+    def look(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for text in part["text"]:
+            for text in part:
                 base, every = find(text, trees, thresholds)
                 rows.append((*[sum(k == i for k, _, _ in base) for i in range(4)], hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every), len(every) - len(base)))
-            out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
-            out.insert(0, "doc_id", part["doc_id"].to_numpy())
-            yield out
+            yield pd.DataFrame(rows, columns=names)
 
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(batches, schema)
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), look(F.col(text_col)).alias("found"))
+    return found.select("doc_id", *[f"found.{n}" for n in names])
 
 
 def redacted(text: Column) -> Column:
-    """The text with every span replaced by its kind in brackets; spans of several kinds that overlap become one."""
+    """The text with every span replaced by its kind in brackets; spans of several kinds that overlap become one.
+
+    Null and empty texts, and texts without a span, stay as they are.
+    """
     trees, thresholds = model()
 
     @F.pandas_udf("string")
