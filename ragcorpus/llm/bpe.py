@@ -23,8 +23,11 @@ from ragcorpus.llm import _pieces
 
 #: A block is closed at so many characters; one longer document is a block of its own.
 BLOCK_CHARS = 6_000_000
-#: Buckets of words for each shuffle partition.
-BUCKETS_PER_PARTITION = 4
+#: Characters of text for each bucket of words; a bucket's rows stream through their task, which keeps the bucket's
+#: distinct words only, so MOST_BUCKETS bounds the rows that a block sends, not what a task holds.
+BUCKET_CHARS, MOST_BUCKETS = 16_000_000, 16_384
+#: Characters of text for each task that puts blocks together again.
+GROUP_CHARS = 64_000_000
 
 
 def _blocks(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[str], list[tuple]]]:
@@ -69,8 +72,12 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
     texts have no ids. A null doc_id stays null, repeated rows repeat, other columns are ignored, no rows give none.
     docs must read the same rows in the same partitions each time, as files and written tables do.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n_buckets = BUCKETS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # as text, since pandas would make floats of nullable longs
+    own = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    chars = own.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = max(4 * least, min(MOST_BUCKETS, chars // BUCKET_CHARS))
+    n_groups = max(least, chars // GROUP_CHARS)
     kind = "<u2" if max(_pieces.read_ranks(ranks_path).values()) < 1 << 16 else "<u4"
 
     def words_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,8 +96,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
             bucket, check = _buckets(words, n_buckets)
             for at in range(0, len(rows), 2_000):
                 some = rows[at : at + 2_000]
-                ids = pd.array([None if pd.isna(d) else int(d) for d, _ in some], "Int64")
                 head = [_squeezed(bucket) if at + i == 0 else None for i in range(len(some))]
+                ids = pd.Series([d for d, _ in some], dtype=object)
                 yield pd.DataFrame({"block": block, "check": check, "doc_id": ids, "places": [_squeezed(p) for _, p in some], "buckets": head})
 
     def encode_once(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,12 +140,14 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
             raise RuntimeError("words of a block are missing")
         listed = words.tolist()
         out = [np.frombuffer(b"".join(map(listed.__getitem__, _spread(p).tolist())), kind).astype("<u4") for p in rows["places"]]
-        return pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "n_tokens": [len(x) for x in out], "ids": [x.tobytes() for x in out]})
+        return pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(object), "n_tokens": [len(x) for x in out], "ids": [x.tobytes() for x in out]})
 
-    dealt = own.mapInPandas(words_of, "bucket int, block long, check long, chars binary, lengths binary").repartition("bucket").sortWithinPartitions("bucket")
+    dealt = own.mapInPandas(words_of, "bucket int, block long, check long, chars binary, lengths binary").repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
     encoded = dealt.mapInPandas(encode_once, "block long, bucket int, check long, sizes binary, ids binary")
-    positions = own.mapInPandas(positions_of, "block long, check long, doc_id long, places binary, buckets binary")
-    return positions.groupBy("block").cogroup(encoded.groupBy("block")).applyInPandas(assemble, "doc_id long, n_tokens long, ids binary")
+    positions = own.mapInPandas(positions_of, "block long, check long, doc_id string, places binary, buckets binary")
+    left, right = positions.repartition(n_groups, "block"), encoded.repartition(n_groups, "block")
+    whole = left.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(assemble, "doc_id string, n_tokens long, ids binary")
+    return whole.select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", "ids")
 
 
 def decoded(ids: Column, ranks_path: str) -> Column:
