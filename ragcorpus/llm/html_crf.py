@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -114,25 +115,86 @@ def _hidden_ends(page: str) -> dict[int, int]:
     return ends
 
 
+class _Open:
+    """An open element: its place in the order of opening, its neighbour below, and what its marks tell."""
+
+    __slots__ = ("above", "below", "block", "inside", "marks", "seq", "tag")
+
+    def __init__(self, tag: str, marks: tuple[str, ...], seq: int, below: _Open | None, block: _Open | None):
+        self.tag, self.marks, self.seq, self.below, self.above, self.block = tag, marks, seq, below, None, block
+        self.inside: Counter = Counter()  # marks of the inline elements that stand on a block, up to the next block
+
+
+class _Stack:
+    """The open elements of a page. Each step costs the same however deep they nest: what a block of text asks about its
+    ancestors is counted as elements open and close."""
+
+    def __init__(self) -> None:
+        self.top = _Open("", (), -1, None, None)
+        self.by_tag: dict[str, list[_Open]] = {}
+        self.blocks: list[_Open] = [self.top]
+        self.features: Counter = Counter()
+        self.seq = 0
+
+    def last(self, tag: str) -> _Open | None:
+        found = self.by_tag.get(tag)
+        return found[-1] if found else None
+
+    def push(self, tag: str, marks: tuple[str, ...]) -> None:
+        own = _Open(tag, marks, self.seq, self.top, self.blocks[-1])
+        self.seq += 1
+        self.top.above = own
+        self.top = own
+        self.by_tag.setdefault(tag, []).append(own)
+        if tag in BLOCK:
+            self.features[f"in:{tag}"] += 1
+            self.blocks.append(own)
+        if marks:
+            self.features.update(marks)
+            if tag not in BLOCK:
+                own.block.inside.update(marks)
+
+    def remove(self, own: _Open) -> None:
+        """Take the last element of its tag out, wherever it stands; a block only from the top."""
+        self.by_tag[own.tag].pop()
+        if own.tag in BLOCK:
+            self.features[f"in:{own.tag}"] -= 1
+            self.blocks.pop()
+        if own.marks:
+            self.features.subtract(own.marks)
+            if own.tag not in BLOCK:
+                own.block.inside.subtract(own.marks)
+        own.below.above = own.above
+        if own.above:
+            own.above.below = own.below
+        else:
+            self.top = own.below
+
+    def pop_to(self, own: _Open) -> None:
+        while self.top.seq >= own.seq:
+            self.remove(self.top)
+
+    def path(self) -> tuple[str, tuple[str, ...]]:
+        """The tag of the nearest block and the features of all ancestors; those from one below that block on are near."""
+        block = self.blocks[-1]
+        near = {m for m, n in block.inside.items() if n > 0} | set(block.marks) | set(block.below.marks if block.below else ())
+        return block.tag or "body", tuple(sorted({f for f, n in self.features.items() if n > 0} | {f"near:{m}" for m in near}))
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The text blocks of a page in order; text outside of any element counts as the body's."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = _Stack()
     pieces: list[str] = []
     linked = at = 0
-    hidden = 0  # depth of head and hidden elements
 
     def flush() -> None:
         nonlocal linked
         if pieces:
-            joined = "".join(pieces)
-            text = " ".join(joined.split())
-            if text and not hidden:
-                names = [t for t, _ in stack]
-                tag = next((t for t in reversed(names) if t in BLOCK), "body")
-                depth = len(names) - 1 - names[::-1].index(tag) if tag in names else -1
-                path = tuple(sorted({f"in:{t}" for t in names if t in BLOCK} | {m for _, ms in stack for m in ms} | {f"near:{m}" for _, ms in stack[max(0, depth - 1) :] for m in ms}))
+            text = " ".join("".join(pieces).split())
+            if text and not stack.last("head"):
+                tag, path = stack.path()
                 out.append(Block(text, path, tag, min(linked, len(text))))
             pieces.clear()
         linked = 0
@@ -141,15 +203,9 @@ def blocks_of(page: str | None) -> list[Block]:
         nonlocal linked
         text = entities.unescape(raw) if "&" in raw else raw
         pieces.append(text)
-        if any(t == "a" for t, _ in stack):
+        if stack.last("a"):
             linked += len(text.strip())
 
-    def pop_to(i: int) -> None:
-        nonlocal hidden
-        for t, _ in stack[i:]:
-            hidden -= t == "head"
-        del stack[i:]
-
     n, ends = len(page), _hidden_ends(page)
     while at < n:
         m = _TAG.search(page, at)
@@ -178,38 +234,30 @@ def blocks_of(page: str | None) -> list[Block]:
                 flush()
             continue
         if closing:
-            names = [t for t, _ in stack]
             if tag in BLOCK:
                 flush()
-            if tag in names:
-                i = len(names) - 1 - names[::-1].index(tag)
-                # an inline element left open does not close blocks around it
-                if tag in BLOCK or not any(t in BLOCK for t in names[i + 1 :]):
-                    pop_to(i)
+            if own := stack.last(tag):
+                # the end of an inline element closes no blocks that stand on it
+                if tag in BLOCK or stack.blocks[-1].seq < own.seq:
+                    stack.pop_to(own)
                 else:
-                    del stack[i]
+                    stack.remove(own)
             continue
         if tag in BLOCK:
             flush()
-            names = [t for t, _ in stack]
-            if tag in CLOSES_P and "p" in names:
-                pop_to(len(names) - 1 - names[::-1].index("p"))
+            if tag in CLOSES_P and (p := stack.last("p")):
+                stack.pop_to(p)
             elif tag in SIBLINGS:
                 kin, limits = SIBLINGS[tag]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in limits:
-                        break
-                    if stack[i][0] in kin.split():
-                        pop_to(i)
-                        break
-            elif tag == "body":
-                names = [t for t, _ in stack]
-                if "head" in names:
-                    pop_to(names.index("head"))
+                nearest = lambda tags: max((e for t in tags if (e := stack.last(t))), key=lambda e: e.seq, default=None)
+                sibling, limit = nearest(kin.split()), nearest(limits)
+                if sibling and (not limit or limit.seq < sibling.seq):
+                    stack.pop_to(sibling)
+            elif tag == "body" and (heads := stack.by_tag.get("head")):
+                stack.pop_to(heads[0])
         marks = _marks(attributes) if attributes else ()
         if not attributes.endswith("/"):
-            stack.append((tag, marks))
-            hidden += tag == "head"
+            stack.push(tag, marks)
     flush()
     return out
 
@@ -435,10 +483,10 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     model = field()
     model.paths = {}
 
-    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("string")
+    def extract(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            text = [main_text(h, model) for h in part["html"]]
-            yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "text": text, "n_chars": [len(t) for t in text]})
+            yield pd.Series([main_text(h, model) for h in part], dtype=object)
 
-    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return own.mapInPandas(batches, "page_id long, url string, text string, n_chars long")
+    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), extract(F.col(html_col)).alias("text"))
+    return own.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,3 +87,10 @@ def test_odd_pages(spark):
     assert {r["text"] for r in got if r["page_id"] in (1, 2, 5, 7)} == {""}
     assert next(r["n_chars"] for r in got if r["page_id"] == 6) == 399_999
     assert html_crf.extract_pages(df.where("page_id > 99")).collect() == []
+
+
+@pytest.mark.parametrize("part", ["<div>x", "<b class=nav>x", "<li>x<b>"])
+def test_deep_pages_take_time_in_proportion(part):
+    start = time.process_time()
+    blocks = html_crf.blocks_of(part * 30_000)
+    assert blocks and time.process_time() - start < 10
