@@ -2,7 +2,8 @@
 
 A file is 16-bit big-endian ids, one document after another, each followed by the end-of-document id. Files are read
 in blocks; the separators of a block are found at once, and a prefix scan over the blocks of a file stitches the
-documents that reach over block boundaries.
+documents that reach over block boundaries. A file of ids cannot say whose they are, so the files of count_tokens begin
+with a record that is no document: the doc_ids that follow, as text.
 """
 
 from __future__ import annotations
@@ -21,20 +22,45 @@ from ragcorpus.llm._common import new_path
 #: text writer, which ends each row with a line separator, writes flat token files.
 END_OF_DOCUMENT = 0xC480
 BLOCK_TOKENS = 1 << 16
-#: Documents of one file, which a task reads whole before it is cut into blocks.
-FILE_DOCUMENTS = 2_000
+#: A file is closed at so many ids or documents; one longer document is a file of its own. A task reads a file whole before
+#: it is cut into blocks. The list of doc_ids is at most 21 bytes a document and so lies within the first block.
+FILE_TOKENS, FILE_DOCUMENTS = 2_000_000, 2_000
 
 
-def write_token_files(docs: DataFrame, path: str, ranks_path: str, text_col: str = "text") -> None:
-    """Write the texts of docs as flat token files of at most FILE_DOCUMENTS documents. Null and empty texts are a separator alone."""
+def write_token_files(docs: DataFrame, path: str, ranks_path: str, text_col: str = "text", id_col: str | None = None) -> None:
+    """Write the texts of docs as flat token files, which begin with a record of their doc_ids where id_col is given.
+
+    Null and empty texts are a separator alone; no rows give no files.
+    """
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _pieces.cache(ranks_path, ">u2")
-        for part in parts:
-            yield pd.DataFrame({"ids": [_pieces.encode_bytes(t, known) for t in part["text"]]})
+        known, end = _pieces.cache(ranks_path, ">u2"), np.array([END_OF_DOCUMENT], ">u2").tobytes()
+        held: list[bytes] = []
+        names: list[str] = []
+        size = 0
 
-    flat = docs.select(F.col(text_col).alias("text")).mapInPandas(batches, "ids binary")
-    flat.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", chr(256)).option("maxRecordsPerFile", FILE_DOCUMENTS).text(path)
+        def file() -> pd.DataFrame:
+            listed = ",".join(names).encode()
+            return pd.DataFrame({"ids": [end.join([listed + b"," * (len(listed) % 2), *held] if id_col else held)]})
+
+        for part in parts:
+            for name, text in zip(part["name"], part["text"], strict=True):
+                ids = _pieces.encode_bytes(text, known)
+                if held and (size + len(ids) // 2 > FILE_TOKENS or len(held) >= FILE_DOCUMENTS):
+                    yield file()
+                    held.clear()
+                    names.clear()
+                    size = 0
+                held.append(ids)
+                names.append(name if isinstance(name, str) else "n")
+                size += len(ids) // 2
+        if held:
+            yield file()
+
+    own = docs.select((F.col(id_col).cast("long").cast("string") if id_col else F.lit("")).alias("name"), F.col(text_col).alias("text"))
+    # a row is all documents of a file but for the last separator, which the writer adds
+    rows = own.mapInPandas(batches, "ids binary").select(F.col("ids").cast("string").alias("value"))
+    rows.write.option("lineSep", chr(256)).option("maxRecordsPerFile", 1).text(path)
 
 
 def read_token_blocks(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -43,7 +69,7 @@ def read_token_blocks(spark: SparkSession, path: str, block_tokens: int = BLOCK_
     size = 2 * block_tokens
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / size).cast("int")), lambda i: F.substring("content", i * size + 1, F.lit(size)))
     # the number of the task and the number of its file; what stands between differs from run to run
-    name = F.concat_ws("-", F.regexp_extract("path", r"(part-\d+)[^/]*$", 1), F.regexp_extract("path", r"-c(\d+)[^/]*$", 1))
+    name = F.concat_ws("-", F.regexp_extract("path", r"(part-\d+)[^/]*$", 1), F.regexp_extract("path", r"-c(\d+)(?:\.\w+)*$", 1))
     return files.where("length > 0").select(name.alias("file"), F.posexplode(blocks).alias("block", "ids"))
 
 
@@ -82,13 +108,21 @@ def scan_separators(blocks: DataFrame, end: int = END_OF_DOCUMENT) -> DataFrame:
     return each.select("file", (F.col("docs_before") + F.col("i")).alias("doc_no"), (F.col("first") + F.col("d.a")).alias("start"), (F.col("d.b") - F.col("d.a")).alias("n_tokens"))
 
 
-def count_tokens(docs: DataFrame, ranks_path: str, text_col: str = "text") -> DataFrame:
-    """Write docs as flat token files in the shared folder and count the tokens of each document there.
+def count_tokens(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, file, doc_no, start, n_tokens): write docs as flat token files in the shared folder and count each
+    document's tokens there. doc_no counts the documents of a file from 0, start its ids after the list of doc_ids.
 
-    Documents are known by their file and their place in it, in the order in which they were written, as the files
-    hold nothing else. Null and empty texts count 0; repeated rows are documents of their own; other columns of docs
-    are ignored; no rows give none.
+    Null and empty texts count 0; a null doc_id stays null; repeated rows are documents of their own; other columns of
+    docs are ignored; no rows give none.
     """
     path = new_path(docs.sparkSession)
-    write_token_files(docs, path, ranks_path, text_col)
-    return scan_separators(read_token_blocks(docs.sparkSession, path))
+    write_token_files(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), path, ranks_path, "text", "doc_id")
+    blocks = read_token_blocks(docs.sparkSession, path)
+    counted = scan_separators(blocks)
+    # the list of doc_ids is the first record of a file; its length is known from the scan
+    first = counted.where("doc_no = 0").select(F.col("file").alias("_file"), F.col("n_tokens").alias("_n"))
+    listed = blocks.where("block = 0").join(first, F.col("file") == F.col("_file")).select("_file", "_n", F.split(F.substring("ids", F.lit(1), (2 * F.col("_n")).cast("int")).cast("string"), ",").alias("names"))
+    each = listed.select("_file", "_n", F.posexplode("names").alias("_at", "name")).where("name <> ''")
+    same = (F.col("file") == F.col("_file")) & (F.col("doc_no") - 1 == F.col("_at"))
+    found = counted.where("doc_no > 0").join(each, same)
+    return found.select(F.when(F.col("name") != "n", F.col("name")).cast("long").alias("doc_id"), "file", (F.col("doc_no") - 1).alias("doc_no"), (F.col("start") - F.col("_n") - 1).alias("start"), "n_tokens")
