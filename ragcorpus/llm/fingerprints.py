@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 K = 128
 WORDS = 5
 _SPACE = 2.0**32
-#: Most ranges of ids that documents are dealt over to find their next one; their bounds come to the driver.
-MOST_RANGES = 1024
+#: Documents of one range of ids, dealt over to find their next one, and ranges of one group, whose bounds are found together.
+RANGE_ROWS, GROUP_RANGES = 32_768, 512
 
 
 def word_hashes(text: Column) -> Column:
@@ -58,28 +58,57 @@ def encoded(a: Column) -> Column:
     return F.lower(F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 8, "0")), ""))
 
 
+def _count(bounds: Column, value: Column, steps: int, equal: bool) -> Column:
+    """How many of the ascending bounds are below the value, or at most it; `steps` halvings find that."""
+    less = (lambda b: b <= value) if equal else (lambda b: b < value)
+    sizes = F.array(*[F.lit(1 << i) for i in range(steps - 1, -1, -1)])
+    return F.aggregate(sizes, F.lit(0), lambda at, step: F.when(less(F.get(bounds, at + step - 1)), at + step).otherwise(at))
+
+
+def _bounds(keys: DataFrame, key: str, ranges: int) -> list[int]:
+    """Ascending bounds between `ranges` ranges of nearly equal numbers of rows; a frequent key is bound more than once.
+
+    Quantiles of groups of ranges come first, then quantiles within each group, so that no aggregate keeps a
+    summary of all ranges. One number a range comes to the driver.
+    """
+    groups = -(-ranges // GROUP_RANGES)
+    quantiles = lambda n: F.percentile_approx(key, [i / n for i in range(1, n)], 20 * n) if n > 1 else F.array().cast("array<bigint>")
+    coarse = keys.agg(quantiles(groups).alias("q")).first()["q"] or []
+    each = -(-ranges // groups)
+    group = _count(F.lit(coarse) if coarse else F.array().cast("array<bigint>"), F.col(key), len(coarse).bit_length(), False)
+    fine = keys.groupBy(F.coalesce(group, F.lit(0)).alias("g")).agg(quantiles(each).alias("q")).collect()  # one row a group
+    return sorted(coarse + [b for r in fine for b in r["q"] or []])
+
+
 def with_next(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """docs(id_col, hash, columns) and next_<column> of the next row by ascending (id, hash), after the last the first.
+    """docs(id_col, _hash, columns) and next_<column> of the next row by ascending (id, hash), after the last the first.
 
-    Rows are dealt once, over ranges of ids with equal numbers of rows; the first row of a range is also sent
-    to the range before it, so that no order over all rows is needed.
+    Rows are dealt once, over ranges of ids with nearly equal numbers of rows; an id that fills more than a range is
+    dealt on by its rows' hashes. The first row of a range is also sent to the range before it, so that no order
+    over all rows is needed. A null id counts as the least long.
     """
     spark = docs.sparkSession
-    ranges = min(MOST_RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = docs.agg(F.percentile_approx(id_col, [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or []
-    bounds = sorted(set(bounds))
-    steps = [1 << i for i in range(len(bounds).bit_length() - 1, -1, -1)] or [1]
-    known = F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>")
-    below = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, step: F.when(F.get(known, at + step - 1) < F.col(id_col), at + step).otherwise(at))
-    placed = docs.withColumn("_range", F.coalesce(below, F.lit(0)))
-    firsts = docs.select(id_col, "_hash").withColumn("_range", F.coalesce(below, F.lit(0))).groupBy("_range").agg(F.min(F.struct(F.col(id_col).isNotNull().alias("some"), F.col(id_col).alias("id"), F.col("_hash").alias("h"))).alias("first"))
-    firsts = sorted((r["_range"], r["first"]["id"], r["first"]["h"]) for r in firsts.collect())  # one row for each range
-    before = [(firsts[i - 1][0], d, h) for i, (_, d, h) in enumerate(firsts)]
-    heads = F.broadcast(spark.createDataFrame(before, f"_range int, _id {docs.schema[id_col].dataType.simpleString()}, _h long"))
-    sent = docs.join(heads, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h"))).drop("_id", "_h")
+    key = F.coalesce(F.col(id_col), F.lit(-(1 << 63)))
+    keys = docs.select(key.alias("_key"))
+    ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys.count() // RANGE_ROWS))
+    bounds = _bounds(keys, "_key", ranges)
+    steps = len(bounds).bit_length()
+    # eight bytes a range: at most a few megabytes for 10^10 documents
+    known = F.broadcast(spark.createDataFrame([(bounds,)], "_bounds array<bigint>"))
+    low, high = _count(F.col("_bounds"), F.col("_key"), steps, False), _count(F.col("_bounds"), F.col("_key"), steps, True)
+    # 0 .. 2^31 - 1 in the order of the hashes
+    part = F.shiftright("_hash", 33) + (1 << 30)
+    number = low + F.shiftright(part * (high - low + 1), 31).cast("int")
+    ranged = lambda df: df.withColumn("_key", key).crossJoin(known).withColumn("_range", number).drop("_bounds")  # noqa: E731 - one row of bounds
+    placed = ranged(docs)
+    firsts = ranged(docs.select(id_col, "_hash")).groupBy("_range").agg(F.min(F.struct("_key", "_hash")).alias("first"))  # one row a range
+    order = Window.orderBy("_range")
+    # the first row of each range goes to the one before it that has rows, that of the first range to the last
+    before = firsts.select(F.coalesce(F.lag("_range").over(order), F.max("_range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_range"), F.col("first._key").alias("_k"), F.col("first._hash").alias("_h"))
+    sent = docs.withColumn("_key", key).join(F.broadcast(before), (F.col("_key") == F.col("_k")) & (F.col("_hash") == F.col("_h"))).drop("_k", "_h")
     every = placed.withColumn("_sent", F.lit(False)).unionByName(sent.withColumn("_sent", F.lit(True))).repartition(ranges, "_range")
-    order = Window.partitionBy("_range").orderBy("_sent", id_col, "_hash")
-    return every.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).where("not _sent").drop("_sent", "_range")
+    order = Window.partitionBy("_range").orderBy("_sent", "_key", "_hash")
+    return every.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).where("not _sent").drop("_sent", "_range", "_key")
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
@@ -87,8 +116,9 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     The edited text has its last half (rounded down, code points) replaced by the first as many of the next
     document by ascending doc_id. Null texts count as empty; empty sketches are alike (1) and unlike any other (0).
-    Rows of one doc_id follow one another by the hash of their text, so a repeated row's next is its copy. A null
-    doc_id comes first. Other columns are ignored; no rows give none.
+    Rows of one doc_id follow one another by the hash of their text, so a repeated row's next is its copy; only rows
+    that repeat both stay in one task. A null doc_id counts as the least long. Other columns are ignored; no rows
+    give none.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     own = own.select("doc_id", F.xxhash64("text").alias("_hash"), "text", word_hashes(F.col("text")).alias("words"))

@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from ragcorpus.llm import fingerprints
@@ -63,3 +64,18 @@ def test_merge_containment_and_counts(spark):
     df = spark.createDataFrame([(a, b)], "a string, b string").select(*[fingerprints.sketch(fingerprints.word_hashes(F.col(c))).alias(c) for c in "ab"])
     r = df.select(fingerprints.containment(F.col("b"), F.col("a")).alias("c"), fingerprints.distinct_shingles(F.col("a")).alias("n"), (fingerprints.merged(F.col("a"), F.col("b")) == F.col("a")).alias("m")).first()
     assert r["c"] > 0.8 and 450 < r["n"] < 760 and r["m"]
+
+
+@pytest.mark.parametrize("rows_per_range, group", [(3, 2), (2, 512)])
+def test_hot_ids_and_many_ranges(spark, monkeypatch, rows_per_range, group):
+    """A null id and one other id hold two thirds of the rows; each row is followed by the next in order of (id, hash)."""
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", rows_per_range)
+    monkeypatch.setattr(fingerprints, "GROUP_RANGES", group)
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, f"text {i} of its own words {i * i}") for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_hash", F.xxhash64("text"))
+    got = fingerprints.with_next(df, "doc_id", ["text"]).collect()
+    order = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["_hash"], r["text"]) for r in df.collect()))
+    want = {a[3]: b[3] for a, b in zip(order, [*order[1:], order[0]], strict=True)}
+    assert {r["text"]: r["next_text"] for r in got} == want and len(got) == 90
+    ranges = fingerprints._bounds(df.select(F.coalesce("doc_id", F.lit(-1)).alias("k")), "k", 90 // rows_per_range)
+    assert ranges == sorted(ranges) and ranges.count(5) > 3
