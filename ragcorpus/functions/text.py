@@ -27,7 +27,7 @@ def is_pdf_url(url: Column) -> Column:
 
 def path_domain(path: Column, root: str) -> Column:
     """The first directory below root, else `unknown`."""
-    below = F.when(F.startswith(path, F.lit(root.rstrip("/") + "/")), F.substring(path, len(root.rstrip("/")) + 2, 1_000_000))
+    below = F.when(F.startswith(path, F.lit(root.rstrip("/") + "/")), F.substr(path, F.lit(len(root.rstrip("/")) + 2)))
     parts = F.split(below, "/")
     return F.when(F.size(parts) > 1, F.get(parts, F.lit(0))).otherwise(F.lit("unknown"))
 

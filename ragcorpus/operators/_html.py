@@ -1,14 +1,21 @@
-"""A small HTML reader for one page: visible text, links, and Markdown of a subset of elements."""
+"""A small HTML reader for one page: visible text, links, and Markdown of a subset of elements.
+
+Pages may nest to any depth, so nothing here recurses: trees are walked with lists of what is still to come, and
+the writers are generators that hand over to one another.
+"""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 P_ENDS = frozenset("p div ul ol table section article nav aside header footer main blockquote pre h1 h2 h3 h4 h5 h6 form hr dl".split())
+INLINE = frozenset("a b strong i em span code img br small sup sub u label abbr".split())
 KEPT_LINKS = ("http://", "https://", "//", "mailto:", "#")
 
 
@@ -18,14 +25,20 @@ class Node:
     attrs: dict[str, str] = field(default_factory=dict)
     children: list = field(default_factory=list)  # nodes and texts
 
-    def walk(self):
-        yield self
-        for c in self.children:
-            if isinstance(c, Node):
-                yield from c.walk()
+    def everything(self) -> Iterator[Node | str]:
+        """The node, and all nodes and texts in it, in page order."""
+        ahead: list = [self]
+        while ahead:
+            now = ahead.pop()
+            yield now
+            if isinstance(now, Node):
+                ahead += reversed(now.children)
+
+    def walk(self) -> Iterator[Node]:
+        return (n for n in self.everything() if isinstance(n, Node))
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        return "".join(n for n in self.everything() if isinstance(n, str))
 
 
 class _Builder(HTMLParser):
@@ -33,25 +46,29 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("[document]")
         self.stack = [self.root]
+        self.open: Counter = Counter()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        names = [n.tag for n in self.stack]
-        if tag in P_ENDS and "p" in names:
+        last = self.stack[-1].tag
+        if tag in P_ENDS:
             self._close("p")
-        if tag in ("li", "td", "th", "tr", "dt", "dd", "option") and names[-1] == tag:
-            self.stack.pop()
+        if tag in ("li", "td", "th", "tr", "dt", "dd", "option") and last == tag:
+            self._close(tag)
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.stack[-1].children.append(node)
         if tag not in VOID:
             self.stack.append(node)
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.stack[-1].children.append(Node(tag, {k: v or "" for k, v in attrs}))
 
     def _close(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                del self.stack[i:]
+        """Close the last open element of a tag and all in it, where there is one."""
+        while self.open[tag]:
+            gone = self.stack.pop().tag
+            self.open[gone] -= 1
+            if gone == tag:
                 return
 
     def handle_endtag(self, tag: str) -> None:
@@ -78,20 +95,21 @@ def matches(node: Node, selector: str) -> bool:
     return not m[3] or (m[3] == node.attrs.get("id") if m[2] == "#" else m[3] in node.attrs.get("class", "").split())
 
 
-def strip(node: Node, selectors: list[str], drop_tail: bool = False) -> None:
+def strip(root: Node, selectors: list[str], drop_tail: bool = False) -> None:
     """Remove the elements that match; with drop_tail also the text right behind them."""
-    kept: list = []
-    removed = False
-    for c in node.children:
-        if isinstance(c, Node):
-            removed = any(matches(c, s) for s in selectors)
-            if removed:
+    ahead = [root]
+    while ahead:
+        node, kept, removed = ahead.pop(), [], False
+        for c in node.children:
+            if isinstance(c, Node):
+                removed = any(matches(c, s) for s in selectors)
+                if removed:
+                    continue
+                ahead.append(c)
+            elif removed and drop_tail:
                 continue
-            strip(c, selectors, drop_tail)
-        elif removed and drop_tail:
-            continue
-        kept.append(c)
-    node.children = kept
+            kept.append(c)
+        node.children = kept
 
 
 def first(node: Node, selector: str) -> Node | None:
@@ -111,17 +129,7 @@ def absolutize(root: Node, base: str) -> None:
 
 def visible_text(root: Node) -> str:
     """Stripped text nodes, one a line; scripts and styles count as text here, as they are text nodes too."""
-    out: list[str] = []
-
-    def visit(node: Node) -> None:
-        for c in node.children:
-            if isinstance(c, Node):
-                visit(c)
-            elif t := c.strip():
-                out.append(t)
-
-    visit(root)
-    return "\n".join(out)
+    return "\n".join(t for n in root.everything() if isinstance(n, str) and (t := n.strip()))
 
 
 def outlinks(root: Node) -> list[str]:
@@ -131,35 +139,49 @@ def outlinks(root: Node) -> list[str]:
 HIDDEN = frozenset(("script", "style", "head", "noscript", "template"))
 
 
+def _run(task: Generator) -> None:
+    """Run a generator to its end, and each generator that one hands out before it goes on."""
+    stack = [task]
+    while stack:
+        try:
+            stack.append(next(stack[-1]))
+        except StopIteration:
+            stack.pop()
+
+
 def markdown(node: Node, links: bool = True, images: bool = True, tables: bool = True) -> str:
     """Markdown of h1-h6, p, br, lists, b/strong, i/em, a, img, pre/code, blockquote and tables, without wrapping."""
 
-    def inline(n: Node) -> str:
-        out = ""
+    def write(n: Node, parts: list[str]) -> Generator:
         for c in n.children:
             if isinstance(c, str):
-                out += re.sub(r"\s+", " ", c)
+                parts.append(re.sub(r"\s+", " ", c))
             elif c.tag in HIDDEN:
                 continue
             elif c.tag == "br":
-                out += "  \n"
-            elif c.tag in ("b", "strong") and inline(c).strip():
-                out += f"**{inline(c).strip()}**"
-            elif c.tag in ("i", "em") and inline(c).strip():
-                out += f"_{inline(c).strip()}_"
+                parts.append("  \n")
             elif c.tag == "code":
-                out += f"`{c.text()}`"
-            elif c.tag == "a" and links and c.attrs.get("href") and inline(c).strip():
-                out += f"[{inline(c).strip()}](<{c.attrs['href']}>)"
+                parts.append(f"`{c.text()}`")
             elif c.tag == "img":
-                out += f"![{c.attrs.get('alt', '')}](<{c.attrs['src']}>)" if images and c.attrs.get("src") else ""
+                if images and c.attrs.get("src"):
+                    parts.append(f"![{c.attrs.get('alt', '')}](<{c.attrs['src']}>)")
             else:
-                out += inline(c)
-        return out
+                at = len(parts)
+                yield write(c, parts)
+                marks = ("**", "**") if c.tag in ("b", "strong") else ("_", "_") if c.tag in ("i", "em") else None
+                if c.tag == "a" and links and c.attrs.get("href"):
+                    marks = ("[", f"](<{c.attrs['href']}>)")
+                if marks and (inner := "".join(parts[at:]).strip()):
+                    parts[at:] = [marks[0] + inner + marks[1]]
+
+    def inline(n: Node) -> str:
+        parts: list[str] = []
+        _run(write(n, parts))
+        return "".join(parts)
 
     blocks: list[str] = []
 
-    def visit(n: Node, depth: int, quote: str) -> None:
+    def visit(n: Node, depth: int, quote: str) -> Generator:
         buffer = Node("span")
 
         def flush() -> None:
@@ -169,7 +191,7 @@ def markdown(node: Node, links: bool = True, images: bool = True, tables: bool =
             buffer.children = []
 
         for c in n.children:
-            if isinstance(c, str) or c.tag in ("a", "b", "strong", "i", "em", "span", "code", "img", "br", "small", "sup", "sub", "u", "label", "abbr"):
+            if isinstance(c, str) or c.tag in INLINE:
                 buffer.children.append(c)
                 continue
             if c.tag in HIDDEN:
@@ -183,11 +205,11 @@ def markdown(node: Node, links: bool = True, images: bool = True, tables: bool =
                 lines = []
                 for k, item in enumerate(items, 1):
                     nested = [x for x in item.children if isinstance(x, Node) and x.tag in ("ul", "ol")]
-                    flat = Node("span", {}, [x for x in item.children if x not in nested])
+                    flat = Node("span", {}, [x for x in item.children if not (isinstance(x, Node) and x.tag in ("ul", "ol"))])
                     lines.append("  " * depth + ("  * " if c.tag == "ul" else f"  {k}. ") + inline(flat).strip())
                     for x in nested:
                         at = len(blocks)
-                        visit(Node("div", {}, [x]), depth + 1, "")
+                        yield visit(Node("div", {}, [x]), depth + 1, "")
                         lines += blocks[at:]
                         del blocks[at:]
                 if lines:
@@ -195,7 +217,7 @@ def markdown(node: Node, links: bool = True, images: bool = True, tables: bool =
             elif c.tag == "pre":
                 blocks.append(quote + "```\n" + c.text().strip("\n") + "\n```")
             elif c.tag == "blockquote":
-                visit(c, depth, quote + "> ")
+                yield visit(c, depth, quote + "> ")
             elif c.tag == "table" and tables:
                 rows = [[inline(d).strip() for d in r.children if isinstance(d, Node) and d.tag in ("td", "th")] for r in c.walk() if r.tag == "tr"]
                 rows = [r for r in rows if r]
@@ -205,10 +227,10 @@ def markdown(node: Node, links: bool = True, images: bool = True, tables: bool =
             elif c.tag == "hr":
                 blocks.append(quote + "* * *")
             else:
-                visit(c, depth, quote)
+                yield visit(c, depth, quote)
         flush()
 
-    visit(Node("div", {}, [node]) if node.tag in P_ENDS or node.tag == "pre" else node, 0, "")
+    _run(visit(Node("div", {}, [node]) if node.tag in P_ENDS or node.tag == "pre" else node, 0, ""))
     return "\n\n".join(blocks)
 
 
@@ -216,30 +238,29 @@ def header_sections(root: Node, levels: int = 5) -> list[tuple[dict[str, str], s
     """(path of headers, own header, text) of the runs between h1 .. h<levels>."""
     out: list[tuple[dict[str, str], str, str]] = []
     path: dict[str, str] = {}
-    own: list[str] = [""]
+    own = ""
     texts: list[str] = []
 
     def close() -> None:
         if texts:
-            out.append((dict(path), own[0], "\n".join(texts)))
+            out.append((dict(path), own, "\n".join(texts)))
             texts.clear()
 
-    def visit(node: Node) -> None:
-        for c in node.children:
-            if isinstance(c, str):
-                if t := " ".join(c.split()):
-                    texts.append(t)
-            elif c.tag in HIDDEN:
-                continue
-            elif re.fullmatch(f"h[1-{levels}]", c.tag):
-                close()
-                n = int(c.tag[1])
-                for k in range(n, levels + 1):
-                    path.pop(f"Header {k}", None)
-                own[0] = path[f"Header {n}"] = " ".join(c.text().split())
-            else:
-                visit(c)
-
-    visit(root)
+    ahead: list = list(reversed(root.children))
+    while ahead:
+        now = ahead.pop()
+        if isinstance(now, str):
+            if t := " ".join(now.split()):
+                texts.append(t)
+        elif now.tag in HIDDEN:
+            continue
+        elif re.fullmatch(f"h[1-{levels}]", now.tag):
+            close()
+            n = int(now.tag[1])
+            for k in range(n, levels + 1):
+                path.pop(f"Header {k}", None)
+            own = path[f"Header {n}"] = " ".join(now.text().split())
+        else:
+            ahead += reversed(now.children)
     close()
     return out

@@ -6,62 +6,70 @@ import re
 
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 MARKDOWN_SEPARATORS = ("\n## ", "\n### ", "\n#### ", "\n```\n", "\n\n", "\n", ". ", "? ", "! ", "; ", " ", "")
+Span = tuple[int, int]  # start and end in the text
 
 
-def _cut(text: str, separator: str) -> list[str]:
-    """The text cut before each separator, which so starts the following piece."""
+def _cut(text: str, span: Span, separator: str) -> list[Span]:
+    """A span of the text cut before each separator, which so starts the following piece."""
+    start, end = span
     if not separator:
-        return list(text)
-    first, *rest = text.split(separator)
-    return [p for p in (first, *[separator + r for r in rest]) if p]
-
-
-def _merged(parts: list[str], size: int, overlap: int) -> list[str]:
-    """Parts joined up to size; up to overlap of the last ones are carried into the next chunk."""
-    out: list[str] = []
-    held: list[str] = []
-    total = 0
-    for part in parts:
-        if held and total + len(part) > size:
-            if chunk := "".join(held).strip():
-                out.append(chunk)
-            while held and (total > overlap or total + len(part) > size):
-                total -= len(held.pop(0))
-        held.append(part)
-        total += len(part)
-    if chunk := "".join(held).strip():
-        out.append(chunk)
-    return out
+        return [(i, i + 1) for i in range(start, end)]
+    cuts, at = [start], text.find(separator, start, end)
+    while at >= 0:
+        if at > cuts[-1]:
+            cuts.append(at)
+        at = text.find(separator, at + len(separator), end)
+    return list(zip(cuts, [*cuts[1:], end], strict=True))
 
 
-def recursive(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Chunks of at most size where a separator allows it: the first separator that occurs cuts, parts still too
-    long are cut by the ones after it."""
+def _stripped(text: str, start: int, end: int) -> list[Span]:
+    """The span without white space at its ends, or none."""
+    own = text[start:end]
+    bare = own.strip()
+    return [(start + len(own) - len(own.lstrip()), start + len(own.rstrip()))] if bare else []
+
+
+def _merged(text: str, parts: list[Span], size: int, overlap: int) -> list[Span]:
+    """Neighbouring parts joined up to size; up to overlap of the last ones are carried into the next chunk."""
+    out: list[Span] = []
+    first = 0  # parts[first:i] are held
+    for i, (_, end) in enumerate(parts):
+        part = end - parts[i][0]
+        total = parts[i][0] - parts[first][0]
+        if first < i and total + part > size:
+            out += _stripped(text, parts[first][0], parts[i][0])
+            while first < i and (total > overlap or total + part > size):
+                total -= parts[first][1] - parts[first][0]
+                first += 1
+    return out + (_stripped(text, parts[first][0], parts[-1][1]) if parts else [])
+
+
+def spans(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[Span]:
+    """Where the chunks of a text stand: of at most size where a separator allows it. The first separator that occurs
+    cuts, parts still too long are cut by the ones after it."""
     if overlap >= size:
         raise ValueError(f"overlap ({overlap}) must be smaller than size ({size})")
-    at = next((i for i, s in enumerate(separators) if not s or s in text), len(separators) - 1)
-    separator, rest = separators[at], separators[at + 1 :]
-    out: list[str] = []
-    fitting: list[str] = []
-    for part in _cut(text, separator):
-        if len(part) < size:
+    return _spans(text, (0, len(text)), size, overlap, separators)
+
+
+def _spans(text: str, span: Span, size: int, overlap: int, separators: tuple[str, ...]) -> list[Span]:
+    at = next((i for i, s in enumerate(separators) if not s or text.find(s, *span) >= 0), len(separators) - 1)
+    rest = separators[at + 1 :]
+    out: list[Span] = []
+    fitting: list[Span] = []
+    for part in _cut(text, span, separators[at]):
+        if part[1] - part[0] < size:
             fitting.append(part)
             continue
-        out += _merged(fitting, size, overlap)
+        out += _merged(text, fitting, size, overlap)
         fitting = []
-        out += recursive(part, size, overlap, rest) if rest else [part]
-    return out + _merged(fitting, size, overlap)
-
-
-def with_starts(text: str, chunks: list[str], overlap: int) -> list[tuple[str, int]]:
-    """Each chunk with its offset in the text: the first place not before where it can begin."""
-    out, at = [], 0
-    for i, chunk in enumerate(chunks):
-        low = max(0, at + len(chunks[i - 1]) - overlap) if i else 0
-        found = text.find(chunk, low)
-        at = found if found >= 0 else text.find(chunk)
-        out.append((chunk, at))
-    return out
+        out += _spans(text, part, size, overlap, rest) if rest else [part]
+    return out + _merged(text, fitting, size, overlap)
+
+
+def recursive(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+    """The chunks at their spans."""
+    return [text[a:b] for a, b in spans(text, size, overlap, separators)]
 
 
 def markdown_sections(text: str, levels: int = 4) -> list[tuple[dict[str, str], str]]:

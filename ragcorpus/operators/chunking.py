@@ -116,7 +116,7 @@ def chunk_markdown(docs: DataFrame, size: int = 800, overlap: int = 200, text_co
 def markdown_chunks(text: str, size: int, overlap: int) -> list[tuple[dict, str, int, int]]:
     out = []
     for i, (headers, body) in enumerate(_split.markdown_sections(text)):
-        out += [(headers, c, i, at) for c, at in _split.with_starts(body, _split.recursive(body, size, overlap, _split.MARKDOWN_SEPARATORS), overlap)]
+        out += [(headers, body[a:b], i, a) for a, b in _split.spans(body, size, overlap, _split.MARKDOWN_SEPARATORS)]
     return out
 
 
@@ -133,7 +133,7 @@ def prepare_metadata(docs: DataFrame) -> DataFrame:
     source = F.nullif(F.col("source_url"), F.lit("")) if "source_url" in have else F.lit(None).cast("string")
     url = F.nullif(F.col("url"), F.lit("")) if "url" in have else F.lit(None).cast("string")
     name = F.substring_index("source_path", "/", -1)
-    stem = F.when(F.substring(name, 2, 1_000).contains("."), F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
+    stem = F.when(F.substr(name, F.lit(2)).contains("."), F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
     own = docs.where(F.regexp_replace(F.coalesce("content", F.lit("")), r"\s+", "") != "")
     return own.withColumns({"source_id": stem, "file_name": name, "source_url": F.coalesce(source, url), "url": F.coalesce(url, source), "citation_url": F.coalesce(source, url)})
 

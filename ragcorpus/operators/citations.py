@@ -85,12 +85,19 @@ def assign_citation_ids(hits: DataFrame) -> DataFrame:
 
 
 def format_context(hits: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, context, mapping): one block a hit, best score first, ids locked before; empty for no hits."""
+    """(query_id, context, mapping): one block a hit, best score first, ids locked before; empty for no hits.
+
+    mapping has the source of each id, that of the last hit in input order where hits share an id.
+    """
     flat = flatten_hits(assign_citation_ids(hits))
     block = F.format_string("[%d]\nSource ID: %s\nTitle: %s\nURL: %s\nDomain: %s\n\nContent:\n%s", "citation_id", "source_id", "title", "url", "domain", "content")
     blocks = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("pos").alias("p"), block.alias("block"))))
-    ids = F.map_from_entries(F.sort_array(F.collect_list(F.struct("citation_id", "source_id"))))
-    grouped = flat.groupBy("query_id").agg(F.array_join(F.transform(blocks, lambda b: b["block"]), SEPARATOR).alias("context"), ids.alias("mapping"))
+    listed = F.sort_array(F.collect_list(F.struct("citation_id", "pos", "source_id")))
+    grouped = flat.groupBy("query_id").agg(F.array_join(F.transform(blocks, lambda b: b["block"]), SEPARATOR).alias("context"), listed.alias("listed"))
+    # of hits that share an id the last names its source
+    last = F.filter("listed", lambda x, i: F.coalesce(F.get("listed", i + 1)["citation_id"] != x["citation_id"], F.lit(True)))
+    mapping = F.map_from_entries(F.transform(last, lambda x: F.struct(x["citation_id"], x["source_id"])))
+    grouped = grouped.select("query_id", "context", mapping.alias("mapping"))
     return queries.select("query_id").join(grouped, "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
 
 

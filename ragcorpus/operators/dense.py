@@ -10,8 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that one task holds at once; more queries go in blocks, each a job over the chunks.
+#: Up to so many query vectors go to every task that reads chunks; more are dealt over blocks of so many and joined.
 QUERY_BLOCK = 4096
+#: Chunks of a block that is joined with a block of queries.
+CHUNK_BLOCK = 32_768
+#: Distances that a task computes at once.
+CELLS = 4_000_000
 Encoder = Callable[[list[str]], np.ndarray]
 
 
@@ -50,47 +54,104 @@ def embed(df: DataFrame, encoder: Callable[[], Encoder] = hashed_encoder, text_c
     return df.withColumn(out_col, encode(F.col(text_col)))
 
 
+class _Nearest:
+    """The k nearest chunks of each of some queries among the chunks seen so far, ties by chunk_id."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = queries, k
+        self.distance = np.full((len(queries), 0), np.inf)
+        self.chunk = np.empty((len(queries), 0), object)
+
+    def add(self, chunks: np.ndarray, vectors: np.ndarray) -> None:
+        """One multiplication finds which chunks may be among the k; those are compared by differences, so that equal
+        vectors are at exactly 0."""
+        order = np.argsort(chunks, kind="stable")
+        chunks, vectors = chunks[order], vectors[order]
+        norms = (vectors**2).sum(axis=1)
+        kept_d, kept_c = [], []
+        step = max(1, CELLS // max(1, len(chunks)))
+        for at in range(0, len(self.queries), step):
+            q = self.queries[at : at + step]
+            rough = norms[None, :] + (q**2).sum(axis=1)[:, None] - 2 * q @ vectors.T
+            m = min(self.k, len(chunks))
+            limit = np.partition(rough, m - 1, axis=1)[:, m - 1]
+            if self.distance.shape[1] == self.k:
+                limit = np.minimum(limit, self.distance[at : at + step].max(axis=1))
+            scale = norms.max(initial=0.0) + (q**2).sum(axis=1)
+            row, col = np.nonzero(rough <= (limit + 1e-9 + 1e-12 * scale)[:, None])
+            exact = np.round(((vectors[col] - q[row]) ** 2).sum(axis=1), 9)
+            n = len(q)
+            row = np.concatenate([row, np.repeat(np.arange(n), self.distance.shape[1])])
+            exact = np.concatenate([exact, self.distance[at : at + step].ravel()])
+            chunk = np.concatenate([chunks[col].astype(object), self.chunk[at : at + step].ravel()])
+            best = np.lexsort((_ranks(chunk), exact, row))
+            # the first k of each row
+            place = np.arange(len(best)) - np.searchsorted(row[best], row[best], "left")
+            best = best[place < self.k]
+            width = min(self.k, m + self.distance.shape[1])
+            kept_d.append(exact[best].reshape(n, width))
+            kept_c.append(chunk[best].reshape(n, width))
+        self.distance, self.chunk = np.concatenate(kept_d), np.concatenate(kept_c)
+
+    def rows(self, ids: np.ndarray) -> pd.DataFrame:
+        found = pd.DataFrame({"query_id": np.repeat(ids, self.distance.shape[1]), "distance": self.distance.ravel()})
+        found.insert(1, "chunk_id", pd.Series(self.chunk.ravel()).infer_objects())
+        return found
+
+
+def _ranks(values: np.ndarray) -> np.ndarray:
+    """Numbers in the order of the values."""
+    return np.unique(values, return_inverse=True)[1] if len(values) else np.empty(0, int)
+
+
 def knn(chunks: DataFrame, queries: DataFrame, k: int = 20, with_score: bool = False) -> DataFrame:
     """(query_id, rank, chunk_id, distance[, score]): the k chunks(chunk_id, embedding) nearest to each
     query(query_id, embedding) by squared Euclidean distance, ties by chunk_id.
 
-    Tasks multiply their chunks with a block of query vectors and keep k of each query, so k rows a query and task
-    are shuffled. Blocks hold at most QUERY_BLOCK queries. Null vectors are left out.
+    Where the queries are counted to be QUERY_BLOCK at most they go to every task, which multiplies them with its
+    chunks and keeps k of each query, so k rows a query and task are shuffled. More queries are dealt over blocks, and
+    each block of chunks meets each block of queries. Rows with a null vector or id are left out.
     """
-    wanted = queries.where("embedding is not null").select("query_id", "embedding")
-    n = wanted.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    found = None
-    for block in range(blocks):
-        part = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        local = _local_topk(chunks, part.toPandas(), k)  # a block of queries is broadcast with the task
-        found = local if found is None else found.unionByName(local)
+    wanted = queries.where("embedding is not null and query_id is not null").select("query_id", "embedding")
+    own = chunks.where("embedding is not null and chunk_id is not null").select("chunk_id", "embedding")
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(chunks.dtypes)['chunk_id']}, distance double"
+    few = wanted.limit(QUERY_BLOCK + 1).toPandas()
+    found = _by_task(own, few, k, schema) if len(few) <= QUERY_BLOCK else _by_blocks(own, wanted, k, schema)
     order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     columns = ["query_id", "rank", "chunk_id", "distance"]
     return ranked.withColumn("score", relevance(F.col("distance"))).select(*columns, "score") if with_score else ranked.select(*columns)
 
 
-def _local_topk(chunks: DataFrame, queries: pd.DataFrame, k: int) -> DataFrame:
+def _by_task(chunks: DataFrame, queries: pd.DataFrame, k: int, schema: str) -> DataFrame:
     ids = queries["query_id"].to_numpy()
     matrix = np.array(queries["embedding"].tolist(), float).reshape(len(queries), -1)
 
     def nearest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = _Nearest(matrix, k)
         for part in parts:
-            part = part[part["embedding"].notna()]
-            if not len(part) or not len(ids):
-                continue
-            x = np.array(part["embedding"].tolist(), float)
-            # differences, not the expanded square, so that equal vectors are at exactly 0
-            d = np.round(np.stack([((x - q) ** 2).sum(axis=1) for q in matrix]), 9)
-            chunk = part["chunk_id"].to_numpy()
-            order = np.argsort(chunk, kind="stable")
-            top = order[np.argsort(d[:, order], axis=1, kind="stable")[:, :k]]
-            rows = np.repeat(np.arange(len(ids)), top.shape[1])
-            yield pd.DataFrame({"query_id": ids[rows], "chunk_id": chunk[top.ravel()], "distance": d[rows, top.ravel()]})
-
-    kind = dict(chunks.dtypes)["chunk_id"]
-    return chunks.select("chunk_id", "embedding").mapInPandas(nearest, f"query_id long, chunk_id {kind}, distance double")
+            if len(part) and len(ids):
+                best.add(part["chunk_id"].to_numpy(), np.stack(part["embedding"].tolist()).astype(float))
+        if best.distance.size:
+            yield best.rows(ids)
+
+    return chunks.mapInPandas(nearest, schema)
+
+
+def _by_blocks(chunks: DataFrame, queries: DataFrame, k: int, schema: str) -> DataFrame:
+    asked, held = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-chunks.count() // CHUNK_BLOCK))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = queries.select("query_id", "embedding", block("query_id", asked).alias("ask"), numbers(held).alias("hold"))
+    right = chunks.select("chunk_id", "embedding", block("chunk_id", held).alias("hold"), numbers(asked).alias("ask"))
+
+    def nearest(key: tuple, some: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        best = _Nearest(np.array(some["embedding"].tolist(), float).reshape(len(some), -1), k)
+        if len(some) and len(rows):
+            best.add(rows["chunk_id"].to_numpy(), np.stack(rows["embedding"].tolist()).astype(float))
+        return best.rows(some["query_id"].to_numpy())
+
+    return left.groupBy("ask", "hold").cogroup(right.groupBy("ask", "hold")).applyInPandas(nearest, schema)
 
 
 def relevance(distance: Column) -> Column:
@@ -120,4 +181,5 @@ def mmr(candidates: DataFrame, k: int = 5, lambda_: float = 0.7) -> DataFrame:
             chosen.append(int(value.argmax()))
         return pd.DataFrame({"query_id": key[0], "pick": range(1, len(chosen) + 1), "chunk_id": part["chunk_id"].to_numpy()[chosen]})
 
-    return candidates.groupBy("query_id").applyInPandas(choose, f"query_id long, pick int, chunk_id {dict(candidates.dtypes)['chunk_id']}")
+    kinds = dict(candidates.dtypes)
+    return candidates.groupBy("query_id").applyInPandas(choose, f"query_id {kinds['query_id']}, pick int, chunk_id {kinds['chunk_id']}")

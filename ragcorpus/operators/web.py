@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import types as T
 
 from ragcorpus.functions.text import url_to_filename
 from ragcorpus.operators import _html
-from ragcorpus.sources.scratch import drop, save
+from ragcorpus.sources.scratch import drop, new_path, save
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -59,30 +61,28 @@ def rewrite_fragment_links(links: DataFrame, sites: DataFrame) -> DataFrame:
     return own.join(allowed, "site").where(F.exists("allowed_domains", lambda d: F.contains(F.col("target"), d))).select("site", "url", "link", "target")
 
 
-def crawl_frontier(links: DataFrame, seeds: DataFrame, max_depth: int = 0, most_levels: int = 10_000) -> DataFrame:
+def crawl_frontier(links: DataFrame, seeds: DataFrame, max_depth: int = 0) -> DataFrame:
     """(url, depth): pages reachable from seeds(url) over links(url, link), each at its least depth; 0 is no limit.
 
-    One join with the links and one anti-join with the known pages a level. Levels are cut by tables in the shared
-    folder, and only whether a level has rows comes to the driver.
+    One join with the links and one anti-join with the known pages a level. Each level is written once, as a
+    partition of a table in the shared folder, and only whether it has rows comes to the driver.
     """
-    edges = links.where("url is not null and link is not null").select(F.col("url").alias("_from"), "link").distinct()
-    known, frontier, old = seeds.where("url is not null").select("url").distinct().withColumn("depth", F.lit(0)), None, None
-    known, path = save(known)
-    frontier = known
-    for depth in range(1, most_levels):
+    spark = links.sparkSession
+    edges, edges_path = save(links.where("url is not null and link is not null").select(F.col("url").alias("_from"), "link").distinct())
+    path = new_path(spark)
+    level = lambda depth: f"{path}/depth={depth}"
+    seeds.where("url is not null").select("url").distinct().write.parquet(level(0))
+    pages = spark.read.schema("url string, depth int")
+    for depth in count(1):
         if max_depth and depth > max_depth:
             break
+        frontier = pages.parquet(level(depth - 1)).select("url")
         found = frontier.join(edges, F.col("url") == F.col("_from")).select(F.col("link").alias("url")).distinct()
-        new, new_path = save(found.join(known, "url", "left_anti").withColumn("depth", F.lit(depth)))
-        if new.isEmpty():
-            drop(new.sparkSession, new_path)
+        found.join(pages.parquet(path).select("url"), "url", "left_anti").write.parquet(level(depth))
+        if pages.parquet(level(depth)).isEmpty():
             break
-        known, known_path = save(known.unionByName(new))
-        drop(new.sparkSession, path)
-        if old:
-            drop(new.sparkSession, old)
-        frontier, path, old = new, known_path, new_path
-    return known
+    drop(spark, edges_path)
+    return pages.parquet(path)
 
 
 def mark_skipped(candidates: DataFrame, existing: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ragcorpus.sources.scratch import exists
+
 GOLDEN = "id string, question string, expected_answer string, retrieved_documents array<struct<id string, title string, authority string, relevant_text string>>, question_type string, verbosity string, expected_citations array<string>, expected_authorities array<string>"
 DOCUMENT = "doc_id string, content string, source string, site string, title string, url string, crawled_at timestamp"
 
@@ -51,18 +53,26 @@ def resolve_urls(files: DataFrame, urls: DataFrame, sites: DataFrame | None = No
     """files(site, path, filename, ...) with url and link_base: by a map key that ends the path, else that is the
     path, else that ends in the filename; link_base falls back to the site's base_url.
 
-    All three rules need the key's last part to be the filename or its end, so they are equi-joins on it.
+    A key that ends the path, unless it is a part of the filename only, has the filename as its last part: an equi-join.
+    Keys that are such parts are joined by the ends of filenames, of the lengths that these keys have; keys that end in
+    the filename by the ends of their last part, for the files that nothing else has matched.
     """
-    keys = urls.select(F.col("filename").alias("_key"), F.substring_index("filename", "/", -1).alias("_last"), F.col("url").alias("_url"), F.col("key_order"))
-    own = files.withColumn("_id", F.xxhash64("site", "path"))
-    # a key may be a part of a file's name only; such ends of the name are derived and joined as well
-    ends = F.transform(F.sequence(F.lit(1), F.char_length("filename")), lambda i: F.substring(F.col("filename"), i, F.char_length("filename")))
-    by_end = own.select("site", "path", "filename", F.explode(ends).alias("_last")).join(keys, "_last")
-    tier = F.when(F.endswith(F.col("path"), F.col("_key")), 1).when(F.col("path") == F.col("_key"), 2).when(F.endswith(F.col("_key"), F.col("filename")), 3)
-    other = own.select("site", "path", "filename").join(urls.select(F.col("filename").alias("_key"), F.explode(F.transform(F.sequence(F.lit(1), F.char_length(F.substring_index("filename", "/", -1))), lambda i: F.substring(F.substring_index(F.col("filename"), "/", -1), i, F.char_length("filename")))).alias("_end"), F.col("url").alias("_url"), "key_order"), F.col("filename") == F.col("_end"))
-    matched = by_end.drop("_last").unionByName(other.drop("_end")).withColumn("_tier", tier).where("_tier is not null")
+    last = F.substring_index("filename", "/", -1)
+    keys = urls.where("filename <> ''").select(F.col("filename").alias("_key"), last.alias("_last"), F.col("url").alias("_url"), "key_order")
+    own = files.select("site", "path", "filename")
+    whole = own.join(keys, F.col("filename") == F.col("_last")).where(F.endswith(F.col("path"), F.col("_key")) | (F.col("path") == F.col("_key")))
+    ends = lambda name, n: F.transform(F.filter(n, lambda i: i < F.char_length(name)), lambda i: F.substr(F.col(name), F.char_length(name) - i + 1))
+    sizes = lambda df, name: df.agg(F.collect_set(F.char_length(name)).alias("_sizes"))  # noqa: E731 - one row, as many numbers as names have lengths
+    bare = keys.where("_key = _last")
+    part = own.crossJoin(F.broadcast(sizes(bare, "_key"))).withColumn("_end", F.explode(ends("filename", F.col("_sizes")))).drop("_sizes").join(bare, F.col("_end") == F.col("_key"))
+    first = whole.drop("_last").unionByName(part.drop("_last", "_end")).withColumn("_tier", F.lit(1))
+    rest = own.join(first.select("site", "path"), ["site", "path"], "left_anti")
+    equal = rest.join(keys, F.col("filename") == F.col("_last")).drop("_last")
+    longer = keys.crossJoin(F.broadcast(sizes(rest, "filename"))).withColumn("_end", F.explode(ends("_last", F.col("_sizes")))).drop("_sizes", "_last")
+    third = equal.unionByName(rest.join(longer, F.col("filename") == F.col("_end")).drop("_end")).withColumn("_tier", F.lit(3))
+    matched = first.unionByName(third)
     best = matched.groupBy("site", "path").agg(F.min_by("_url", F.struct("_tier", "key_order")).alias("url"))
-    out = own.drop("url", "_id").join(best, ["site", "path"], "left")
+    out = files.drop("url").join(best, ["site", "path"], "left")
     if sites is None:
         return out.withColumn("link_base", F.col("url"))
     return out.join(sites.select(F.col("name").alias("site"), "base_url"), "site", "left").withColumn("link_base", F.coalesce("url", "base_url")).drop("base_url")
@@ -129,10 +139,13 @@ def stored_content(chunks: DataFrame) -> Column:
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Chunks with their id, as Parquet by domain; the domains that are written are replaced, others stay."""
-    content = stored_content(chunks)
-    own = chunks.withColumn("content", content).withColumn("chunk_id", chunk_id(F.col("source_id"), F.col("chunk_index"), F.col("content"))).dropDuplicates(["chunk_id"])
-    own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("domain").parquet(path)
+    """Append chunks with their id to a store, Parquet by domain. A chunk_id that the store holds is not written again,
+    so that a repeated run adds nothing; what other runs wrote stays."""
+    spark = chunks.sparkSession
+    own = chunks.withColumn("content", stored_content(chunks)).withColumn("chunk_id", chunk_id(F.col("source_id"), F.col("chunk_index"), F.col("content"))).dropDuplicates(["chunk_id"])
+    if exists(spark, path):
+        own = own.join(read_chunks(spark, path).select("chunk_id"), "chunk_id", "left_anti")
+    own.write.mode("append").partitionBy("domain").parquet(path)
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:

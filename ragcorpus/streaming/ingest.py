@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ragcorpus.operators.chunking import chunk_markdown, conform_metadata
 from ragcorpus.operators.parse import parse_pages
 from ragcorpus.sources.io import chunk_id, stored_content
+from ragcorpus.sources.scratch import exists
 
 PAGES = "url string, site string, html string, crawled_at timestamp"
 
@@ -47,7 +48,6 @@ def stream_ingest(spark: SparkSession, in_path: str, out_path: str, checkpoint:
 
 def _urls(spark: SparkSession, out_path: str, batch_id: int) -> DataFrame | None:
     """URLs of earlier batches, or None before the first."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out_path}/pages")
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    if not exists(spark, f"{out_path}/pages"):
         return None
     return spark.read.parquet(f"{out_path}/pages").where(F.col("batch_id") != batch_id).select("url")

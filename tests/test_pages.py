@@ -92,15 +92,15 @@ def test_capped_text(spark):
 @given(st.text(alphabet="ab. \n;?!", max_size=200), st.integers(5, 40), st.integers(0, 4))
 def test_recursive_split(text, size, overlap):
     for separators in (_split.SEPARATORS, _split.MARKDOWN_SEPARATORS):
-        found = _split.recursive(text, size, overlap, separators)
+        spans = _split.spans(text, size, overlap, separators)
+        found = [text[a:b] for a, b in spans]
+        assert found == _split.recursive(text, size, overlap, separators)
         assert all(c and c == c.strip() and len(c) <= size for c in found)
-        assert set("".join(text.split())) == set("".join("".join(found).split()))
-        at = 0
-        for chunk in found:  # every chunk stands in the text, in order, and nothing but white space is left out
-            start = text.find(chunk, max(0, at - overlap))
-            assert start >= 0
+        at = last = 0
+        for start, end in spans:  # chunks stand in order, overlap by no more than allowed, and leave out nothing but white space
+            assert last <= start and start >= at - overlap
             assert not text[at:start].strip()
-            at = max(at, start + len(chunk))
+            at, last = max(at, end), start
         assert not text[at:].strip()
 
 
