@@ -1,45 +1,90 @@
-"""BM25 over a table of chunks: an index of postings and statistics, scores, and the best k for many queries at once."""
+"""BM25 over a table of chunks: a stored index of postings and statistics, scores, and the best k for many queries at once."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragcorpus.functions.text import tokenize
+from ragcorpus.sources.scratch import save
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Queries and their terms are broadcast below this number of rows; above it they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Chunks that one task numbers in corpus order.
+NUMBERED_ROWS = 1_000_000
+TABLES = ("postings", "terms", "corpus", "chunks")
 
 
 @dataclass
 class Bm25Index:
-    postings: DataFrame  # chunk_id, doc_order, term, tf, dl
+    postings: DataFrame  # chunk_id, doc_order, dl, term, tf
     terms: DataFrame  # term, df, idf
     corpus: DataFrame  # one row: n_docs, avgdl, mean_idf
-    chunks: DataFrame  # chunk_id, doc_order
+    chunks: DataFrame  # chunk_id, doc_order, dl
 
 
-def build_bm25_index(chunks: DataFrame, text_col: str = "content") -> Bm25Index:
-    """Index chunks(chunk_id, doc_order, text). A term's negative idf is replaced by EPSILON times the mean idf.
-
-    Term counts combine before their shuffle, so words that are everywhere are no hot keys. Statistics of the corpus
-    are one row. Chunks without words have no postings but count as documents.
-    """
+def _lengths(chunks: DataFrame, text_col: str) -> DataFrame:
     own = chunks.select("chunk_id", "doc_order", tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
-    lengths = own.select("chunk_id", "doc_order", F.size("tokens").alias("dl"), "tokens")
+    return own.select("chunk_id", "doc_order", F.size("tokens").alias("dl"), "tokens")
+
+
+def _postings(lengths: DataFrame) -> DataFrame:
     counted = lengths.select("chunk_id", "doc_order", "dl", F.explode("tokens").alias("term"))
-    postings = counted.groupBy("chunk_id", "doc_order", "dl", "term").agg(F.count("*").alias("tf"))
+    return counted.groupBy("chunk_id", "doc_order", "dl", "term").agg(F.count("*").alias("tf"))
+
+
+def _index(postings: DataFrame, lengths: DataFrame) -> Bm25Index:
     size = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(size)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    corpus = size.crossJoin(F.broadcast(mean))
     idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw"))
     terms = raw.select("term", "df", "raw").crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"))
-    return Bm25Index(postings, terms, corpus, lengths.select("chunk_id", "doc_order"))
+    return Bm25Index(postings, terms, size.crossJoin(F.broadcast(mean)), lengths.select("chunk_id", "doc_order", "dl"))
+
+
+def build_bm25_index(chunks: DataFrame, text_col: str = "content") -> Bm25Index:
+    """Index chunks(chunk_id, doc_order, text). A term's negative idf is replaced by EPSILON times the mean idf.
+
+    Term counts combine before their shuffle, so words that are everywhere are no hot keys. Statistics of the corpus
+    are one row. Chunks without words have no postings but count as documents. Nothing is computed yet, and each use
+    computes it again; store_bm25_index does so once.
+    """
+    lengths = _lengths(chunks, text_col)
+    return _index(_postings(lengths), lengths)
+
+
+def store_bm25_index(chunks: DataFrame, path: str, text_col: str = "content") -> Bm25Index:
+    """As build_bm25_index, written below path. Postings are sorted by term within their files; the texts are tokenized
+    twice, and the statistics come from the stored postings."""
+    lengths = _lengths(chunks, text_col)
+    _postings(lengths).sortWithinPartitions("term", "chunk_id").write.parquet(f"{path}/postings")
+    lengths.select("chunk_id", "doc_order", "dl").write.parquet(f"{path}/chunks")
+    spark = chunks.sparkSession
+    index = _index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/chunks"))
+    index.terms.write.parquet(f"{path}/terms")
+    index.corpus.write.parquet(f"{path}/corpus")
+    return read_bm25_index(spark, path)
+
+
+def read_bm25_index(spark: SparkSession, path: str) -> Bm25Index:
+    return Bm25Index(*[spark.read.parquet(f"{path}/{name}") for name in TABLES])
+
+
+def _weights(index: Bm25Index, queries: DataFrame, k1: float, b: float) -> DataFrame:
+    """(query_id, chunk_id, doc_order, weight): what each term of a query gives each chunk that has it."""
+    wanted = queries.select("query_id", F.explode(tokenize(F.coalesce("query", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    tf, dl = F.col("tf"), F.col("dl")
+    weight = F.col("times") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
+    priced = _small(wanted.join(index.terms.select("term", "idf"), "term"))
+    return index.postings.join(priced, "term").crossJoin(F.broadcast(index.corpus)).select("query_id", "chunk_id", "doc_order", weight.alias("weight"))
+
+
+def _summed(weights: DataFrame) -> DataFrame:
+    return weights.groupBy("query_id", "chunk_id", "doc_order").agg(F.round(F.sum("weight"), 9).alias("score"))
 
 
 def bm25_scores(index: Bm25Index, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
@@ -48,30 +93,59 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, k1: float = K1, b: float =
     A term that a query repeats counts as often. The scores are rounded to nine places, as sums of doubles depend on
     their order.
     """
-    wanted = queries.select("query_id", F.explode(tokenize(F.coalesce("query", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = _small(wanted)
-    tf, dl = F.col("tf"), F.col("dl")
-    weight = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
-    weighted = index.postings.join(wanted, "term").join(index.terms.select("term", "idf"), "term").crossJoin(F.broadcast(index.corpus))
-    return weighted.groupBy("query_id", "chunk_id", "doc_order").agg(F.round(F.sum(F.col("times") * weight), 9).alias("score"))
+    return _summed(_weights(index, queries, k1, b))
 
 
 def bm25_topk(index: Bm25Index, queries: DataFrame, k: int = 20, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, rank, chunk_id, doc_order, score): the best k chunks of each query, ties in corpus order.
 
-    Every chunk has a score, so chunks without a common term, which score 0, fill up in corpus order; only the first
-    chunks of the corpus can do so, k and as many as a query may have among its scored ones. (Scores below 0 need a
-    mean idf below 0, most terms in over half of all chunks; then later chunks of score 0 may be missed.)
+    Every chunk has a score, so chunks without a common term, which score 0, fill up in corpus order. While no score is
+    below 0, the first 2k chunks of the corpus hold enough of them: fewer than k can be among the scored ones where
+    any are needed. They join the sums with a weight of 0. Scores are below 0 only where the mean idf is, which is looked
+    up (one row); then the first k chunks that share no term with a query are found among the gaps between those that do.
     """
-    scores = bm25_scores(index, queries, k1, b)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_order", "chunk_id")
-    # a scored chunk below the zeros may still be needed to fill up where the corpus is small
-    best = scores.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k)
-    first = index.chunks.orderBy("doc_order", "chunk_id").limit(2 * k).select("chunk_id", "doc_order")
-    scored_first = scores.join(F.broadcast(first.select("chunk_id")), "chunk_id", "left_semi").select("query_id", "chunk_id")  # 2k rows
-    zeros = queries.select("query_id").crossJoin(F.broadcast(first)).join(scored_first, ["query_id", "chunk_id"], "left_anti")
-    every = best.select("query_id", "chunk_id", "doc_order", "score").unionByName(zeros.withColumn("score", F.lit(0.0)))
-    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "doc_order", "score")
+    columns = ["query_id", "chunk_id", "doc_order"]
+    corpus = index.corpus.select("mean_idf").first()
+    if corpus is None or corpus["mean_idf"] is None or corpus["mean_idf"] >= 0:
+        first = index.chunks.select("chunk_id", "doc_order").orderBy("doc_order", "chunk_id").limit(2 * k)
+        zeros = queries.select("query_id").crossJoin(F.broadcast(first)).withColumn("weight", F.lit(0.0))  # 2k rows
+        every = _summed(_weights(index, queries, k1, b).unionByName(zeros))
+    else:
+        scores, _ = save(bm25_scores(index, queries, k1, b))
+        every = scores.unionByName(_unmatched(index, queries, scores, k).withColumn("score", F.lit(0.0)))
+    ranked = every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", *columns[1:], "score")
+
+
+def _unmatched(index: Bm25Index, queries: DataFrame, scores: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, doc_order): the first k chunks in corpus order that have no score, of each query.
+
+    Chunks are numbered in corpus order. Of n chunks before a place, of which m are scored, n - m are not; so the runs
+    of unscored chunks that hold the first k follow from the places of the scored ones.
+    """
+    numbered = _numbered(index.chunks.select("chunk_id", "doc_order"))
+    n = index.chunks.agg(F.count("*").alias("_n"))  # one row
+    placed = scores.join(numbered.select("chunk_id", "place"), "chunk_id").select("query_id", "place")
+    ends = queries.select("query_id").distinct().crossJoin(F.broadcast(n)).select("query_id", F.col("_n").alias("place"))
+    own = Window.partitionBy("query_id").orderBy("place")
+    runs = placed.unionByName(ends).select("query_id", "place", (F.coalesce(F.lag("place").over(own), F.lit(-1)) + 1).alias("start"), (F.row_number().over(own) - 1).alias("scored"))
+    before = F.col("start") - F.col("scored")  # unscored chunks before the run
+    runs = runs.where((F.col("place") > F.col("start")) & (before < k))
+    last = F.least(F.col("place"), F.col("start") + k - before) - 1
+    wanted = runs.select("query_id", F.explode(F.sequence("start", last)).alias("place"))
+    return wanted.join(numbered, "place").select("query_id", "chunk_id", "doc_order")
+
+
+def _numbered(chunks: DataFrame) -> DataFrame:
+    """chunks with `place`, 0 .. n - 1 in the order of (doc_order, chunk_id), by sorted ranges."""
+    parts = max(1, -(-chunks.count() // NUMBERED_ROWS))
+    ranged = chunks.repartitionByRange(parts, "doc_order", "chunk_id").sortWithinPartitions("doc_order", "chunk_id")
+    rows, _ = save(ranged.withColumn("_m", F.monotonically_increasing_id()))
+    part, at = F.shiftright("_m", 33), F.col("_m").bitwiseAND((1 << 33) - 1)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))  # one row a range
+    return rows.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("place", F.col("_start") + at).drop("_part", "_start", "_m")
 
 
 def _small(df: DataFrame) -> DataFrame:

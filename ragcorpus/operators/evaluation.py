@@ -95,7 +95,8 @@ def taxonomy_table(domains: DataFrame) -> DataFrame:
 
 
 def _three(value: Column) -> Column:
-    return F.when(value.isNull(), "n/a").otherwise(F.format_string("%.3f", value))
+    """Three places, halves to the even one."""
+    return F.when(value.isNull(), "n/a").otherwise(F.format_string("%.3f", F.bround(value, 3)))
 
 
 def report_lines(cases: DataFrame, scores: DataFrame) -> DataFrame:
@@ -107,7 +108,7 @@ def report_lines(cases: DataFrame, scores: DataFrame) -> DataFrame:
     table = aggregate_metrics(scores).select(
         F.lit(0).alias("part"),
         number.cast("long").alias("at"),
-        F.format_string("| %s | %.3f | %.3f | %.3f | %.0f%% | %d |", "metric", "mean", "min", "max", F.col("pass_rate") * 100, "cases").alias("line"),
+        F.format_string("| %s | %.3f | %.3f | %.3f | %.0f%% | %d |", "metric", *[F.bround(c, 3) for c in ("mean", "min", "max")], F.bround(F.col("pass_rate") * 100), "cases").alias("line"),
     )
     row = F.concat(F.lit("| "), "metric", F.lit(" | "), _three(F.col("score")), F.lit(" | "), _three(F.col("threshold")), F.lit(" | "), F.when(F.col("success"), "yes").otherwise("no"), F.lit(" | "), F.replace(F.coalesce("reason", F.lit("")), F.lit("|"), F.lit("\\|")), F.lit(" |"))
     rows = scores.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("metric", row.alias("line")))).alias("rows"))
@@ -119,15 +120,16 @@ def report_lines(cases: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def write_report(cases: DataFrame, scores: DataFrame, path: str) -> None:
-    """Write path/report (JSON lines: one aggregate row and the cases) and path/summary (Markdown). Reports are small."""
+    """Write path/report (JSON lines: one aggregate row and the cases) and path/summary (Markdown), as files in order of
+    their names: ranges of cases, so that no task holds them all."""
     aggregate = aggregate_metrics(scores).agg(F.sort_array(F.collect_list(F.struct("metric", "mean", "min", "max", "pass_rate", "cases"))).alias("aggregate"))
     overall = overall_score(scores).select("overall")
     per_case = cases.join(scores.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct(*[c for c in scores.columns if c != "case_id"]))).alias("metric_scores")), "case_id", "left")
     head = aggregate.crossJoin(overall).select(F.lit(0).alias("part"), F.lit("").alias("key"), F.to_json(F.struct("aggregate", "overall")).alias("value"))  # one row each
     body = per_case.select(F.lit(1).alias("part"), F.col("case_id").alias("key"), F.to_json(F.struct("*")).alias("value"))
-    head.unionByName(body).repartition(1).sortWithinPartitions("part", "key").select("value").write.mode("overwrite").text(f"{path}/report")
+    head.unionByName(body).orderBy("part", "key").select("value").write.mode("overwrite").text(f"{path}/report")
     lines = report_lines(cases, scores).select("part", F.when(F.col("part") == 0, F.lpad(F.col("at").cast("string"), 6, "0")).otherwise(F.col("line")).alias("key"), F.col("line").alias("value"))
     title = cases.sparkSession.createDataFrame(
         [(-1, "0", "# Evaluation Report\n"), (-1, "1", "## Aggregate\n"), (-1, "2", "| Metric | Mean | Min | Max | Pass rate | Cases |\n|---|---|---|---|---|---|"), (0, "~", "\n## Per-case\n")], "part int, key string, value string"
     )
-    lines.unionByName(title).repartition(1).sortWithinPartitions("part", "key").select("value").write.mode("overwrite").text(f"{path}/summary")
+    lines.unionByName(title).orderBy("part", "key").select("value").write.mode("overwrite").text(f"{path}/summary")

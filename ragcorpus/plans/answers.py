@@ -243,8 +243,35 @@ def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.taxonomy_table(own).select("domain", "subcategory")
 
 
-@query()
+def _three(name: str) -> str:
+    return f"CASE WHEN {name} IS NULL THEN 'n/a' ELSE printf('%.3f', {name}) END"
+
+
+REPORT_SQL = f"""{SCORES_SQL},
+agg AS (SELECT metric, round(avg(score), 9) AS mean, min(score) AS low, max(score) AS high, round(avg(success::INTEGER), 9) AS rate, count(*) AS cases FROM sc WHERE score IS NOT NULL GROUP BY metric),
+lines AS (SELECT case_id, string_agg('| ' || metric || ' | ' || {_three("score")} || ' | 0.500 | ' || CASE WHEN success THEN 'yes' ELSE 'no' END || ' | a\\|' || metric || ' |', chr(10) ORDER BY metric) AS rows FROM sc GROUP BY case_id)"""
+
+
+@query(rf"""WITH {REPORT_SQL}
+SELECT 0 AS part, printf('| %s | %.3f | %.3f | %.3f | %.0f%% | %d |', metric, mean, low, high, rate * 100, cases) AS line FROM agg UNION ALL
+SELECT 1, concat_ws(chr(10), '### ' || doc_id::VARCHAR, '', '- **Latency:** 0.0 ms', '- **Input:** ' || lang, '', '| Metric | Score | Threshold | Pass | Reason |', '|---|---|---|---|---|', rows) FROM documents JOIN lines ON case_id = doc_id""")
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = _judged(spark, sf_dir).withColumns({"case_id": F.col("case_id").cast("string"), "threshold": F.lit(0.5), "reason": F.concat(F.lit("a|"), "metric")})
     cases = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("case_id"), F.col("lang").alias("input"), F.lit(0.0).alias("latency_ms"))
     return evaluation.report_lines(cases, scores).select("part", "line")
+
+
+@query(f"WITH {SCORED_SQL} SELECT query_id, NOT citations_valid OR contains(answer, 'I could not find this information') OR contains(answer, '{validation.NO_RETRIEVAL}') AS needs_fallback FROM scored")
+def answer_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select("query_id", validation.answer_needs_fallback(F.col("answer"), F.col("citations_valid")).alias("needs_fallback"))
+
+
+@query(rf"""WITH {CITED_SQL}, ids AS (SELECT query_id, citation_id, arg_max(source_id, pos) AS source_id FROM cited GROUP BY query_id, citation_id),
+maps AS (SELECT query_id, string_agg(citation_id::VARCHAR || '=' || source_id, ',' ORDER BY citation_id) AS mapping FROM ids GROUP BY query_id)
+SELECT query_id, string_agg('[' || citation_id::VARCHAR || E']\nSource ID: ' || source_id || E'\nTitle: ' || title || E'\nURL: ' || url || E'\nDomain: ' || domain || E'\n\nContent:\n' || content, E'\n\n---\n\n' ORDER BY score DESC, pos) AS context, mapping
+FROM cited JOIN maps USING (query_id) GROUP BY query_id, mapping""")
+def shared_id_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts of hits whose ids are those of their sources, so that several hits share one."""
+    own = cite.format_context(cite.assign_source_citations(hits(spark, sf_dir)), questions(spark, sf_dir)).where("mapping is not null")
+    pairs = F.array_sort(F.map_entries("mapping"))
+    return own.select("query_id", "context", F.array_join(F.transform(pairs, lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"])), ",").alias("mapping"))

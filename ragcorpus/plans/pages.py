@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from ragcorpus.functions import text as fx
 from ragcorpus.operators import chunking, parse, web
 from ragcorpus.plans.tables import META_SQL, meta, query, table
 from ragcorpus.sources import io
-from ragcorpus.sources.scratch import shared_dir
+from ragcorpus.sources.scratch import new_path
 from ragcorpus.streaming.ingest import page_chunks, stream_ingest
 
 HOST_SQL = "regexp_extract(url, '^https?://([^/?#]*)', 1)"
@@ -38,7 +36,8 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", fx.page_title(F.col("html")).alias("title"), fx.crawl_title(F.col("html")).alias("crawl_title"))
 
 
-JS_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '<script[^>]*>.*?</script>', '', 'gs'), ' on\w+="[^"]*"', '', 'g'), ' on\w+=''[^'']*''', '', 'g'), 'href="javascript:[^"]*"', 'href="#"', 'g'), 'href=''javascript:[^'']*''', 'href=''#''', 'g'), '(\s)javascript:', '\1', 'g')"""
+#: Scripts go, handlers go, script links lead nowhere; of `javascript:` behind white space only that space stays.
+JS_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '(?s)<script[^>]*>.*?</script>', '', 'g'), ' on\w+=("[^"]*"|''[^'']*'')', '', 'g'), 'href=(["''])javascript:(?:[^"'']*)["'']', 'href=\1#\1', 'g'), '(\s)javascript:', '\1', 'g')"""
 
 
 @query(f"SELECT page_id, {JS_SQL.format('html')} AS html FROM (SELECT page_id, replace(html, '<p>', CASE WHEN page_id % 2 = 0 THEN '<p onclick=\"x()\" title=''t''>' ELSE '<a href=\"javascript:go()\">' END) AS html FROM pages)")
@@ -56,23 +55,11 @@ def stripped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _clean_sql() -> str:
-    own = "html"
-    for pattern, to, flags in (
-        (r"<script[^>]*>.*?</script>", "''", "gs"),
-        (r"<style[^>]*>.*?</style>", "''", "gs"),
-        (r"<!--.*?-->", "''", "gs"),
-        (r"<h1[^>]*>(.*?)</h1>", r"E'\n\n# \\1\n\n'", "gs"),
-        (r"<h2[^>]*>(.*?)</h2>", r"E'\n\n## \\1\n\n'", "gs"),
-        (r"<h3[^>]*>(.*?)</h3>", r"E'\n\n### \\1\n\n'", "gs"),
-        (r"<p[^>]*>(.*?)</p>", r"E'\n\n\\1\n\n'", "gs"),
-        (r"<br[^>]*>", r"E'\n'", "g"),
-        (r"<li[^>]*>(.*?)</li>", r"E'\n• \\1'", "gs"),
-        (r"<[^>]+>", "' '", "g"),
-        (r"\s+", "' '", "g"),
-        (r"^ | $", "''", "g"),
-    ):
-        own = f"regexp_replace({own}, '{pattern}', {to}, '{flags}')"
-    return own
+    """Of a page's text: marks in front of the headings and items that close, line by line joined by single spaces."""
+    gone = r"regexp_replace(html, '(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', '', 'g')"
+    for tag, mark, behind in (("h1", "# ", " "), ("h2", "## ", " "), ("h3", "### ", " "), ("li", "• ", "")):
+        gone = rf"regexp_replace({gone}, '(?s)<{tag}[^>]*>(.*?)</{tag}>', ' {mark}\1{behind}', 'g')"
+    return STRIP_SQL.format(gone)
 
 
 @query(f"SELECT page_id, {_clean_sql()} AS text FROM pages")
@@ -166,12 +153,31 @@ def crawl_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.crawl_summary(_items(spark, sf_dir))
 
 
-@query()
+#: What a reader sees of the pages' one layout: a menu, an advert, an article of a heading and paragraphs, and a footer.
+CHARS = r"""replace(replace(replace(replace({0}, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"""
+ONE_LINE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
+
+
+def _texts_sql(html: str) -> str:
+    """The stripped text nodes of a piece of a page as a list."""
+    return f"list_filter(list_transform(string_split_regex({html}, '<[^>]*>'), lambda x: {TRIM.format(CHARS.format('x'))}), lambda x: x <> '')"
+
+
+PARSED_SQL = rf"""parts AS (SELECT page_id, html, {TRIM.format(CHARS.format(RAW_TITLE))} AS title, regexp_extract(html, '(?s)<div[^>]*>(.*?)</div>', 1) AS ad, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS head,
+  string_split(regexp_extract(html, '(?s)</h1>(.*?)</article>', 1), '<p>')[2:] AS ps FROM pages),
+bare AS (SELECT *, list_transform(ps, lambda p: starts_with(p, '<b>')) AS bold, list_transform(ps, lambda p: {ONE_LINE.format(CHARS.format("regexp_replace(p, '</p>|<br>|<b>', '', 'g')"))}) AS texts FROM parts),
+marked AS (SELECT page_id, title, list_filter(list_concat([{ONE_LINE.format(CHARS.format('ad'))}, '# ' || {ONE_LINE.format(CHARS.format('head'))}], list_transform(list_zip(bold, texts), lambda z: CASE WHEN z[2] = '' THEN '' WHEN z[1] THEN '**' || z[2] || '**' ELSE z[2] END)), lambda x: x <> '') AS blocks FROM bare)"""
+
+
+@query(f"WITH {PARSED_SQL} SELECT page_id, CASE WHEN title = '' THEN 'Untitled' ELSE title END AS title, array_to_string(blocks, E'\n\n') AS markdown FROM marked")
 def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.parse_pages(pages(spark, sf_dir)).select("page_id", "title", "markdown")
 
 
-@query()
+@query(
+    rf"""SELECT page_id, array_to_string(list_concat(CASE WHEN t = '' THEN [] ELSE [t] END, list_filter([{TRIM.format("regexp_extract(html, '(?s)<style>(.*?)</style>', 1)")}, {TRIM.format("regexp_extract(html, '(?s)<script>(.*?)</script>', 1)")}], lambda x: x <> ''),
+{_texts_sql("regexp_extract(html, '(?s)<body>(.*)$', 1)")}), chr(10)) AS text FROM (SELECT *, {TRIM.format(CHARS.format(RAW_TITLE))} AS t FROM pages)"""
+)
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", parse.page_text("html").alias("text"))
 
@@ -203,7 +209,12 @@ def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_id"), F.concat(F.lit("# "), "source", F.lit("\n\n"), text).alias("content"))
 
 
-@query()
+@query(
+    r"""WITH p AS (SELECT 'd' || doc_id::VARCHAR AS source_id, source, string_split(text, chr(10)) AS ps FROM documents),
+s AS (SELECT source_id, source, unnest(range(0, len(ps))) AS i, unnest(ps) AS line FROM p)
+SELECT source_id, i::INTEGER AS section_id, CASE WHEN i = 0 THEN '{"H1":' || to_json(source)::VARCHAR || '}' ELSE '{"H1":' || to_json(source)::VARCHAR || ',"H2":"Part"}' END AS headers,
+regexp_replace(CASE WHEN i = 0 THEN '# ' || source ELSE '## Part' END || E'\n\n' || line, '^\s+|\s+$', '', 'g') AS content FROM s"""
+)
 def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = chunking.split_markdown_headers(_markdown(spark, sf_dir))
     return own.select("source_id", "section_id", F.to_json("headers").alias("headers"), "content")
@@ -220,13 +231,24 @@ def html_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_html(table(spark, sf_dir, "pages")).select("page_id", "route", "chunk_index", "content")
 
 
-@query()
+SECTION_SQL = rf"""js AS (SELECT page_id, {JS_SQL.format('html')} AS html FROM pages),
+sized AS (SELECT page_id, html, {TRIM.format('html')} AS trimmed, {STRIP_SQL.format('html')} AS plain FROM js),
+cut AS (SELECT *, list_transform(list_filter(string_split_regex(regexp_extract(html, '(?s)<body>(.*?)<h1>', 1), '<[^>]*>'), lambda x: regexp_replace(x, '\s+', '', 'g') <> ''), lambda x: {ONE_LINE.format(CHARS.format('x'))}) AS above,
+  {ONE_LINE.format(CHARS.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"))} AS head,
+  list_transform(list_filter(string_split_regex(regexp_extract(html, '(?s)</h1>(.*)$', 1), '<[^>]*>'), lambda x: regexp_replace(x, '\s+', '', 'g') <> ''), lambda x: {ONE_LINE.format(CHARS.format('x'))}) AS below FROM sized),
+routed AS (SELECT *, CASE WHEN length(trimmed) < 100 THEN 'short' WHEN length(plain) <= 1000 THEN 'small' ELSE '{{mode}}' END AS route FROM cut),
+chunks AS (SELECT page_id, route, 0 AS chunk_index, CASE WHEN route = 'short' THEN trimmed ELSE plain END AS content, '{{{{}}}}' AS metadata FROM routed WHERE route IN ('short', 'small')
+  UNION ALL SELECT page_id, route, 0, array_to_string(above, chr(10)), '{{{{}}}}' FROM routed WHERE route = '{{mode}}' AND len(above) > 0
+  UNION ALL SELECT page_id, route, (len(above) > 0)::INTEGER, {{lead}} || array_to_string(below, chr(10)), '{{{{"Header 1":' || to_json(head)::VARCHAR || '}}}}' FROM routed WHERE route = '{{mode}}' AND len(below) > 0)"""
+
+
+@query(f"WITH {SECTION_SQL.format(mode='header', lead=chr(39) * 2)} SELECT page_id, route, chunk_index, content, metadata FROM chunks")
 def html_header_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = chunking.chunk_html(table(spark, sf_dir, "pages"), mode="header")
     return own.select("page_id", "route", "chunk_index", "content", F.to_json("metadata").alias("metadata"))
 
 
-@query()
+@query(f"WITH {SECTION_SQL.format(mode='section', lead='head || chr(10)')} SELECT page_id, route, chunk_index, content, metadata FROM chunks")
 def html_section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = chunking.chunk_html(table(spark, sf_dir, "pages"), mode="section")
     return own.select("page_id", "route", "chunk_index", "content", F.to_json("metadata").alias("metadata"))
@@ -281,7 +303,7 @@ def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang").alias("domain"),
         F.col("doc_id").alias("chunk_index"),
     )
-    path = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    path = new_path(spark)
     io.write_chunks(own, path)
     return io.read_chunks(spark, path).select("doc_id", "chunk_id", "content")
 
@@ -321,7 +343,7 @@ def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def golden_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The good cases of a golden file written from the benchmark; every fifth has no question."""
     item = F.struct(F.col("item_id").cast("string").alias("id"), F.when(F.col("item_id") % 5 > 0, F.col("text")).alias("question"), F.col("text").alias("expected_answer"), F.array(F.struct(F.col("text").alias("relevant_text"))).alias("retrieved_documents"))
-    path = f"{shared_dir(spark)}/golden-{uuid.uuid4().hex}"
+    path = new_path(spark)
     table(spark, sf_dir, "benchmark").select(F.to_json(item).alias("value")).repartition(1).write.text(path)
     good, _ = io.read_golden(spark, path)
     return good.select("id", "question")
@@ -330,7 +352,7 @@ def golden_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ingested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages taken through the stream into a store; the store's chunks."""
-    root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    root = new_path(spark)
     own = pages(spark, sf_dir).select("url", "site", "html", F.lit("2024-01-01").cast("timestamp").alias("crawled_at"))
     own.write.parquet(f"{root}/in")
     stream_ingest(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint")
@@ -340,3 +362,74 @@ def ingested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def batch_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_chunks(pages(spark, sf_dir)).select("source_id", "chunk_index", "total_chunks", "title", "content", "chunk_id")
+
+
+@query(
+    r"""WITH c AS (SELECT doc_id, 'src-' || (doc_id % 10)::VARCHAR AS source_id, CASE WHEN doc_id % 2 = 0 THEN 'first' ELSE 'second' END AS run, text FROM documents WHERE text <> '')
+SELECT doc_id, sha256(source_id || chr(1) || doc_id::VARCHAR || chr(1) || text) AS chunk_id FROM c WHERE regexp_replace(text, '\s+', '', 'g') <> ''"""
+)
+def appended_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs into the same domains of a store, the second with some of the first's chunks again."""
+    docs = table(spark, sf_dir, "documents").where(F.regexp_replace("text", r"\s+", "") != "")
+    own = docs.select("doc_id", F.concat(F.lit("src-"), (F.col("doc_id") % 10).cast("string")).alias("source_id"), F.col("text").alias("content"), F.lit("d").alias("domain"), F.col("doc_id").alias("chunk_index"))
+    path = new_path(spark)
+    io.write_chunks(own.where("doc_id % 2 = 0"), path)
+    io.write_chunks(own.where("doc_id % 2 = 1 or doc_id % 10 = 0"), path)
+    return io.read_chunks(spark, path).select("doc_id", "chunk_id")
+
+
+@query(r"SELECT doc_id, text AS content FROM documents WHERE doc_id % 20 = 0 AND regexp_replace(text, '\s+', '', 'g') <> ''")
+def fetched_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of given ids."""
+    docs = table(spark, sf_dir, "documents").where(F.regexp_replace("text", r"\s+", "") != "")
+    own = docs.select("doc_id", F.lit("s").alias("source_id"), F.col("text").alias("content"), F.lit("d").alias("domain"), F.col("doc_id").alias("chunk_index"))
+    path = new_path(spark)
+    io.write_chunks(own, path)
+    ids = own.where("doc_id % 20 = 0").select(io.chunk_id(F.col("source_id"), F.col("chunk_index"), F.col("content")).alias("chunk_id"))
+    return io.get_chunks(io.read_chunks(spark, path), ids).select("doc_id", "content")
+
+
+@query(r"""SELECT page_id, CASE WHEN page_id % 3 > 0 THEN 'p' || page_id::VARCHAR || '.html' END AS source_file, CASE WHEN page_id % 3 > 0 THEN 'T: ' || page_id::VARCHAR END AS title,
+CASE WHEN page_id % 3 > 0 THEN trim('# T' || E'\n\n' || url, E'\r\n ') ELSE '# T' || E'\n\n' || url END AS body FROM pages""")
+def front_matters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown with and without front matter, read as metadata and body."""
+    number = F.col("page_id").cast("string")
+    body = F.concat(F.lit("# T\n\n"), "url")
+    head = F.concat(F.lit("---\nsource_file: p"), number, F.lit(".html\ntitle: 'T: "), number, F.lit("'\n---\n\n"))
+    text = F.when(F.col("page_id") % 3 > 0, F.concat(head, body)).otherwise(body)
+    metadata, rest = io.front_matter(text)
+    own = table(spark, sf_dir, "pages").select("page_id", metadata.alias("m"), rest.alias("body"))
+    return own.select("page_id", F.try_element_at("m", F.lit("source_file")).alias("source_file"), F.try_element_at("m", F.lit("title")).alias("title"), "body")
+
+
+@query(f"""SELECT page_id, '---' || chr(10) || 'source_file: ' || page_id::VARCHAR || '.html' || chr(10) || CASE WHEN page_id % 2 = 0 THEN 'title: t' || page_id::VARCHAR || chr(10) ELSE '' END || 'domain: ' || {HOST_SQL} || chr(10) || 'source_url: ' || url || chr(10) || '---' ||
+chr(10) || chr(10) || '# ' || CASE WHEN page_id % 2 = 0 THEN 't' || page_id::VARCHAR ELSE 'Untitled' END || chr(10) || chr(10) || html AS document FROM pages""")
+def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that were written with their Markdown form and read again."""
+    number = F.col("page_id").cast("string")
+    own = pages(spark, sf_dir).select("page_id", "site", "url", F.concat(number, F.lit(".html")).alias("path"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("t"), number)).alias("title"), F.col("html").alias("markdown"))
+    path = new_path(spark)
+    io.write_documents(own, path, as_text=True)
+    return spark.read.parquet(path).select("page_id", "document")
+
+
+@query(f"SELECT page_id, {HOST_SQL} AS site, html FROM pages")
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as files in folders of their sites, read again."""
+    path = new_path(spark)
+    own = pages(spark, sf_dir).select("site", F.concat(F.col("page_id").cast("string"), F.lit("|"), "html").alias("value"))
+    own.write.option("maxRecordsPerFile", 1).option("lineSep", "|").partitionBy("site").text(path)
+    back = io.read_pages(spark, path, "part-*")
+    number = F.substring_index("html", "|", 1)
+    html = F.substr("html", F.char_length(number) + 2, F.char_length("html") - F.char_length(number) - 2)
+    return back.select(number.cast("long").alias("page_id"), F.regexp_replace("site", "^site=", "").alias("site"), html.alias("html"))
+
+
+@query(f"""WITH s AS (SELECT DISTINCT {HOST_SQL} AS name FROM pages), w AS (SELECT name FROM s ORDER BY name LIMIT 3)
+SELECT name, true AS known FROM w UNION ALL SELECT 'nowhere.example.net', false""")
+def chosen_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three sites by name, and one that is not there."""
+    own = sites(spark, sf_dir)
+    names = [r["name"] for r in own.select("name").orderBy("name").limit(3).collect()]
+    known, unknown = web.select_sites(own, [*names, "nowhere.example.net"])
+    return known.select("name", F.lit(True).alias("known")).unionByName(unknown.withColumn("known", F.lit(False)))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ragcorpus.functions.authority import authority_bonus, authority_rank, safe_score, source_type_label
 from ragcorpus.functions.text import extract_snippet, tokenize
 from ragcorpus.operators import dense, evaluation, fusion
-from ragcorpus.operators.bm25 import bm25_scores, build_bm25_index
-from ragcorpus.plans.tables import BM25_SQL, BONUS_SQL, DENSE_SQL, HITS_SQL, KNN_SQL, META_SQL, RANK_SQL, TOPK_SQL, TYPE_SQL, chunks, hits, meta, query, query_vectors, questions, table, topk, typed, vectors
+from ragcorpus.operators.bm25 import bm25_scores, bm25_topk, build_bm25_index
+from ragcorpus.plans.tables import BM25_SQL, BONUS_SQL, DENSE_SQL, HITS_SQL, KNN_SQL, META_SQL, RANK_SQL, TOPK_SQL, TYPE_SQL, chunks, hits, index, meta, query, query_vectors, questions, table, topk, typed, vectors
 
 
 def six(name: str) -> Column:
@@ -25,17 +25,17 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BM25_SQL} SELECT term, df, round(idf + 1e-10, 6) AS idf FROM terms")
 def bm25_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_bm25_index(chunks(spark, sf_dir)).terms.select("term", "df", six("idf"))
+    return index(spark, sf_dir).terms.select("term", "df", six("idf"))
 
 
 @query(f"WITH {BM25_SQL} SELECT doc_id, term, tf, dl::INTEGER AS dl FROM post JOIN lens USING (doc_id)")
 def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_bm25_index(chunks(spark, sf_dir)).postings.select(F.col("chunk_id").alias("doc_id"), "term", "tf", "dl")
+    return index(spark, sf_dir).postings.select(F.col("chunk_id").alias("doc_id"), "term", "tf", "dl")
 
 
 @query(f"WITH {BM25_SQL} SELECT query_id, doc_id, round(score + 1e-10, 6) AS score FROM scores")
 def bm25_all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25_scores(build_bm25_index(chunks(spark, sf_dir)), questions(spark, sf_dir)).select("query_id", F.col("chunk_id").alias("doc_id"), six("score"))
+    return bm25_scores(index(spark, sf_dir), questions(spark, sf_dir)).select("query_id", F.col("chunk_id").alias("doc_id"), six("score"))
 
 
 @query(f"WITH {TOPK_SQL} SELECT query_id, rank, doc_id, round(score + 1e-10, 6) AS score FROM topk")
@@ -43,6 +43,22 @@ def bm25_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk(spark, sf_dir).select("query_id", "rank", "doc_id", six("score"))
 
 
+#: A corpus of one template, but for every 20th document: most terms are in over half of it, and their scores below 0.
+TEMPLATE_SQL = TOPK_SQL.replace("lower(text), '\\s+'), lambda t: t <> '') AS tokens FROM documents", "lower(CASE WHEN doc_id % 20 = 19 THEN 'x ' || lang ELSE 'a b c' END), '\\s+'), lambda t: t <> '') AS tokens FROM documents").replace(
+    "lower(text), '\\s+'), lambda t: t <> '')) AS term FROM benchmark", "lower(CASE WHEN item_id % 2 = 0 THEN 'a' ELSE 'a x' END), '\\s+'), lambda t: t <> '')) AS term FROM benchmark"
+)
+
+
+@query(f"WITH {TEMPLATE_SQL} SELECT query_id, rank, doc_id, round(score + 1e-10, 6) AS score FROM topk")
+def bm25_template_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that share no term with a query stand before those of scores below 0, wherever they are in the corpus."""
+    text = F.when(F.col("chunk_id") % 20 == 19, F.concat(F.lit("x "), "lang")).otherwise("a b c")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("doc_order"), "lang")
+    asked = questions(spark, sf_dir).withColumn("query", F.when(F.col("query_id") % 2 == 0, "a").otherwise("a x"))
+    found = bm25_topk(build_bm25_index(docs.withColumn("content", text)), asked)
+    return found.select("query_id", "rank", F.col("chunk_id").alias("doc_id"), six("score"))
+
+
 @query(f"WITH {KNN_SQL} SELECT query_id, rank, chunk_id, round(distance + 1e-10, 6) AS distance FROM near WHERE rank <= 20")
 def knn_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.knn(vectors(spark, sf_dir), query_vectors(spark, sf_dir)).select("query_id", "rank", "chunk_id", six("distance"))
@@ -65,7 +81,7 @@ def mmr_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.mmr(near)
 
 
-@query()
+@query(r"SELECT doc_id, 64 AS dims, CASE WHEN regexp_replace(text, '\s+', '', 'g') = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS norm FROM documents")
 def embedded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = dense.embed(chunks(spark, sf_dir))
     return own.select(F.col("chunk_id").alias("doc_id"), F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 3).alias("norm"))
@@ -100,8 +116,8 @@ chosen AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY authority
 def hybrid(spark: SparkSession, sf_dir: str, scorer: object = None, strategy: str = "hybrid") -> DataFrame:
     own = typed(meta(spark, sf_dir)).withColumnRenamed("doc_id", "chunk_id").join(vectors(spark, sf_dir), "chunk_id", "left")
     asked = questions(spark, sf_dir).join(vectors(spark, sf_dir).withColumnRenamed("chunk_id", "query_id"), "query_id", "left")
-    index = build_bm25_index(chunks(spark, sf_dir)) if strategy == "hybrid" else None
-    return fusion.retrieve(own, asked, index, strategy, scorer=scorer).withColumnRenamed("chunk_id", "doc_id")
+    own_index = index(spark, sf_dir) if strategy == "hybrid" else None
+    return fusion.retrieve(own, asked, own_index, strategy, scorer=scorer).withColumnRenamed("chunk_id", "doc_id")
 
 
 @query(f"WITH {RRF_SQL}, pool AS (SELECT query_id, rank, doc_id, score FROM rrf), {SELECT_SQL} SELECT query_id, rank, doc_id, source_type, round(raw + 1e-10, 6) AS score, round(authority_score + 1e-10, 6) AS authority_score FROM chosen")

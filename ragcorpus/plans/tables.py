@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragcorpus.functions.authority import classify_source_type
-from ragcorpus.operators.bm25 import build_bm25_index, bm25_topk
+from ragcorpus.operators.bm25 import Bm25Index, bm25_topk, read_bm25_index, store_bm25_index
+from ragcorpus.sources.scratch import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,11 +70,12 @@ def typed(df: DataFrame) -> DataFrame:
 
 
 #: BM25 over documents for the benchmark's texts.
-BM25_SQL = r"""tok AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda t: t <> '') AS tokens FROM documents),
+BM25_SQL = r"""tok AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda t: t <> '') AS tokens FROM documents),
 lens AS (SELECT doc_id, len(tokens) AS dl FROM tok),
-post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM tok) GROUP BY ALL),
+post AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM tok) GROUP BY ALL),
 corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lens),
-raws AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, corpus GROUP BY term),
+dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM post GROUP BY term),
+raws AS (SELECT term, df, ln((SELECT n FROM corpus) - df + 0.5) - ln(df + 0.5) AS raw FROM dfs),
 meanidf AS (SELECT avg(raw) AS m FROM raws),
 terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END AS idf FROM raws, meanidf),
 wanted AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda t: t <> '')) AS term FROM benchmark) GROUP BY ALL),
@@ -94,8 +96,21 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> Bm25Index:
+    """The index of the documents, stored once for the queries of an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = new_path(spark)
+        store_bm25_index(chunks(spark, sf_dir), path)
+        _STORED[key] = path
+    return read_bm25_index(spark, _STORED[key])
+
+
 def topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25_topk(build_bm25_index(chunks(spark, sf_dir)), questions(spark, sf_dir)).withColumnRenamed("chunk_id", "doc_id").drop("doc_order")
+    return bm25_topk(index(spark, sf_dir), questions(spark, sf_dir)).withColumnRenamed("chunk_id", "doc_id").drop("doc_order")
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,9 +12,9 @@ GOLDEN = "id string, question string, expected_answer string, retrieved_document
 DOCUMENT = "doc_id string, content string, source string, site string, title string, url string, crawled_at timestamp"
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(site, path, filename, html) of every *.html below path; the site is the first directory."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").load(path)
+def read_pages(spark: SparkSession, path: str, names: str = "*.html") -> DataFrame:
+    """(site, path, filename, html) of every file of these names below path; the site is the first directory."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(path)
     inner = _below(F.col("path"), path)
     return files.select(_site(inner), inner.alias("path"), F.substring_index("path", "/", -1).alias("filename"), F.decode("content", "UTF-8").alias("html"))
 
@@ -152,8 +152,9 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def get_chunks(chunks: DataFrame, ids: list[str]) -> DataFrame:
-    wanted = chunks.sparkSession.createDataFrame([(i,) for i in ids], "chunk_id string")
+def get_chunks(chunks: DataFrame, ids: list[str] | DataFrame) -> DataFrame:
+    """The chunks of these ids, given as a list or as a table (chunk_id)."""
+    wanted = ids.select("chunk_id") if isinstance(ids, DataFrame) else chunks.sparkSession.createDataFrame([(i,) for i in ids], "chunk_id string")
     return chunks.join(wanted, "chunk_id", "left_semi")
 
 

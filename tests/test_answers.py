@@ -48,6 +48,14 @@ def test_hit_context(spark):
     assert [b[1] for b in r["context"].split("\n\n---\n\n")] == ["2", "3", "1"] and r["mapping"] == {1: "a", 2: "b", 3: "c"}
 
 
+def test_hits_that_share_an_id(spark):
+    own = hits(spark, hit(1, source_id="a", score=0.1), hit(2, source_id="a", score=0.9), hit(3, source_id="c", score=0.5, title="Other"))
+    r = cite.format_context(cite.assign_source_citations(own), queries(spark)).first()
+    assert r["context"].count("Content:") == 3 and sorted(r["mapping"].items()) == [(1, "a"), (2, "c")]
+    r = cite.format_context(own.withColumn("citation_id", F.lit(7)), queries(spark)).first()
+    assert r["mapping"] == {7: "c"}
+
+
 def test_flatten_hits(spark):
     df = spark.createDataFrame([(1, "src", "u")], "query_id int, source string, url string")
     r = cite.flatten_hits(df).first()

@@ -1,6 +1,7 @@
 """Pages, links, chunking, sources and the stream."""
 
 import json
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -230,3 +231,40 @@ def test_stream_equals_batch_and_skips_known(spark, tmp_path):
 def test_html_reader():
     assert _html.outlinks(_html.read("<a href=x><a href='y'>z")) == ["x", "y"]
     assert _html.header_sections(_html.read("<p>0</p><h1>A</h1><p>1</p><h3>B</h3>2<h1>C</h1>")) == [({}, "", "0"), ({"Header 1": "A"}, "A", "1"), ({"Header 1": "A", "Header 3": "B"}, "B", "2")]
+
+
+def test_pages_of_any_depth(spark):
+    page = "<div>x<b>y</b><a href='/l'>z</a>" * 3_000
+    rows = spark.createDataFrame([("s", "https://a.de/", page)], "site string, url string, html string")
+    sites = spark.createDataFrame([("s", ["a.de"])], "name string, allowed_domains array<string>")
+    assert web.extract_links(rows, sites).count() == 3_000
+    assert rows.select(parse.page_text("html").alias("t")).first()["t"] == "\n".join(["x", "y", "z"] * 3_000)
+    title, body = parse.parse_page(page, "")
+    assert title == "Untitled" and body.count("**y**") == 3_000
+    assert len(_html.header_sections(_html.read("<h2>a</h2>" + "<div>" * 3_000 + "x"))) == 1
+    assert _html.markdown(_html.read("<b>" * 3_000 + "x")).strip("*") == "x"
+
+
+def test_deep_pages_take_time_in_proportion():
+    start = time.process_time()
+    root = _html.read("<div>x" * 100_000)
+    assert _html.visible_text(root).count("x") == 100_000 and not _html.outlinks(root)
+    assert time.process_time() - start < 10
+
+
+def test_starts_are_those_of_the_chunks():
+    assert [(c, at) for _, c, _, at in chunking.markdown_chunks(";;;;; ? ", 5, 1)] == [(";;;;", 0), ("; ?", 4)]
+
+
+def test_chunk_store_appends(spark, tmp_path):
+    kind = "source_id string, chunk_index int, content string, domain string"
+    io.write_chunks(spark.createDataFrame([("s", 0, "one", "d")], kind), f"{tmp_path}/c")
+    io.write_chunks(spark.createDataFrame([("s", 1, "two", "d"), ("s", 0, "one", "d")], kind), f"{tmp_path}/c")
+    assert sorted(r["content"] for r in io.read_chunks(spark, f"{tmp_path}/c").collect()) == ["one", "two"]
+
+
+def test_url_tiers(spark):
+    files = [("s", "s/a/p.html", "p.html"), ("s", "s/q.html", "q.html"), ("s", "s/r.html", "r.html"), ("s", "s/none.htm", "none.htm"), ("s", "s/x1.html", "x1.html")]
+    urls = [("other/p.html", "u1", 0), ("a/p.html", "u2", 1), ("deep/q.html", "u3", 2), ("big-r.html", "u4", 3), ("1.html", "u5", 4), ("x1.html", "u6", 5), ("", "u7", 6)]
+    got = io.resolve_urls(spark.createDataFrame(files, "site string, path string, filename string"), spark.createDataFrame(urls, "filename string, url string, key_order long"))
+    assert {r["path"]: r["url"] for r in got.collect()} == {"s/a/p.html": "u2", "s/q.html": "u3", "s/r.html": "u4", "s/none.htm": None, "s/x1.html": "u5"}

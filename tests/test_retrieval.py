@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ragcorpus.operators import dense, evaluation, fusion
-from ragcorpus.operators.bm25 import bm25_topk, build_bm25_index
+from ragcorpus.operators.bm25 import bm25_topk, build_bm25_index, read_bm25_index, store_bm25_index
 
 TEXTS = ["GST registration guide", "GSTR-1 filing rules", "the the the rules of the guide", "", None, "the registration of a guide", "the the end"]
 
@@ -181,3 +181,45 @@ def test_top_k_pushes_below_the_shuffle(spark, sf_dir):
     plan = QUERIES["bm25_top20"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "Python" not in plan
     assert F is not None
+
+
+def test_bm25_of_negative_scores_fills_up_with_the_first_zeros(spark):
+    """Most terms are in over half of all chunks, so their scores are below the zeros, which stand last in the corpus."""
+    texts = ["a b c"] * 100 + ["x"] * 5 + ["a b c"] * 3 + ["x a"]
+    asked = ["a", "x", "nothing", "a b x"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    got = {}
+    for r in bm25_topk(build_bm25_index(chunks(spark, texts)), queries, 7).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["chunk_id"], r["score"]))
+    for q, text in enumerate(asked):
+        scores = plain_bm25(texts, text)
+        want = sorted(range(len(texts)), key=lambda i: (-scores[i], i))[:7]
+        assert [c for c, _ in got[q]] == want and np.allclose([s for _, s in got[q]], [scores[i] for i in want])
+    assert [c for c, _ in got[0]][:5] == [100, 101, 102, 103, 104]
+
+
+def test_stored_index(spark, tmp_path):
+    own = chunks(spark, TEXTS)
+    queries = spark.createDataFrame([(0, "the rules of GST"), (1, "guide")], "query_id long, query string")
+    store_bm25_index(own, f"{tmp_path}/index")
+    stored = bm25_topk(read_bm25_index(spark, f"{tmp_path}/index"), queries, 4).orderBy("query_id", "rank").collect()
+    assert stored == bm25_topk(build_bm25_index(own), queries, 4).orderBy("query_id", "rank").collect()
+
+
+def test_knn_ids_of_any_type_and_rows_that_are_shuffled(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 6))
+    own = spark.createDataFrame([(f"c{i}", v.tolist()) for i, v in enumerate(x)], "chunk_id string, embedding array<double>").repartition(5)
+    asked = spark.createDataFrame([(f"q{i}", x[i].tolist()) for i in range(9)], "query_id string, embedding array<double>")
+    want = {f"q{i}": [f"c{j}" for j in np.lexsort((np.array([f"c{j}" for j in range(500)]), np.round(((x - x[i]) ** 2).sum(axis=1), 9)))[:3]] for i in range(9)}
+    few = dense._by_task(own.where("embedding is not null"), asked.toPandas(), 3, "query_id string, chunk_id string, distance double")
+    assert few.count() <= 9 * 3 * own.rdd.getNumPartitions()  # k rows a query and task, not a batch
+    for block in (4096, 4):
+        monkeypatch.setattr(dense, "QUERY_BLOCK", block)
+        monkeypatch.setattr(dense, "CHUNK_BLOCK", 100)
+        got = {}
+        for r in dense.knn(own, asked, 3).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["chunk_id"])
+        assert got == want
+    near = dense.knn(own, asked, 4).join(own, "chunk_id").join(asked.withColumnRenamed("embedding", "query_embedding"), "query_id")
+    assert {r["query_id"] for r in dense.mmr(near, 2).collect()} == set(want)
