@@ -1,40 +1,46 @@
 """Shards by a K-d tree over metadata: every node splits at the weighted median of its widest dimension.
 
-A dimension's values are placed on a scale of 31 bits (text by a hash, so equal values stay side by side) and
-followed by 31 bits of a hash of the row, so that a value with any share of the rows can still be split. The medians of
-all nodes of a level are found together by counting bytes in SLICES slices of each node's range and looking closer at
-the slice that holds the median; only those counts, a few numbers a node, come to the driver.
+A dimension's values are placed on a scale of 31 bits in their own order (text by its first bytes). Within a node a value
+becomes its place in the node's range, followed by a hash of the row, so that a value with any share of the rows can
+still be split. The medians of all nodes of a level are found together by counting the bytes of slices: once over the
+whole ranges of the nodes, and once within the slices that hold the medians. Nodes are rows of tables, and every row
+carries its node, so nothing but the number of shards comes to the driver, however many there are.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragcorpus.llm._common import numbered, save
+from ragcorpus.llm._common import drop, new_path, numbered, save
 
-SLICES = 512
-#: A median may miss by this share of a leaf's bytes.
-TOLERANCE = 0.002
+#: A place is 20 bits of the value and 12 of the row's hash; each count looks at half of them.
+VALUE_BITS, HASH_BITS = 20, 12
+SLICE_BITS = (VALUE_BITS + HASH_BITS) // 2
+#: Tables of nodes are broadcast up to this number of shards; beyond it they are joined by a shuffle.
+BROADCAST_SHARDS = 100_000
 _TOP = (1 << 31) - 1
 
 
+def _number(df: DataFrame, name: str) -> Column:
+    """A column as a double that keeps its order: text and bytes by their first six bytes."""
+    kind = dict(df.dtypes)[name]
+    if kind in ("string", "binary"):
+        return F.conv(F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    return F.col(name).cast("int").cast("double") if kind == "boolean" else F.col(name).cast("double")
+
+
 def _scaled(df: DataFrame, dims: list[str]) -> list[Column]:
-    """Each dimension as 0 .. 2^31 - 1; null is 0."""
-    kinds = dict(df.dtypes)
-    numeric = [d for d in dims if kinds[d] not in ("string", "binary", "boolean")]
-    ends = df.agg(*[f(F.col(d).cast("double")).alias(f"{n}{i}") for i, d in enumerate(numeric) for n, f in (("a", F.min), ("b", F.max))]).first() if numeric else {}
+    """Each dimension as 0 .. 2^31 - 1; null and what is no number are 0."""
+    ends = df.agg(*[f(_number(df, d)).alias(f"{n}{i}") for i, d in enumerate(dims) for n, f in (("a", F.min), ("b", F.max))]).first()
     out = []
-    for d in dims:
-        if d in numeric:
-            low, high = ends[f"a{numeric.index(d)}"], ends[f"b{numeric.index(d)}"]
-            span = (high - low) if low is not None and high > low and math.isfinite(high - low) else 1.0
-            value = (F.col(d).cast("double") - F.lit(low or 0.0)) / span * _TOP
-            out.append(F.coalesce(F.when(~F.isnan(value), F.greatest(F.lit(0.0), F.least(F.lit(float(_TOP)), value))).cast("long"), F.lit(0).cast("long")))
-        else:
-            out.append(F.coalesce(F.shiftrightunsigned(F.xxhash64(F.col(d).cast("string")), 33), F.lit(0).cast("long")))
+    for i, d in enumerate(dims):
+        low, high = ends[f"a{i}"], ends[f"b{i}"]
+        span = (high - low) if low is not None and high > low and math.isfinite(high - low) else 1.0
+        value = (_number(df, d) - F.lit(low if low is not None and math.isfinite(low) else 0.0)) / span * _TOP
+        out.append(F.coalesce(F.when(~F.isnan(value), F.greatest(F.lit(0.0), F.least(F.lit(float(_TOP)), value))).cast("long"), F.lit(0).cast("long")))
     return out
 
 
@@ -42,65 +48,56 @@ def kd_shards(df: DataFrame, dims: list[str], weight: str, tie: list[str], targe
     """df with a column _shard, 0 .. shards - 1, of nearly equal sums of `weight`.
 
     The number of shards is given or follows from target_bytes. A node of n shards gives the first n // 2 of them their
-    share of its weight. Rows that are equal in all dims and in `tie` may be dealt to either side as a whole only.
+    share of its weight. Rows that are equal in all dims and in `tie` may be dealt to either side as a whole only. Nulls
+    in dims come first; no rows give none.
     """
     spark = df.sparkSession
-    codes = _scaled(df, dims)
-    row = F.shiftrightunsigned(F.xxhash64(*tie), 33)
     named = [f"_c{i}" for i in range(len(dims))]
-    base = save(df.select(*df.columns, *[(F.shiftleft(c, 31) + row).alias(n) for c, n in zip(codes, named, strict=True)]))
+    hashed = F.shiftrightunsigned(F.xxhash64(*tie), 64 - HASH_BITS).alias("_h")
+    path = new_path(spark)
+    base = save(df.select(*df.columns, *[c.alias(n) for c, n in zip(_scaled(df, dims), named, strict=True)], hashed), path)
     total = base.agg(F.sum(F.col(weight))).first()[0] or 0
     n = shards or max(1, math.ceil(total / target_bytes))
-    nodes = {0: n}  # first shard of a node: how many it has
-    now = base.withColumn("_shard", F.lit(0))
-    level = 0
-    while any(k > 1 for k in nodes.values()):
-        extent = now.groupBy("_shard").agg(F.sum(weight).alias("w"), *[f(F.shiftright(c, 31)).alias(f"{p}{i}") for i, c in enumerate(named) for p, f in (("a", F.min), ("b", F.max))])
-        extents = {r["_shard"]: r for r in extent.collect()}  # one row a node
-        search = {}
-        for first, k in nodes.items():
-            if k > 1 and first in extents:
-                r = extents[first]
-                wide = max(range(len(dims)), key=lambda i: (r[f"b{i}"] - r[f"a{i}"], -i))
-                search[first] = {"dim": wide, "low": r[f"a{wide}"] << 31, "high": (r[f"b{wide}"] + 1) << 31, "want": r["w"] * (k // 2) / k, "slack": TOLERANCE * r["w"] / k, "before": 0}
-        cuts = _medians(now, named, weight, search)
-        table = spark.createDataFrame([(f, search[f]["dim"], c, f + nodes[f] // 2) for f, c in cuts.items()] or [(-1, 0, 0, 0)], "_node int, _dim int, _cut long, _upper int")
-        code = F.element_at(F.array(*named), F.col("_dim") + 1)
-        joined = now.join(F.broadcast(table), F.col("_shard") == F.col("_node"), "left")  # one row a node
-        now = joined.withColumn("_shard", F.when(code >= F.col("_cut"), F.col("_upper")).otherwise(F.col("_shard")).cast("int")).drop("_node", "_dim", "_cut", "_upper")
-        nodes = {f: k for first, have in nodes.items() for f, k in (((first, have // 2), (first + have // 2, have - have // 2)) if have > 1 else ((first, 1),))}
-        level += 1
-        if level % 3 == 0:
-            now = save(now)
-    return now.drop(*named)
-
-
-def _medians(now: DataFrame, named: list[str], weight: str, search: dict[int, dict]) -> dict[int, int]:
-    """For each searched node the code from which on rows belong to its upper side."""
-    spark, cuts, search = now.sparkSession, {}, dict(search)
-    while search:
-        for s in search.values():
-            s["step"] = max(1, -(-(s["high"] - s["low"]) // SLICES))
-        table = spark.createDataFrame([(f, s["dim"], s["low"], s["high"], s["step"]) for f, s in search.items()], "_node int, _dim int, _low long, _high long, _step long")
-        code = F.element_at(F.array(*named), F.col("_dim") + 1)
-        inside = now.join(F.broadcast(table), F.col("_shard") == F.col("_node")).where((code >= F.col("_low")) & (code < F.col("_high")))
-        slices = inside.groupBy("_shard", F.floor((code - F.col("_low")) / F.col("_step")).cast("long").alias("at")).agg(F.sum(weight).alias("w"))
-        found: dict[int, list] = {}
-        for r in slices.collect():  # at most SLICES + 1 rows a node
-            found.setdefault(r["_shard"], []).append((r["at"], r["w"]))
-        for f, s in list(search.items()):
-            before = s["before"]
-            for at, w in sorted(found[f]):
-                if before + w >= s["want"]:
-                    break
-                before += w
-            low, high = s["low"] + at * s["step"], min(s["high"], s["low"] + (at + 1) * s["step"])
-            if s["step"] == 1 or w <= s["slack"]:
-                cuts[f] = low if s["want"] - before < before + w - s["want"] else high
-                del search[f]
-            else:
-                s |= {"low": low, "high": high, "before": before}
-    return cuts
+    now = base.withColumns({"_shard": F.lit(0), "_k": F.lit(n)})
+    for _ in range((n - 1).bit_length()):
+        after = new_path(spark)
+        split = save(_split(now, named, weight, n), after)
+        drop(spark, path)
+        now, path = split, after
+    return now.drop(*named, "_h", "_k")
+
+
+def _split(now: DataFrame, named: list[str], weight: str, n: int) -> DataFrame:
+    """One level: each node (_shard, its first shard, and _k, how many it has) of two shards and more becomes two."""
+    small = F.broadcast if n <= BROADCAST_SHARDS else lambda df: df
+    extents = now.where("_k > 1").groupBy("_shard").agg(F.first("_k").alias("k"), F.sum(weight).alias("w"), *[f(c).alias(f"{p}{i}") for i, c in enumerate(named) for p, f in (("a", F.min), ("b", F.max))])
+    wide = F.array(*[F.col(f"b{i}") - F.col(f"a{i}") for i in range(len(named))])
+    dim = F.array_position(wide, F.array_max(wide)).cast("int")  # the first of the widest, from 1
+    pick = lambda p: F.element_at(F.array(*[F.col(f"{p}{i}") for i in range(len(named))]), dim)
+    nodes = extents.select(F.col("_shard").alias("_node"), dim.alias("_dim"), pick("a").alias("_low"), (pick("b") - pick("a") + 1).alias("_width"), (F.col("w") * F.floor(F.col("k") / 2) / F.col("k")).alias("_want"))
+    value = F.element_at(F.array(*[F.col(c) for c in named]), F.col("_dim"))
+    place = F.shiftleft(F.floor(F.shiftleft(value - F.col("_low"), VALUE_BITS) / F.col("_width")).cast("long"), HASH_BITS) + F.col("_h")
+    placed = lambda table: now.join(small(table), F.col("_shard") == F.col("_node")).withColumn("_place", place)
+    ahead = Window.partitionBy("_node").orderBy("_at")
+
+    def holding(counted: DataFrame) -> DataFrame:
+        """Of each node's counts (_at, _w) the first that reaches _want, and what is before it."""
+        sums = counted.withColumn("_before", F.col("_from") + F.sum("_w").over(ahead) - F.col("_w"))
+        rank = F.row_number().over(ahead)
+        return sums.where(F.col("_before") + F.col("_w") >= F.col("_want")).withColumn("_n", rank).where("_n = 1").drop("_n")
+
+    keys = ["_node", "_dim", "_low", "_width", "_want"]
+    coarse = placed(nodes).groupBy(*keys, F.shiftright("_place", SLICE_BITS).alias("_at")).agg(F.sum(weight).alias("_w"))
+    chosen = holding(coarse.withColumn("_from", F.lit(0))).select(*keys, F.col("_at").alias("_slice"), F.col("_before").alias("_from"))
+    inside = placed(chosen).where(F.shiftright("_place", SLICE_BITS) == F.col("_slice"))
+    fine = inside.groupBy(*keys, "_from", F.col("_place").alias("_at")).agg(F.sum(weight).alias("_w"))
+    nearer = F.col("_want") - F.col("_before") < F.col("_before") + F.col("_w") - F.col("_want")
+    cuts = holding(fine).select("_node", "_dim", "_low", "_width", F.when(nearer, F.col("_at")).otherwise(F.col("_at") + 1).alias("_cut"))
+    upper = now.join(small(cuts), F.col("_shard") == F.col("_node"), "left").withColumn("_up", F.coalesce(place >= F.col("_cut"), F.lit(False)))
+    half = F.floor(F.col("_k") / 2).cast("int")
+    first = F.when(F.col("_up"), F.col("_shard") + half).otherwise(F.col("_shard"))
+    left = F.when(F.col("_k") < 2, F.col("_k")).when(F.col("_up"), F.col("_k") - half).otherwise(half)
+    return upper.withColumns({"_first": first.cast("int"), "_left": left.cast("int")}).drop("_shard", "_k", "_node", "_dim", "_low", "_width", "_cut", "_up").withColumnsRenamed({"_first": "_shard", "_left": "_k"})
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, dims: tuple[str, ...] = ("lang", "source", "n_chars", "doc_id"), id_col: str = "doc_id", text_col: str = "text", target_bytes: int | None = None) -> DataFrame:
@@ -119,8 +116,10 @@ def shard_documents(docs: DataFrame, shards: int = 24, dims: tuple[str, ...] = (
         *[F.col(d).alias(f"_d{i}") for i, d in enumerate(used)],
     )
     # rows that are equal in all of these still differ in where they stand, which only has to deal them out
-    placed = save(meta.withColumn("_row", F.monotonically_increasing_id()))
+    path = new_path(docs.sparkSession)
+    placed = save(meta.withColumn("_row", F.monotonically_increasing_id()), path)
     names = [f"_d{i}" for i in range(len(used))] or ["doc_id"]
-    dealt = save(kd_shards(placed, names, "size", ["doc_id", "text_crc32", "_row"], target_bytes, None if target_bytes else shards))
+    dealt = kd_shards(placed, names, "size", ["doc_id", "text_crc32", "_row"], target_bytes, None if target_bytes else shards)
+    drop(docs.sparkSession, path)
     slots = numbered(dealt.select("doc_id", "size", "text_crc32", "_shard", "_row"), "_shard", [F.col("doc_id"), F.col("text_crc32"), F.col("_row")], "slot")
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("_shard").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
