@@ -8,13 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragcorpus.functions.text import tokenize
+from ragcorpus.operators._order import numbered
 from ragcorpus.sources.scratch import save
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Queries and their terms are broadcast below this number of rows; above it they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-#: Chunks that one task numbers in corpus order.
-NUMBERED_ROWS = 1_000_000
 TABLES = ("postings", "terms", "corpus", "chunks")
 
 
@@ -124,9 +123,9 @@ def _unmatched(index: Bm25Index, queries: DataFrame, scores: DataFrame, k: int)
     Chunks are numbered in corpus order. Of n chunks before a place, of which m are scored, n - m are not; so the runs
     of unscored chunks that hold the first k follow from the places of the scored ones.
     """
-    numbered = _numbered(index.chunks.select("chunk_id", "doc_order"))
+    places = numbered(index.chunks.select("chunk_id", "doc_order"), ["doc_order", "chunk_id"], "place")
     n = index.chunks.agg(F.count("*").alias("_n"))  # one row
-    placed = scores.join(numbered.select("chunk_id", "place"), "chunk_id").select("query_id", "place")
+    placed = scores.join(places.select("chunk_id", "place"), "chunk_id").select("query_id", "place")
     ends = queries.select("query_id").distinct().crossJoin(F.broadcast(n)).select("query_id", F.col("_n").alias("place"))
     own = Window.partitionBy("query_id").orderBy("place")
     runs = placed.unionByName(ends).select("query_id", "place", (F.coalesce(F.lag("place").over(own), F.lit(-1)) + 1).alias("start"), (F.row_number().over(own) - 1).alias("scored"))
@@ -134,18 +133,7 @@ def _unmatched(index: Bm25Index, queries: DataFrame, scores: DataFrame, k: int)
     runs = runs.where((F.col("place") > F.col("start")) & (before < k))
     last = F.least(F.col("place"), F.col("start") + k - before) - 1
     wanted = runs.select("query_id", F.explode(F.sequence("start", last)).alias("place"))
-    return wanted.join(numbered, "place").select("query_id", "chunk_id", "doc_order")
-
-
-def _numbered(chunks: DataFrame) -> DataFrame:
-    """chunks with `place`, 0 .. n - 1 in the order of (doc_order, chunk_id), by sorted ranges."""
-    parts = max(1, -(-chunks.count() // NUMBERED_ROWS))
-    ranged = chunks.repartitionByRange(parts, "doc_order", "chunk_id").sortWithinPartitions("doc_order", "chunk_id")
-    rows, _ = save(ranged.withColumn("_m", F.monotonically_increasing_id()))
-    part, at = F.shiftright("_m", 33), F.col("_m").bitwiseAND((1 << 33) - 1)
-    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))  # one row a range
-    return rows.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("place", F.col("_start") + at).drop("_part", "_start", "_m")
+    return wanted.join(places, "place").select("query_id", "chunk_id", "doc_order")
 
 
 def _small(df: DataFrame) -> DataFrame:

@@ -328,6 +328,14 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.site_index(own).select("site", "n_pages", F.concat_ws("|", first["title"], first["source"], first["output"]).alias("first"))
 
 
+@query(f"""SELECT {HOST_SQL} AS site, count(*) OVER (PARTITION BY {HOST_SQL}) AS n_pages, row_number() OVER (PARTITION BY {HOST_SQL} ORDER BY 't' || (page_id % 7)::VARCHAR, page_id::VARCHAR || '.html') - 1 AS at,
+'t' || (page_id % 7)::VARCHAR AS title, page_id::VARCHAR || '.md' AS output FROM pages""")
+def site_page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.col("page_id").cast("string")
+    own = pages(spark, sf_dir).select("site", F.concat(F.lit("t"), (F.col("page_id") % 7).cast("string")).alias("title"), F.concat(number, F.lit(".html")).alias("path"))
+    return io.site_entries(own).select("site", "n_pages", "at", "title", "output")
+
+
 @query("SELECT doc_id, text AS content, '' AS title, 'https://a.example.org/' || doc_id::VARCHAR AS url, source FROM documents")
 def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to JSON and back."""

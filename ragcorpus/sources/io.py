@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ragcorpus.operators._order import numbered
 from ragcorpus.sources.scratch import exists
 
 GOLDEN = "id string, question string, expected_answer string, retrieved_documents array<struct<id string, title string, authority string, relevant_text string>>, question_type string, verbosity string, expected_citations array<string>, expected_authorities array<string>"
@@ -126,6 +127,17 @@ def site_index(documents: DataFrame) -> DataFrame:
     return documents.groupBy("site").agg(F.count("*").alias("n_pages"), F.sort_array(F.collect_list(entry)).alias("pages"))
 
 
+def site_entries(documents: DataFrame) -> DataFrame:
+    """(site, n_pages, at, title, source, output): site_index with a row for each page, numbered from 0 within its site in
+    the same order, for sites of any size."""
+    title, output = F.coalesce("title", F.lit("Untitled")), output_path(F.col("path"))
+    own = documents.select("site", title.alias("title"), F.col("path").alias("source"), output.alias("output"))
+    placed = numbered(own, ["site", "title", "source"], "place")
+    sites = placed.groupBy(F.col("site").alias("_site")).agg(F.count("*").alias("n_pages"), F.min("place").alias("_first"))
+    joined = placed.join(sites, F.col("site").eqNullSafe(F.col("_site")))
+    return joined.select("site", "n_pages", (F.col("place") - F.col("_first")).alias("at"), "title", "source", "output")
+
+
 def chunk_id(source_id: Column, chunk_index: Column, content: Column) -> Column:
     """An id that a chunk keeps when it is made again."""
     return F.sha2(F.concat_ws("\u0001", source_id, chunk_index.cast("string"), content), 256)
