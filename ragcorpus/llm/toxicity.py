@@ -208,7 +208,11 @@ def _odds(clean: Column, toxic: Column, n0: int, n1: int) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> tuple[Lexicon, Calibrated | None]:
-    """The lexicon and the calibrated trees. Without labels of both classes there are no trees, only the fixed list."""
+    """The lexicon and the calibrated trees, from the documents that training_labels names.
+
+    Null and empty texts teach all-zero vectors, and repeated rows teach as often as they occur. Without labels of both
+    classes, or without documents of both, there are no trees, and scores follow the fixed list of insults alone.
+    """
     sample = F.broadcast(training_labels(labels, rows))  # about `rows` rows of three numbers
     taught = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).join(sample, "_id").select("text", "label", "half")
     lexicons = learn_lexicons(taught)
@@ -253,7 +257,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """docs without the rows that score at the threshold or above; columns stay as they are."""
+    """docs without the rows that score at the threshold or above; columns stay as they are.
+
+    Null and empty texts are scored as all-zero vectors; rows without a doc_id and repeated rows are judged like any
+    other; no rows give none.
+    """
     model = fit(docs, labels)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), scores(model, F.col("text")).alias("_score"))
     return rows.where(F.col("_score") < threshold).select("_row.*")
