@@ -43,16 +43,6 @@ def added_tokens(path: str) -> dict[str, int]:
     return {t["content"]: t["id"] for t in found}
 
 
-@lru_cache(maxsize=4)
-def token_bytes(path: str) -> list[bytes]:
-    """The bytes of each id; gaps are empty. At most as long as the vocabulary, which is fixed."""
-    ranks = read_ranks(path)
-    table = [b""] * (max(ranks.values()) + 1)
-    for token, i in ranks.items():
-        table[i] = token
-    return table
-
-
 def pieces(text: str) -> list[str]:
     """text cut before single spaces that a non-space follows."""
     parts = text.split(" ")

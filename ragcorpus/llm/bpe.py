@@ -1,4 +1,4 @@
-"""Byte-level BPE encoding by a global shuffle of distinct words, and decoding by the token-byte table.
+"""Byte-level BPE encoding by a global shuffle of distinct words, and decoding by a join with the token-byte table.
 
 A word here is what stands between two single spaces, its space in front: one or a few whole matches of the
 vocabulary's pattern. Documents of a task are gathered into blocks; a block's texts become positions in the list of its
@@ -6,6 +6,9 @@ distinct words. Words are dealt over buckets by their hash, all of one block and
 meet, each distinct word of the corpus is encoded once, whatever the number of blocks it occurs in. The ids go back to
 the blocks, which put their documents together by position. Words and positions are made by two scans of docs; a
 checksum of each block's words goes both ways, and a block that differs between the scans stops the job.
+
+Decoding joins the distinct ids of each block of documents with the table of (id, bytes), which is broadcast, as it has
+one row a token of the vocabulary; the documents of a block follow from the bytes of its ids. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -15,7 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
@@ -28,6 +32,9 @@ BLOCK_CHARS = 6_000_000
 BUCKET_CHARS, MOST_BUCKETS = 16_000_000, 16_384
 #: Characters of text for each task that puts blocks together again.
 GROUP_CHARS = 64_000_000
+#: The token-byte table is broadcast, so larger vocabularies are refused.
+MOST_TOKENS = 2_000_000
+_ENCODED = "block long, parts long, doc_id string, n_tokens long, ids binary, distinct array<int>"
 
 
 def _blocks(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[str], list[tuple]]]:
@@ -72,13 +79,28 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
     texts have no ids. A null doc_id stays null, repeated rows repeat, other columns are ignored, no rows give none.
     docs must read the same rows in the same partitions each time, as files and written tables do.
     """
+    whole = _encoded(docs, ranks_path, id_col, text_col)
+    return whole.select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", "ids")
+
+
+def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded): encode_documents, and the bytes of its ids by the token-byte table.
+
+    Null and empty texts give no bytes (empty, not null); ids, repeats and no rows as in encode_documents.
+    """
+    own = _joined(_encoded(docs, ranks_path, id_col, text_col), ranks_path)
+    return own.select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", "ids", "decoded")
+
+
+def _encoded(docs: DataFrame, ranks_path: str, id_col: str, text_col: str) -> DataFrame:
     # as text, since pandas would make floats of nullable longs
     own = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))
     chars = own.agg(F.sum(F.char_length("text"))).first()[0] or 0
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_buckets = max(4 * least, min(MOST_BUCKETS, chars // BUCKET_CHARS))
     n_groups = max(least, chars // GROUP_CHARS)
-    kind = "<u2" if max(_pieces.read_ranks(ranks_path).values()) < 1 << 16 else "<u4"
+    n_ids = max(_pieces.read_ranks(ranks_path).values()) + 1
+    kind = "<u2" if n_ids <= 1 << 16 else "<u4"
 
     def words_of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block, words, _ in _blocks(parts):
@@ -140,26 +162,83 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
             raise RuntimeError("words of a block are missing")
         listed = words.tolist()
         out = [np.frombuffer(b"".join(map(listed.__getitem__, _spread(p).tolist())), kind).astype("<u4") for p in rows["places"]]
-        return pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(object), "n_tokens": [len(x) for x in out], "ids": [x.tobytes() for x in out]})
+        seen = np.zeros(n_ids, bool)
+        for x in out:
+            seen[x] = True
+        return _block_rows(int(key[0]), rows["doc_id"].to_numpy(object), [x.tobytes() for x in out], np.flatnonzero(seen))
 
     dealt = own.mapInPandas(words_of, "bucket int, block long, check long, chars binary, lengths binary").repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
     encoded = dealt.mapInPandas(encode_once, "block long, bucket int, check long, sizes binary, ids binary")
     positions = own.mapInPandas(positions_of, "block long, check long, doc_id string, places binary, buckets binary")
     left, right = positions.repartition(n_groups, "block"), encoded.repartition(n_groups, "block")
-    whole = left.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(assemble, "doc_id string, n_tokens long, ids binary")
-    return whole.select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", "ids")
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(assemble, _ENCODED)
+
 
+def _block_rows(block: int, doc_ids: np.ndarray, ids: list[bytes], distinct: np.ndarray) -> pd.DataFrame:
+    """The documents of a block, the first with the block's distinct ids; parts counts both."""
+    head = [distinct.astype(np.int32) if i == 0 else None for i in range(len(ids))]
+    return pd.DataFrame({"block": block, "parts": len(ids) + len(distinct), "doc_id": doc_ids, "n_tokens": [len(x) // 4 for x in ids], "ids": ids, "distinct": head})
 
-def decoded(ids: Column, ranks_path: str) -> Column:
-    """The bytes of flat ids, by the vocabulary's token-byte table (at most its fixed size, read by each worker).
 
-    Null gives null. An id outside of the vocabulary is an error.
+def token_table(spark: SparkSession, ranks_path: str) -> DataFrame:
+    """(id, bytes) of each token of the vocabulary."""
+    ranks = _pieces.read_ranks(ranks_path)
+    if len(ranks) > MOST_TOKENS:
+        raise ValueError(f"a vocabulary of {len(ranks)} tokens is not broadcast")
+    return spark.createDataFrame(pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array(list(ranks), pa.binary())}))
+
+
+def decode_documents(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded) for each row of encoded; ids as encode_documents gives them, decoded their bytes.
+
+    Null ids are taken as none. A null doc_id stays null, repeated rows repeat, other columns are ignored, no rows give
+    none. An id outside of the vocabulary stops the job.
     """
 
-    @F.pandas_udf("binary")
-    def decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = _pieces.token_bytes(ranks_path)
-        for part in parts:
-            yield pd.Series([None if x is None else b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in part], dtype=object)
+    def blocks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block, part in enumerate(p for p in parts if len(p)):
+            ids = [x or b"" for x in part["ids"]]
+            distinct = np.unique(np.frombuffer(b"".join(ids), "<u4"))
+            if len(distinct) and distinct[-1] >= 1 << 31:
+                raise ValueError(f"id {distinct[-1]} is not in the vocabulary")
+            yield _block_rows(block, part["doc_id"].to_numpy(object), ids, distinct)
+
+    own = encoded.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(ids_col).alias("ids"))
+    joined = _joined(own.mapInPandas(blocks, _ENCODED), ranks_path)
+    return joined.select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", "ids", "decoded")
 
-    return decode(ids)
+
+def _joined(encoded: DataFrame, ranks_path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded): the ids of each block find their bytes in the token-byte table.
+
+    A block's documents and ids become rows of one partition; the join keeps them there, and a block is put together
+    when all its parts have come, in whatever order.
+    """
+
+    def whole(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: dict[int, tuple[list, dict[int, bytes]]] = {}
+        for part in parts:
+            for block, rows in part.groupby("block", sort=False):
+                docs, table = waiting.setdefault(int(block), ([], {}))
+                of_ids = rows["id"] >= 0
+                found = rows[of_ids]
+                if found["bytes"].isna().any():
+                    raise ValueError(f"id {found['id'][found['bytes'].isna()].iloc[0]} is not in the vocabulary")
+                table.update(zip(found["id"].tolist(), found["bytes"], strict=True))
+                docs.append(rows.loc[~of_ids, ["doc_id", "ids"]])
+                if sum(map(len, docs)) + len(table) == rows["parts"].iloc[0]:
+                    del waiting[int(block)]
+                    own = pd.concat(docs)
+                    ids = own["ids"].tolist()
+                    back = [b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids]
+                    yield pd.DataFrame({"doc_id": own["doc_id"].to_numpy(object), "n_tokens": [len(x) // 4 for x in ids], "ids": ids, "decoded": back})
+        if waiting:
+            raise RuntimeError("parts of a block are missing")
+
+    none = F.lit(None)
+    doc = F.struct(F.lit(-1).alias("id"), "doc_id", "ids")
+    of_id = lambda i: F.struct(i.alias("id"), none.cast("string").alias("doc_id"), none.cast("binary").alias("ids"))
+    every = F.concat(F.array(doc), F.transform(F.coalesce("distinct", F.array().cast("array<int>")), of_id))
+    rows = encoded.select("block", "parts", F.inline(every))
+    table = F.broadcast(token_table(encoded.sparkSession, ranks_path))  # one row a token
+    return rows.join(table, "id", "left").mapInPandas(whole, "doc_id string, n_tokens long, ids binary, decoded binary")

@@ -29,9 +29,7 @@ def op2_pq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), path)
-    both = encoded.withColumn("decoded", bpe.decoded(F.col("ids"), path))
+    both = bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

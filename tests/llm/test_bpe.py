@@ -31,16 +31,31 @@ def test_odd_texts_in_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(bpe, "BLOCK_CHARS", block)
     rows = [(None if i == 3 else i, t) for i, t in enumerate(TEXTS)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit(1)).withColumn("block", F.lit("b")).coalesce(2)
-    got = bpe.encode_documents(df, PATH).withColumn("back", bpe.decoded(F.col("ids"), PATH)).collect()
     want = [(d, np.array(WHOLE.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for d, t in rows]
     key = lambda r: (str(r[0]), r[1])
-    assert sorted([(r["doc_id"], bytes(r["ids"]), bytes(r["back"])) for r in got], key=key) == sorted(want, key=key)
+    for got in (bpe.round_trip(df, PATH), bpe.decode_documents(bpe.encode_documents(df, PATH), PATH)):
+        found = [(r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in got.collect()]
+        assert sorted(found, key=key) == sorted(want, key=key)
 
 
 def test_empty_and_repeats(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b")], "doc_id long, text string")
     assert len(bpe.encode_documents(df, PATH).collect()) == 2
     assert bpe.encode_documents(df.where("doc_id > 3"), PATH).collect() == []
+    assert bpe.round_trip(df.where("doc_id > 3"), PATH).collect() == []
+
+
+def test_decoding_joins_the_token_table(spark):
+    flat = lambda *ids: np.array(ids, "<u4").tobytes()
+    rows = [(2**53 + 1, flat(5, 5, 300)), (None, None), (7, b""), (7, flat(49_999))]
+    df = spark.createDataFrame(rows, "doc_id long, ids binary").withColumn("bytes", F.lit("x")).withColumn("id", F.lit(9)).coalesce(1)
+    got = bpe.decode_documents(df, PATH)
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()
+    table = {i: token for token, i in _pieces.read_ranks(PATH).items()}
+    want = [(d, len(x or b"") // 4, b"".join(table[i] for i in np.frombuffer(x or b"", "<u4"))) for d, x in rows]
+    assert sorted(((r["doc_id"], r["n_tokens"], bytes(r["decoded"])) for r in got.collect()), key=str) == sorted(want, key=str)
+    with pytest.raises(Exception, match="not in the vocabulary"):
+        bpe.decode_documents(spark.createDataFrame([(1, flat(3, 60_000))], "doc_id long, ids binary"), PATH).collect()
 
 
 @settings(max_examples=400, deadline=None)
