@@ -74,7 +74,20 @@ def knn_by_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.knn_by_vector(vectors(spark, sf_dir), query_vectors(spark, sf_dir)).select("query_id", "rank", "chunk_id", six("score"))
 
 
-@query()
+#: Five picks of each query, one a step: the most relevant first, then relevance against likeness to those chosen before.
+MMR_SQL = f"""{KNN_SQL},
+unit AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda w: w::DOUBLE * w::DOUBLE)))) AS x FROM embeddings),
+c AS MATERIALIZED (SELECT query_id, chunk_id, rank, a.x, round(list_dot_product(a.x, b.x), 12) AS rel FROM near JOIN unit a ON a.vec_id = chunk_id JOIN unit b ON b.vec_id = query_id WHERE rank <= 20),
+alike AS MATERIALIZED (SELECT a.query_id, a.chunk_id, b.chunk_id AS other, round(list_dot_product(a.x, b.x), 12) AS sim FROM c a JOIN c b USING (query_id)),
+picks(query_id, pick, chosen) AS (SELECT query_id, 1, [chunk_id] FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, rank) = 1
+  UNION ALL SELECT query_id, pick + 1, list_append(chosen, chunk_id) FROM (
+    SELECT p.query_id, pick, chosen, c.chunk_id, c.rank, 0.7::DOUBLE * any_value(rel) - (1 - 0.7::DOUBLE) * max(sim) AS value
+    FROM picks p JOIN c ON c.query_id = p.query_id JOIN alike s ON s.query_id = p.query_id AND s.chunk_id = c.chunk_id AND list_contains(chosen, s.other)
+    WHERE pick < 5 AND NOT list_contains(chosen, c.chunk_id) GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY value DESC, rank) = 1)"""
+
+
+@query(f"WITH RECURSIVE {MMR_SQL} SELECT query_id, pick::INTEGER AS pick, chosen[pick] AS chunk_id FROM picks")
 def mmr_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, asked = vectors(spark, sf_dir), query_vectors(spark, sf_dir)
     near = dense.knn(own, asked).join(own, "chunk_id").join(asked.withColumnRenamed("embedding", "query_embedding"), "query_id")
