@@ -11,8 +11,10 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -28,13 +30,13 @@ EXAMPLES = 400
 #: were not fitted on, is personal.
 PRECISION = 0.97
 
-# The base rules.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# The base rules. An email is its local part, @ and a domain; an ip that does not match from the first of a
+# run of digits does not match from a later one either, so only first ones are tried.
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_BEFORE_AT = re.compile(r"[A-Za-z0-9._%+-]")
-_RUN = re.compile(r"[A-Za-z0-9._%+@-]*")
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DIGIT = re.compile(r"[0-9]")
 
 _AT = r"(?:\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?|\sat\s|\s?@\s?|＠)"
@@ -66,20 +68,26 @@ def luhn(digits: str) -> bool:
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(kind number, start, end) by kind, then start: leftmost matches that do not overlap within a kind."""
+    """(kind number, start, end) by kind, then start: leftmost matches that do not overlap within a kind.
+
+    Time is linear in the text: an @ has one domain, and its local part goes back to the @ or the match before.
+    """
     found: list[tuple[int, int, int]] = []
+    free = 0  # where the last match ended
     at = text.find("@")
-    while at >= 0:  # a match lies within one run of its characters, so only runs with an @ are looked at
-        start = at
-        while start and _BEFORE_AT.match(text, start - 1):
-            start -= 1
-        end = _RUN.match(text, start).end()
-        found += [(0, m.start(), m.end()) for m in EMAIL.finditer(text, start, end)]
-        at = text.find("@", end)
+    while at >= 0:
+        if domain := DOMAIN.match(text, at + 1):
+            start = at
+            while start > free and _LOCAL.match(text, start - 1):
+                start -= 1
+            if start < at:
+                free = domain.end()
+                found.append((0, start, free))
+        at = text.find("@", max(at + 1, free))
     if not _DIGIT.search(text):
         return found
     if text.count(".") >= 3:
-        found += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        found += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(p == "" or len(p) <= 3 and int(p) <= 255 for p in (p.lstrip("0") for p in m[0].split(".")))]
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 16 <= len(digits) <= 19 and luhn(digits):
@@ -204,17 +212,19 @@ def find(text: str | None, trees: Calibrated, thresholds: tuple[float, ...]) ->
     if not text:
         return [], []
     base = base_spans(text)
-    taken = [(s, e) for _, s, e in base]
-    proposed = sorted({c for c in candidates(text) if not any(c[1] < e and s < c[2] for s, e in taken)})
+    taken = sorted((s, e) for _, s, e in base)
+    starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max, initial=0))
+    proposed = sorted({c for c in candidates(text) if reach[bisect_left(starts, c[2])] <= c[1]})
     if not proposed:
         return base, base
     score = trees(np.array([describe(text, *c) for c in proposed]))
-    added: list[tuple[int, int, int]] = []
+    added: list[tuple[int, int, int]] = []  # (start, end, kind number), by start; none overlap
     for i in sorted(range(len(proposed)), key=lambda i: (-score[i], proposed[i])):
         kind, start, end = proposed[i]
-        if score[i] >= thresholds[kind] and not any(start < e and s < end for _, s, e in added):
-            added.append(proposed[i])
-    return base, sorted(base + added)
+        at = bisect_left(added, (end,))
+        if score[i] >= thresholds[kind] and (at == 0 or added[at - 1][1] <= start):
+            added.insert(at, (start, end, kind))
+    return base, sorted(base + [(kind, start, end) for start, end, kind in added])
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -52,6 +53,44 @@ def test_base_rules(spark):
     assert [r["n_email"] for r in again] == [1, 1, 1] and sorted(str(r["doc_id"]) for r in again) == ["1", "1", "None"]
 
 
+def test_very_long_runs():
+    """Runs of one character, and many spans, take time linear in the text."""
+    n = 200_000
+    for text, base in (("0" * n + "1.2.3.4", 1), ("1" * n + ".2.3.4 1.2.3.4", 1), ("a" * n + "@ x", 0), ("a" * n + "@b.c", 1), ("a@" * n, 0), ("1." * n, n // 4), ("+1" + " " * n, 0), ("4 " * n, 0), ("1:" * n, 0)):
+        assert len(pii.base_spans(text)) == base, text[-20:]
+        pii.candidates(text)
+    text = " ".join(f"a{i}@b.co 1.2.3.{i % 200} (212) 555-{i:04d} joe{i} [at] mail [dot] com" for i in range(5_000))
+    base, every = pii.find(text, *pii.model())
+    assert len(base) == 10_000 and len(every) == 20_000
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.lists(st.sampled_from(["a", "@", "b.c", ".", "-", "%", " ", "1", "25", "256", "000", "1.2.3.4", "4111111111111111", "+49", "é"]), max_size=16).map("".join))
+def test_base_spans_are_those_of_the_rules(text):
+    assert pii.base_spans(text) == slow_base(text)
+
+
+def slow_find(text, trees, thresholds):
+    """Spans by score that overlap nothing before them, compared one by one."""
+    base = pii.base_spans(text)
+    free = lambda c, others: not any(c[1] < e and s < c[2] for _, s, e in others)
+    proposed = sorted({c for c in pii.candidates(text) if free(c, base)})
+    added = []
+    if proposed:
+        score = trees(np.array([pii.describe(text, *c) for c in proposed]))
+        for i in sorted(range(len(proposed)), key=lambda i: (-score[i], proposed[i])):
+            if score[i] >= thresholds[proposed[i][0]] and free(proposed[i], added):
+                added.append(proposed[i])
+    return base, sorted(base + added)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["joe [at] mail [dot] com", "(212) 555-0187", "4111-1111-1111-1111", "10[.]2[.]3[.]4", "a@b.de", " ", ".", "-", " call ", "555-0187", "1.2.3.4"]), max_size=12).map("".join))
+def test_spans_are_those_of_comparing_one_by_one(text):
+    model = pii.model()
+    assert pii.find(text, *model) == slow_find(text, *model)
+
+
 def test_added_spans():
     trees, thresholds = pii.model()
     for text, kind in (("write to jane.doe [at] mail [dot] example [dot] com now", 0), ("call (212) 555-0187 today", 3), ("host 2001:0db8:85a3:0000:0000:8a2e:0370:7334 up", 1)):
