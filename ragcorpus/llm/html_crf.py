@@ -26,6 +26,7 @@ PAGES = 300
 _TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
 )
+_LONG_REFERENCE = re.compile(r"&#(?=[0-9]{4000})0*([0-9]*)")
 _MARK = re.compile(r"""\b(class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+|[0-9]+")
 # Element kinds.
@@ -201,7 +202,8 @@ def blocks_of(page: str | None) -> list[Block]:
 
     def add(raw: str) -> None:
         nonlocal linked
-        text = entities.unescape(raw) if "&" in raw else raw
+        # a number of thousands of digits stands for what its first ones do: no character, or that behind its zeros
+        text = entities.unescape(_LONG_REFERENCE.sub(lambda m: "&#" + (m[1][:20] or "0"), raw)) if "&" in raw else raw
         pieces.append(text)
         if stack.last("a"):
             linked += len(text.strip())

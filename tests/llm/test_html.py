@@ -94,3 +94,9 @@ def test_deep_pages_take_time_in_proportion(part):
     start = time.process_time()
     blocks = html_crf.blocks_of(part * 30_000)
     assert blocks and time.process_time() - start < 10
+
+
+@pytest.mark.parametrize("zeros", [0, 5_000])
+def test_numbers_of_thousands_of_digits(zeros):
+    for number, want in (("1" * 5_000, "�"), ("65", "A"), ("1114112", "�"), ("", "�" if zeros else "&#;")):
+        assert html_crf.blocks_of(f"<p>a &#{'0' * zeros}{number};</p>")[0].text == f"a {want}", number[:9]
