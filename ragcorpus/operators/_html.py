@@ -16,6 +16,8 @@ from urllib.parse import urljoin
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 P_ENDS = frozenset("p div ul ol table section article nav aside header footer main blockquote pre h1 h2 h3 h4 h5 h6 form hr dl".split())
 INLINE = frozenset("a b strong i em span code img br small sup sub u label abbr".split())
+#: References of thousands of digits, which Python does not read as numbers.
+LONG_REFERENCE = re.compile(r"&#(?=[0-9]{4000})0*([0-9]*)")
 KEPT_LINKS = ("http://", "https://", "//", "mailto:", "#")
 
 
@@ -80,7 +82,8 @@ class _Builder(HTMLParser):
 
 def read(html: str) -> Node:
     builder = _Builder()
-    builder.feed(html)
+    # such a number stands for what its first digits do: no character, or that behind its zeros
+    builder.feed(LONG_REFERENCE.sub(lambda m: "&#" + (m[1][:20] or "0"), html) if "&#" in html else html)
     builder.close()
     return builder.root
 

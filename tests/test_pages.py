@@ -268,3 +268,10 @@ def test_url_tiers(spark):
     urls = [("other/p.html", "u1", 0), ("a/p.html", "u2", 1), ("deep/q.html", "u3", 2), ("big-r.html", "u4", 3), ("1.html", "u5", 4), ("x1.html", "u6", 5), ("", "u7", 6)]
     got = io.resolve_urls(spark.createDataFrame(files, "site string, path string, filename string"), spark.createDataFrame(urls, "filename string, url string, key_order long"))
     assert {r["path"]: r["url"] for r in got.collect()} == {"s/a/p.html": "u2", "s/q.html": "u3", "s/r.html": "u4", "s/none.htm": None, "s/x1.html": "u5"}
+
+
+@pytest.mark.parametrize("zeros", [0, 5_000])
+def test_numbers_of_thousands_of_digits(zeros):
+    for number, want in (("1" * 5_000, "�"), ("65", "A"), ("1114112", "�")):
+        root = _html.read(f"<p><a href='x&#{'0' * zeros}{number};'>a &#{'0' * zeros}{number};</a></p>")
+        assert _html.visible_text(root) == f"a {want}" and _html.outlinks(root) == [f"x{want}"], number[:9]
