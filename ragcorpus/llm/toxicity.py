@@ -42,13 +42,18 @@ FEATURES = (
     "length fixed_density fixed_count word_density word_count word_best word_sum prefix_density prefix_count prefix_best near_second second_density "
     "capital_words capital_letters exclamations questions other_punctuation obfuscated obfuscated_hits elongated distinct_rate digits distinct_hits"
 ).split()
-_EDGE = re.compile(r"^\W+|[\W_]+$")
+_HEAD, _TAIL = re.compile(r"\W*"), re.compile(r"[\W_]*")
 _REPEAT = re.compile(r"(.)\1{2,}")
 _INNER = re.compile(r"[^\w]|_")
 # columns of a token's own values
 FIXED, WORD, PREFIX, SECOND, CAPITAL, UPPER, EXCLAIM, QUESTION, OTHER, OBFUSCATED, HIDDEN, ELONGATED, DIGITS, SINGLE, HIT = range(15)
 
 
+def trimmed(token: str) -> str:
+    """token without what is no word character at its start, and without that and underscores at its end."""
+    return token[_HEAD.match(token).end() : len(token) - _TAIL.match(token[::-1]).end()]
+
+
 class _Seen(dict):
     """The codes of tokens already met; forgotten beyond a number, which bounds a worker's memory."""
 
@@ -87,7 +92,7 @@ class Lexicon:
             plain = word = core.lower()
             letters, inner, hidden, obfuscated, elongated = len(core), core, False, 0.0, 0.0
         else:
-            word = _EDGE.sub("", token).lower()
+            word = trimmed(token).lower()
             inner = token.strip(".,;:?\"'()[]{}")
             letters = sum(c.isalpha() for c in token)
             plain, hidden, obfuscated, elongated = word, False, 0.0, 0.0
@@ -153,7 +158,7 @@ class Lexicon:
 
 def terms_of(text: str | None) -> set[str]:
     """The distinct words of a text and their starts, which end in ~."""
-    words = {_EDGE.sub("", t) for t in set((text or "").lower().split())}
+    words = {trimmed(t) for t in set((text or "").lower().split())}
     words.discard("")
     return words | {w[:n] + "~" for w in words for n in PREFIXES if len(w) > n}
 

@@ -1,6 +1,11 @@
+import re
+import time
 import zlib
 
 import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ragcorpus.llm import toxicity
@@ -75,3 +80,16 @@ def test_distinct_hits_of_a_whole_text():
     at = toxicity.FEATURES.index("distinct_hits")
     passage = "you moron loser scum"
     assert toxicity.Lexicon().vector("idiot " * 3000 + passage)[at] == toxicity.Lexicon().vector(passage + " idiot" * 3000)[at] == 4
+
+
+@settings(max_examples=1000, deadline=None)
+@given(st.text(alphabet="ab_.!é1-²", max_size=12))
+def test_trimmed_is_what_the_expression_leaves(token):
+    assert toxicity.trimmed(token) == re.sub(r"^\W+|[\W_]+$", "", token)
+
+
+@pytest.mark.parametrize("token", ["a" + "." * 300_000 + "b", "_" * 300_000 + "a", "a" * 300_000, "!a" * 300_000])
+def test_long_tokens_take_linear_time(token):
+    start = time.process_time()
+    assert len(toxicity.Lexicon().vector(token)) == len(toxicity.FEATURES) and toxicity.terms_of(token)
+    assert time.process_time() - start < 5
