@@ -30,42 +30,54 @@ def _lengths(chunks: DataFrame, text_col: str) -> DataFrame:
     return own.select("chunk_id", "doc_order", F.size("tokens").alias("dl"), "tokens")
 
 
-def _postings(lengths: DataFrame) -> DataFrame:
-    counted = lengths.select("chunk_id", "doc_order", "dl", F.explode("tokens").alias("term"))
-    return counted.groupBy("chunk_id", "doc_order", "dl", "term").agg(F.count("*").alias("tf"))
+def _postings(chunks: DataFrame, text_col: str) -> DataFrame:
+    """(chunk_id, doc_order, dl, term, tf). Chunks are dealt by their key while they are texts, several times smaller than
+    their words with keys; the counting by chunk and term needs no other shuffle then."""
+    own = chunks.select("chunk_id", "doc_order", F.col(text_col).alias("_text")).repartition("chunk_id", "doc_order")
+    # the outer form, as Spark would look for texts without words below the shuffle, and so tokenize twice
+    words = _lengths(own, "_text").select("chunk_id", "doc_order", "dl", F.explode_outer("tokens").alias("term")).where("term is not null")
+    return words.groupBy("chunk_id", "doc_order", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def _index(postings: DataFrame, lengths: DataFrame) -> Bm25Index:
+def _raw_idf() -> Column:
+    return F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+
+
+def _corpus(postings: DataFrame, lengths: DataFrame) -> DataFrame:
+    """One row: n_docs, avgdl, mean_idf."""
     size = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(size)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
-    mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw"))
-    terms = raw.select("term", "df", "raw").crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"))
-    return Bm25Index(postings, terms, size.crossJoin(F.broadcast(mean)), lengths.select("chunk_id", "doc_order", "dl"))
+    counts = postings.groupBy("term").agg(F.count("*").alias("df"))
+    mean = counts.crossJoin(F.broadcast(size.select("n_docs"))).agg(F.avg(_raw_idf()).alias("mean_idf"))
+    return size.crossJoin(F.broadcast(mean))
+
+
+def _terms(postings: DataFrame, corpus: DataFrame) -> DataFrame:
+    counts = postings.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.when(_raw_idf() < 0, EPSILON * F.col("mean_idf")).otherwise(_raw_idf())
+    return counts.crossJoin(F.broadcast(corpus)).select("term", "df", idf.alias("idf"))  # one row
 
 
 def build_bm25_index(chunks: DataFrame, text_col: str = "content") -> Bm25Index:
     """Index chunks(chunk_id, doc_order, text). A term's negative idf is replaced by EPSILON times the mean idf.
 
-    Term counts combine before their shuffle, so words that are everywhere are no hot keys. Statistics of the corpus
-    are one row. Chunks without words have no postings but count as documents. Nothing is computed yet, and each use
-    computes it again; store_bm25_index does so once.
+    Document frequencies combine before their shuffle, so words that are everywhere are no hot keys. Statistics of the
+    corpus are one row. Chunks without words have no postings but count as documents. Nothing is computed yet, and each
+    use computes it again; store_bm25_index does so once.
     """
-    lengths = _lengths(chunks, text_col)
-    return _index(_postings(lengths), lengths)
+    lengths, postings = _lengths(chunks, text_col).select("chunk_id", "doc_order", "dl"), _postings(chunks, text_col)
+    corpus = _corpus(postings, lengths)
+    return Bm25Index(postings, _terms(postings, corpus), corpus, lengths)
 
 
 def store_bm25_index(chunks: DataFrame, path: str, text_col: str = "content") -> Bm25Index:
     """As build_bm25_index, written below path. Postings are sorted by term within their files; the texts are tokenized
     twice, and the statistics come from the stored postings."""
-    lengths = _lengths(chunks, text_col)
-    _postings(lengths).sortWithinPartitions("term", "chunk_id").write.parquet(f"{path}/postings")
-    lengths.select("chunk_id", "doc_order", "dl").write.parquet(f"{path}/chunks")
     spark = chunks.sparkSession
-    index = _index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/chunks"))
-    index.terms.write.parquet(f"{path}/terms")
-    index.corpus.write.parquet(f"{path}/corpus")
+    _postings(chunks, text_col).sortWithinPartitions("term", "chunk_id").write.parquet(f"{path}/postings")
+    _lengths(chunks, text_col).select("chunk_id", "doc_order", "dl").write.parquet(f"{path}/chunks")
+    postings = spark.read.parquet(f"{path}/postings")
+    _corpus(postings, spark.read.parquet(f"{path}/chunks")).write.parquet(f"{path}/corpus")
+    _terms(postings, spark.read.parquet(f"{path}/corpus")).write.parquet(f"{path}/terms")
     return read_bm25_index(spark, path)
 
 
