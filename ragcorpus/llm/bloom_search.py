@@ -54,8 +54,8 @@ def _rows(hashes: np.ndarray, level: int, rows: int) -> list[np.ndarray]:
     return [((h >> np.uint64(21 * i)) & np.uint64((1 << 21) - 1)) * np.uint64(rows) >> np.uint64(21) for i in range(PROBES)]
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The blocks of docs as rows of INDEX_SCHEMA; not yet written. The texts are not shuffled.
+def build_index(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The blocks of docs as a table of INDEX_SCHEMA, written to path or a scratch table. The texts are not shuffled.
 
     doc_ids may be null or repeat: every row is a text of its own. Texts without words, null ones too, are left out, as
     nothing finds or counts them. Other columns are ignored; no rows give none.
@@ -80,7 +80,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     yield _block(own, int(s), part.column("doc_id").take(pa.array(own)), n[own], start, code, tf, level, terms, hashes)
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(blocks, INDEX_SCHEMA)
+    return save(own.mapInArrow(blocks, INDEX_SCHEMA), path)
 
 
 def _block(own, size, doc_ids, lengths, start, code, tf, level, terms, hashes) -> pa.RecordBatch:
@@ -302,4 +302,4 @@ def _ranked(index: DataFrame, items: Items, whole, k: int) -> DataFrame:
 
 def search_documents(docs: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
     """search() over an index of docs(doc_id, text), written as a scratch table."""
-    return search(save(build_index(docs)), items, k)
+    return search(build_index(docs), items, k)

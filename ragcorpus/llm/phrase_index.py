@@ -36,8 +36,8 @@ STEP_PLACES = 2_000_000
 INDEX_SCHEMA = "segment long, term string, n long, places binary, doc_ids array<bigint>"
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The postings of docs as rows of INDEX_SCHEMA; not yet written.
+def build_index(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The postings of docs as a table of INDEX_SCHEMA, written to path or a scratch table, so that segments keep their numbers.
 
     Null and empty texts and texts without words have no postings, but a place in their segment. doc_ids may be null
     or repeat: every row is a text of its own. Other columns are ignored; no rows give none.
@@ -69,7 +69,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             segment += 1
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(postings, INDEX_SCHEMA)
+    return save(own.mapInArrow(postings, INDEX_SCHEMA), path)
 
 
 @dataclass
@@ -304,4 +304,4 @@ def contaminated_words(index: DataFrame, benchmark: DataFrame, window: int = 10,
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """contaminated_words over an index of docs(doc_id, text), written as a scratch table."""
-    return contaminated_words(save(build_index(docs)), benchmark, window)
+    return contaminated_words(build_index(docs), benchmark, window)

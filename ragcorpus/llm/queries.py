@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragcorpus.llm import bloom_search, bpe, fingerprints, html_crf, packing, phrase_index, pii, pq_dedup, sharding, simhash, token_counts, toxicity
+from ragcorpus.llm import bloom_search, bpe, conversation_repair, fingerprints, html_crf, packing, phrase_index, pii, pq_dedup, sharding, simhash, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op11_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 def op13_bloom_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_search.search_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii_candidates": op9_pii_candidates,
     "op10_simhash_covering": op10_simhash_covering,
     "op11_phrase_index": op11_phrase_index,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_bloom_search": op13_bloom_search,
 }
 
