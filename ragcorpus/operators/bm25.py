@@ -1,4 +1,4 @@
-"""BM25 over a table of chunks: a stored index of postings and statistics, scores, and the best k for many queries at once."""
+"""BM25 over a table of chunks: a stored index in segments, scores, and the exact best k for many queries at once."""
 
 from __future__ import annotations
 
@@ -9,89 +9,143 @@ from pyspark.sql import functions as F
 
 from ragcorpus.functions.text import tokenize
 from ragcorpus.operators._order import numbered
-from ragcorpus.sources.scratch import save
+from ragcorpus.sources.scratch import exists, new_path, save
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Queries and their terms are broadcast below this number of rows; above it they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-TABLES = ("postings", "terms", "corpus", "chunks")
+#: Queries of so many different terms are pruned; the bounds of more add up to more than any floor, so all their postings are read.
+PRUNED_TERMS = 16
+#: Postings that give a query its floor, as a multiple of k, and the share of the floor that unread blocks may add up to: a
+#: larger one leaves more postings unread, but more chunks to look up. What sums of doubles may differ by.
+FIRST_POSTINGS, UNREAD, MARGIN = 32, 0.8, 1e-6
+#: Postings of the queries from which on pruning pays: fewer are read whole sooner than bounds are looked up.
+PRUNED_FROM = 50_000_000
 
 
 @dataclass
 class Bm25Index:
-    postings: DataFrame  # chunk_id, doc_order, dl, term, tf
+    """A stored index as it stands now. A chunk's class is the number of bits of its length, a posting's level that of its tf; a
+    block is the postings of one term, class and level, which all weigh nearly the same."""
+
+    postings: DataFrame  # chunk_id, doc_order, dl, class, term, tf, level
+    blocks: DataFrame  # term, class, level, df, max_tf, min_dl
     terms: DataFrame  # term, df, idf
     corpus: DataFrame  # one row: n_docs, avgdl, mean_idf
     chunks: DataFrame  # chunk_id, doc_order, dl
+    forward: DataFrame  # chunk_id, doc_order, dl, class, words: the chunk's terms and their tf
+    mean_idf: float
 
 
-def _lengths(chunks: DataFrame, text_col: str) -> DataFrame:
-    own = chunks.select("chunk_id", "doc_order", tokenize(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
-    return own.select("chunk_id", "doc_order", F.size("tokens").alias("dl"), "tokens")
+def _forward(chunks: DataFrame, text_col: str) -> DataFrame:
+    """A row a chunk with its terms. Chunks are dealt by their key while they are texts, several times smaller than their
+    words with keys; the counting by chunk and term needs no other shuffle then."""
+    own = chunks.select("chunk_id", "doc_order", F.col(text_col).alias("_text")).repartition("chunk_id", "doc_order")
+    tokens = own.select("chunk_id", "doc_order", tokenize(F.coalesce("_text", F.lit(""))).alias("tokens")).select("chunk_id", "doc_order", F.size("tokens").alias("dl"), "tokens")
+    counted = tokens.select("chunk_id", "doc_order", "dl", F.explode_outer("tokens").alias("term")).groupBy("chunk_id", "doc_order", "dl", "term").agg(F.count("*").alias("tf"))
+    word = F.when(F.col("term").isNotNull(), F.struct("term", "tf"))
+    grouped = counted.groupBy("chunk_id", "doc_order", "dl").agg(F.collect_list(word).alias("words"))
+    return grouped.withColumn("class", _bits("dl"))
 
 
-def _postings(chunks: DataFrame, text_col: str) -> DataFrame:
-    """(chunk_id, doc_order, dl, term, tf). Chunks are dealt by their key while they are texts, several times smaller than
-    their words with keys; the counting by chunk and term needs no other shuffle then."""
-    own = chunks.select("chunk_id", "doc_order", F.col(text_col).alias("_text")).repartition("chunk_id", "doc_order")
-    # the outer form, as Spark would look for texts without words below the shuffle, and so tokenize twice
-    words = _lengths(own, "_text").select("chunk_id", "doc_order", "dl", F.explode_outer("tokens").alias("term")).where("term is not null")
-    return words.groupBy("chunk_id", "doc_order", "dl", "term").agg(F.count("*").alias("tf"))
+def _bits(name: str) -> Column:
+    return F.length(F.bin(name))
 
 
-def _raw_idf() -> Column:
-    return F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+def _write_segment(forward: DataFrame, path: str, segment: int) -> None:
+    """A segment: its chunks, their postings sorted by term within files, and statistics of both."""
+    spark = forward.sparkSession
+    at = lambda name: f"{path}/{name}/segment={segment}"
+    forward.write.mode("overwrite").parquet(at("forward"))
+    stored = spark.read.parquet(at("forward"))
+    postings = stored.select("chunk_id", "doc_order", "dl", "class", F.explode("words").alias("w")).select("chunk_id", "doc_order", "dl", "class", "w.term", "w.tf", _bits("w.tf").alias("level"))
+    postings.sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(at("postings"))
+    _blocks(spark.read.parquet(at("postings"))).write.mode("overwrite").parquet(at("blocks"))
+    # last, as a segment counts from here on
+    stored.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).write.mode("overwrite").parquet(at("corpus"))
 
 
-def _corpus(postings: DataFrame, lengths: DataFrame) -> DataFrame:
-    """One row: n_docs, avgdl, mean_idf."""
-    size = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    counts = postings.groupBy("term").agg(F.count("*").alias("df"))
-    mean = counts.crossJoin(F.broadcast(size.select("n_docs"))).agg(F.avg(_raw_idf()).alias("mean_idf"))
-    return size.crossJoin(F.broadcast(mean))
+def _blocks(postings: DataFrame) -> DataFrame:
+    """Statistics of the blocks of postings; they combine before their shuffle, so stop-words are no hot keys."""
+    return postings.groupBy("term", "class", "level").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
 
 
-def _terms(postings: DataFrame, corpus: DataFrame) -> DataFrame:
-    counts = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.when(_raw_idf() < 0, EPSILON * F.col("mean_idf")).otherwise(_raw_idf())
-    return counts.crossJoin(F.broadcast(corpus)).select("term", "df", idf.alias("idf"))  # one row
+def _segments(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the segments, a row each."""
+    return sorted(r["segment"] for r in spark.read.parquet(f"{path}/corpus").select("segment").distinct().collect()) if exists(spark, f"{path}/corpus") else []
 
 
-def build_bm25_index(chunks: DataFrame, text_col: str = "content") -> Bm25Index:
-    """Index chunks(chunk_id, doc_order, text). A term's negative idf is replaced by EPSILON times the mean idf.
+def store_bm25_index(chunks: DataFrame, path: str, text_col: str = "content") -> Bm25Index:
+    """Index chunks(chunk_id, doc_order, text) below path, as its first segment. The texts are shuffled and tokenized once.
 
-    Document frequencies combine before their shuffle, so words that are everywhere are no hot keys. Statistics of the
-    corpus are one row. Chunks without words have no postings but count as documents. Nothing is computed yet, and each
-    use computes it again; store_bm25_index does so once.
+    A term's negative idf is replaced by EPSILON times the mean idf. Chunks without words have no postings but count as
+    documents.
     """
-    lengths, postings = _lengths(chunks, text_col).select("chunk_id", "doc_order", "dl"), _postings(chunks, text_col)
-    corpus = _corpus(postings, lengths)
-    return Bm25Index(postings, _terms(postings, corpus), corpus, lengths)
+    _write_segment(_forward(chunks, text_col), path, 0)
+    return read_bm25_index(chunks.sparkSession, path)
 
 
-def store_bm25_index(chunks: DataFrame, path: str, text_col: str = "content") -> Bm25Index:
-    """As build_bm25_index, written below path. Postings are sorted by term within their files; the texts are tokenized
-    twice, and the statistics come from the stored postings."""
-    spark = chunks.sparkSession
-    _postings(chunks, text_col).sortWithinPartitions("term", "chunk_id").write.parquet(f"{path}/postings")
-    _lengths(chunks, text_col).select("chunk_id", "doc_order", "dl").write.parquet(f"{path}/chunks")
-    postings = spark.read.parquet(f"{path}/postings")
-    _corpus(postings, spark.read.parquet(f"{path}/chunks")).write.parquet(f"{path}/corpus")
-    _terms(postings, spark.read.parquet(f"{path}/corpus")).write.parquet(f"{path}/terms")
-    return read_bm25_index(spark, path)
+def build_bm25_index(chunks: DataFrame, text_col: str = "content") -> Bm25Index:
+    """As store_bm25_index, in a scratch table."""
+    return store_bm25_index(chunks, new_path(chunks.sparkSession), text_col)
 
 
-def read_bm25_index(spark: SparkSession, path: str) -> Bm25Index:
-    return Bm25Index(*[spark.read.parquet(f"{path}/{name}") for name in TABLES])
+def append_to_bm25_index(chunks: DataFrame, path: str, text_col: str = "content") -> None:
+    """Add chunks, none of which the index holds, as one more segment; nothing that is stored is read or written again."""
+    _write_segment(_forward(chunks, text_col), path, max(_segments(chunks.sparkSession, path), default=-1) + 1)
 
 
-def _weights(index: Bm25Index, queries: DataFrame, k1: float, b: float) -> DataFrame:
-    """(query_id, chunk_id, doc_order, weight): what each term of a query gives each chunk that has it."""
-    wanted = queries.select("query_id", F.explode(tokenize(F.coalesce("query", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    tf, dl = F.col("tf"), F.col("dl")
-    weight = F.col("times") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
-    priced = _small(wanted.join(index.terms.select("term", "idf"), "term"))
-    return index.postings.join(priced, "term").crossJoin(F.broadcast(index.corpus)).select("query_id", "chunk_id", "doc_order", weight.alias("weight"))
+def delete_from_bm25_index(ids: DataFrame, path: str) -> None:
+    """Take the chunks of ids(chunk_id) out of the index: a segment with their ids and negative counts. Ids that the index
+    does not hold change nothing; a chunk may be added again later."""
+    spark = ids.sparkSession
+    segment = max(_segments(spark, path), default=-1) + 1
+    index = read_bm25_index(spark, path)
+    at = lambda name: f"{path}/{name}/segment={segment}"
+    gone = index.forward.join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    gone.select("chunk_id", "dl", "class", "words").write.mode("overwrite").parquet(at("deleted"))
+    stored = spark.read.parquet(at("deleted"))
+    words = stored.select("class", F.explode("words").alias("w")).select("class", "w.term", _bits("w.tf").alias("level"))
+    words.groupBy("term", "class", "level").agg((-F.count("*")).alias("df"), F.lit(0).cast("long").alias("max_tf"), F.lit((1 << 31) - 1).alias("min_dl")).write.mode("overwrite").parquet(at("blocks"))
+    stored.agg((-F.count("*")).alias("n_docs"), (-F.coalesce(F.sum("dl"), F.lit(0))).alias("length")).write.mode("overwrite").parquet(at("corpus"))
+
+
+def read_bm25_index(spark: SparkSession, path: str) -> Bm25Index:
+    """The segments of an index, merged: counts are summed, deleted chunks left out. One row of statistics comes to the driver."""
+    done = _segments(spark, path)
+    table = lambda name: spark.read.parquet(f"{path}/{name}").where(F.col("segment").isin(done))
+    sums = table("corpus").agg(F.sum("n_docs").alias("n"), F.sum("length").alias("length")).first()
+    n, avgdl = int(sums["n"] or 0), (sums["length"] / sums["n"] if sums["n"] else None)
+    blocks = table("blocks").groupBy("term", "class", "level").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl")).where("df > 0")
+    counts = table("blocks").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+    raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    mean = counts.agg(F.avg(raw).alias("m")).first()["m"]
+    terms = counts.select("term", "df", F.when(raw < 0, F.lit(EPSILON * (mean or 0.0))).otherwise(raw).alias("idf"))
+    corpus = spark.createDataFrame([(n, avgdl, mean)], "n_docs long, avgdl double, mean_idf double")
+    forward, postings = table("forward"), table("postings")
+    if exists(spark, f"{path}/deleted"):
+        gone = table("deleted").select(F.col("chunk_id").alias("_id"), F.col("segment").alias("_at"))
+        live = lambda df: df.join(gone, (F.col("chunk_id") == F.col("_id")) & (F.col("segment") < F.col("_at")), "left_anti")
+        forward, postings = live(forward), live(postings)
+    return Bm25Index(postings.drop("segment"), blocks, terms, corpus, forward.select("chunk_id", "doc_order", "dl"), forward.drop("segment"), mean or 0.0)
+
+
+def _wanted(index: Bm25Index, queries: DataFrame) -> DataFrame:
+    """(query_id, term, times, df, idf): the terms of the queries that the index has."""
+    words = queries.select("query_id", F.explode(tokenize(F.coalesce("query", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    return words.join(index.terms, "term").select("query_id", "term", "times", "df", "idf")
+
+
+def _weight(tf: Column, dl: Column, k1: float, b: float) -> Column:
+    """What `times` * idf occurrences of a term give a chunk."""
+    return F.col("times") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
+
+
+def _weights(index: Bm25Index, wanted: DataFrame, k1: float, b: float) -> DataFrame:
+    """(query_id, chunk_id, doc_order, weight): what each wanted term gives each chunk that has it."""
+    priced = _small(wanted.select("query_id", "term", "times", "idf"))
+    found = index.postings.join(priced, "term").crossJoin(F.broadcast(index.corpus))  # one row
+    return found.select("query_id", "chunk_id", "doc_order", _weight(F.col("tf"), F.col("dl"), k1, b).alias("weight"))
 
 
 def _summed(weights: DataFrame) -> DataFrame:
@@ -104,24 +158,99 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, k1: float = K1, b: float =
     A term that a query repeats counts as often. The scores are rounded to nine places, as sums of doubles depend on
     their order.
     """
-    return _summed(_weights(index, queries, k1, b))
+    return _summed(_weights(index, _wanted(index, queries), k1, b))
+
+
+def _bounded(index: Bm25Index, wanted: DataFrame, k1: float, b: float) -> DataFrame:
+    """(query_id, term, class, level, times, idf, df, bound): what a posting of a block gives its chunk at most."""
+    found = index.blocks.join(_small(wanted.select("query_id", "term", "times", "idf")), "term").crossJoin(F.broadcast(index.corpus))  # one row
+    return found.select("query_id", "term", "class", "level", "times", "idf", "df", _weight(F.col("max_tf"), F.col("min_dl"), k1, b).alias("bound"))
+
+
+def _exact(index: Bm25Index, pairs: DataFrame, wanted: DataFrame, k1: float, b: float) -> DataFrame:
+    """(query_id, chunk_id, doc_order, weight) of all terms of the pairs(query_id, chunk_id), from the chunks' own lists."""
+    names = _small(wanted.groupBy("query_id").agg(F.collect_list("term").alias("names")))
+    asked = pairs.join(names, "query_id").join(index.forward, "chunk_id")
+    words = F.filter("words", lambda w: F.array_contains("names", w["term"]))
+    found = asked.select("query_id", "chunk_id", "doc_order", "dl", F.explode(words).alias("w")).select("query_id", "chunk_id", "doc_order", "dl", "w.term", "w.tf")
+    priced = found.join(_small(wanted.select("query_id", "term", "times", "idf")), ["query_id", "term"]).crossJoin(F.broadcast(index.corpus))  # one row
+    return priced.select("query_id", "chunk_id", "doc_order", _weight(F.col("tf"), F.col("dl"), k1, b).alias("weight"))
 
 
-def bm25_topk(index: Bm25Index, queries: DataFrame, k: int = 20, k1: float = K1, b: float = B) -> DataFrame:
+def first_floor(index: Bm25Index, bounded: DataFrame, wanted: DataFrame, k: int, k1: float = K1, b: float = B) -> tuple[DataFrame, DataFrame]:
+    """(query_id, floor), a score that k chunks reach, and the blocks of `bounded` that are read for it.
+
+    The rarest terms are read, until they have FIRST_POSTINGS * k postings; of the 2k chunks that they give most the
+    exact scores are looked up.
+    """
+    best = bounded.groupBy("query_id", "term").agg(F.sum("df").alias("df"))
+    before = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = best.withColumn("_read", F.coalesce(F.sum("df").over(before), F.lit(0))).where(F.col("_read") < FIRST_POSTINGS * k).select("query_id", "term")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    sums = _summed(_weights(index, wanted.join(chosen, ["query_id", "term"], "left_semi"), k1, b))
+    most = sums.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= 2 * k).select("query_id", "chunk_id")
+    scored = _summed(_exact(index, most, wanted, k1, b))
+    floor = scored.withColumn("_at", F.row_number().over(order)).where(F.col("_at") == k).select("query_id", F.col("score").alias("floor"))
+    return floor, bounded.join(chosen, ["query_id", "term"], "left_semi")
+
+
+def essential(bounded: DataFrame, floor: DataFrame) -> DataFrame:
+    """The blocks of `bounded` that must be read, with floor, `unread`, the bound of the term's unread blocks in the class,
+    and `rest`, what the unread blocks of all terms can give a chunk of the class together.
+
+    A chunk has one posting of a term at most. Blocks are left unread from the least bound on, while the greatest unread
+    bounds of all terms together stay below a share of the floor: a chunk whose postings are all unread cannot reach it.
+    """
+    of_term = Window.partitionBy("query_id", "class", "term").orderBy("bound", "level")
+    up_to = Window.partitionBy("query_id", "class").orderBy("bound", "term", "level").rowsBetween(Window.unboundedPreceding, 0)
+    more = bounded.join(_small(floor), "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0))).withColumn("_more", F.col("bound") - F.coalesce(F.lag("bound").over(of_term), F.lit(0.0)))
+    summed = more.withColumn("_sum", F.sum("_more").over(up_to))
+    left = F.col("_sum") < UNREAD * F.col("floor") - MARGIN
+    most = lambda c, *by: F.coalesce(F.max(F.when(left, F.col(c))).over(Window.partitionBy(*by)), F.lit(0.0))
+    noted = summed.withColumns({"unread": most("bound", "query_id", "class", "term"), "rest": most("_sum", "query_id", "class"), "_left": left})
+    return noted.where("not _left").drop("_sum", "_more", "_left")
+
+
+def _candidates(index: Bm25Index, needed: DataFrame, k1: float, b: float) -> DataFrame:
+    """(query_id, chunk_id): chunks that may reach the floor, by what the needed blocks give and the others may give."""
+    priced = _small(needed.select("query_id", "term", "class", "level", "times", "idf", "unread"))
+    found = index.postings.join(priced, ["term", "class", "level"]).crossJoin(F.broadcast(index.corpus))  # one row
+    over = found.select("query_id", "chunk_id", "class", (_weight(F.col("tf"), F.col("dl"), k1, b) - F.col("unread")).alias("over"))
+    limits = _small(needed.groupBy("query_id", "class").agg((F.first("floor") - F.first("rest")).alias("needs")))
+    sums = over.groupBy("query_id", "chunk_id", "class").agg(F.sum("over").alias("sum")).join(limits, ["query_id", "class"])
+    return sums.where(F.col("sum") >= F.col("needs") - MARGIN).select("query_id", "chunk_id")
+
+
+def bm25_topk(index: Bm25Index, queries: DataFrame, k: int = 20, k1: float = K1, b: float = B, pruned_from: int = PRUNED_FROM) -> DataFrame:
     """(query_id, rank, chunk_id, doc_order, score): the best k chunks of each query, ties in corpus order.
 
+    Of queries of at most PRUNED_TERMS terms few postings are read, where they have `pruned_from` together: those of
+    the rarest terms give a floor, which k chunks reach; then only blocks are read without which no chunk reaches it, and
+    the chunks that may, by these and the bounds of what is unread, are scored from their own lists of words. So most
+    postings of stop-words are left alone. Of longer queries all postings are read. Both ways give the same rows.
+
     Every chunk has a score, so chunks without a common term, which score 0, fill up in corpus order. While no score is
     below 0, the first 2k chunks of the corpus hold enough of them: fewer than k can be among the scored ones where
-    any are needed. They join the sums with a weight of 0. Scores are below 0 only where the mean idf is, which is looked
-    up (one row); then the first k chunks that share no term with a query are found among the gaps between those that do.
+    any are needed. They join the sums with a weight of 0. Scores are below 0 only where the mean idf is; then all pairs
+    that share a term are scored, and the first k chunks that share none are found among the gaps between those that do.
     """
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_order", "chunk_id")
     columns = ["query_id", "chunk_id", "doc_order"]
-    corpus = index.corpus.select("mean_idf").first()
-    if corpus is None or corpus["mean_idf"] is None or corpus["mean_idf"] >= 0:
+    if index.mean_idf >= 0:
         first = index.chunks.select("chunk_id", "doc_order").orderBy("doc_order", "chunk_id").limit(2 * k)
-        zeros = queries.select("query_id").crossJoin(F.broadcast(first)).withColumn("weight", F.lit(0.0))  # 2k rows
-        every = _summed(_weights(index, queries, k1, b).unionByName(zeros))
+        weights = queries.select("query_id").crossJoin(F.broadcast(first)).withColumn("weight", F.lit(0.0))  # 2k rows
+        wanted, _ = save(_wanted(index, queries).withColumn("n_terms", F.count("*").over(Window.partitionBy("query_id"))))
+        short, long = wanted.where(F.col("n_terms") <= PRUNED_TERMS), wanted.where(F.col("n_terms") > PRUNED_TERMS)
+        postings = short.agg(F.sum("df")).first()[0]
+        if postings is None or postings < pruned_from:
+            weights = weights.unionByName(_weights(index, wanted, k1, b))
+        else:
+            weights = weights.unionByName(_weights(index, long, k1, b))
+            bounded, _ = save(_bounded(index, short, k1, b))
+            floor, _ = save(first_floor(index, bounded, short, k, k1, b)[0])
+            needed, _ = save(essential(bounded, floor))
+            weights = weights.unionByName(_exact(index, _candidates(index, needed, k1, b), short, k1, b))
+        every = _summed(weights)
     else:
         scores, _ = save(bm25_scores(index, queries, k1, b))
         every = scores.unionByName(_unmatched(index, queries, scores, k).withColumn("score", F.lit(0.0)))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ragcorpus.functions.authority import authority_bonus, authority_rank, safe_score, source_type_label
 from ragcorpus.functions.text import extract_snippet, tokenize
 from ragcorpus.operators import dense, evaluation, fusion
-from ragcorpus.operators.bm25 import bm25_scores, bm25_topk, build_bm25_index
+from ragcorpus.operators.bm25 import Bm25Index, append_to_bm25_index, bm25_scores, bm25_topk, build_bm25_index, delete_from_bm25_index, read_bm25_index, store_bm25_index
 from ragcorpus.plans.tables import BM25_SQL, BONUS_SQL, DENSE_SQL, HITS_SQL, KNN_SQL, META_SQL, RANK_SQL, TOPK_SQL, TYPE_SQL, chunks, hits, index, meta, query, query_vectors, questions, table, topk, typed, vectors
+from ragcorpus.sources.scratch import new_path
 
 
 def six(name: str) -> Column:
@@ -43,6 +44,37 @@ def bm25_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk(spark, sf_dir).select("query_id", "rank", "doc_id", six("score"))
 
 
+#: The first five words of each text: short queries, of which most have stop-words.
+SHORT_SQL = TOPK_SQL.replace("lower(text), '\\s+'), lambda t: t <> '')) AS term FROM benchmark", "lower(array_to_string(string_split(text, ' ')[1:5], ' ')), '\\s+'), lambda t: t <> '')) AS term FROM benchmark")
+
+
+@query(f"WITH {SHORT_SQL} SELECT query_id, rank, doc_id, round(score + 1e-10, 6) AS score FROM topk")
+def bm25_short_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries of few terms, of which postings are read by their bounds."""
+    asked = questions(spark, sf_dir).withColumn("query", F.substring_index("query", " ", 5))
+    return bm25_topk(index(spark, sf_dir), asked, pruned_from=0).select("query_id", "rank", F.col("chunk_id").alias("doc_id"), six("score"))
+
+
+#: The corpus in three steps: two parts, each a segment, and a third of the first taken out and added again with the second.
+@query(f"WITH {BM25_SQL} SELECT term, df, round(idf + 1e-10, 6) AS idf FROM terms")
+def bm25_grown_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grown(spark, sf_dir).terms.select("term", "df", six("idf"))
+
+
+@query(f"WITH {TOPK_SQL} SELECT query_id, rank, doc_id, round(score + 1e-10, 6) AS score FROM topk")
+def bm25_grown_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 20 from an index that grew by segments."""
+    return bm25_topk(_grown(spark, sf_dir), questions(spark, sf_dir)).select("query_id", "rank", F.col("chunk_id").alias("doc_id"), six("score"))
+
+
+def _grown(spark: SparkSession, sf_dir: str) -> Bm25Index:
+    own, path = chunks(spark, sf_dir), new_path(spark)
+    store_bm25_index(own.where("chunk_id % 2 = 0"), path)
+    delete_from_bm25_index(own.where("chunk_id % 3 = 0"), path)
+    append_to_bm25_index(own.where("chunk_id % 2 = 1 or chunk_id % 3 = 0"), path)
+    return read_bm25_index(spark, path)
+
+
 #: A corpus of one template, but for every 20th document: most terms are in over half of it, and their scores below 0.
 TEMPLATE_SQL = TOPK_SQL.replace("lower(text), '\\s+'), lambda t: t <> '') AS tokens FROM documents", "lower(CASE WHEN doc_id % 20 = 19 THEN 'x ' || lang ELSE 'a b c' END), '\\s+'), lambda t: t <> '') AS tokens FROM documents").replace(
     "lower(text), '\\s+'), lambda t: t <> '')) AS term FROM benchmark", "lower(CASE WHEN item_id % 2 = 0 THEN 'a' ELSE 'a x' END), '\\s+'), lambda t: t <> '')) AS term FROM benchmark"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragcorpus.functions.authority import classify_source_type
-from ragcorpus.operators.bm25 import Bm25Index, bm25_topk, read_bm25_index, store_bm25_index
+from ragcorpus.operators.bm25 import Bm25Index, bm25_topk, store_bm25_index
 from ragcorpus.sources.scratch import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,17 +96,15 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple[str, str], Bm25Index] = {}
 
 
 def index(spark: SparkSession, sf_dir: str) -> Bm25Index:
     """The index of the documents, stored once for the queries of an application."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORED:
-        path = new_path(spark)
-        store_bm25_index(chunks(spark, sf_dir), path)
-        _STORED[key] = path
-    return read_bm25_index(spark, _STORED[key])
+        _STORED[key] = store_bm25_index(chunks(spark, sf_dir), new_path(spark))
+    return _STORED[key]
 
 
 def topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ragcorpus.operators import dense, evaluation, fusion
-from ragcorpus.operators.bm25 import bm25_topk, build_bm25_index, read_bm25_index, store_bm25_index
+from ragcorpus.operators import bm25, dense, evaluation, fusion
+from ragcorpus.operators.bm25 import append_to_bm25_index, bm25_topk, build_bm25_index, delete_from_bm25_index, read_bm25_index, store_bm25_index
 
 TEXTS = ["GST registration guide", "GSTR-1 filing rules", "the the the rules of the guide", "", None, "the registration of a guide", "the the end"]
 
@@ -44,6 +45,43 @@ def test_bm25(spark, k):
         assert [c for c, _ in got[q]] == want and np.allclose([s for _, s in got[q]], [scores[i] for i in want])
 
 
+def test_pruned_queries_give_the_same_rows_from_few_postings(spark):
+    rng = np.random.default_rng(11)
+    # stop-words in most chunks, and 50 topics of eight words, of which a chunk has some; some chunks repeat one word very often
+    texts = [" ".join(rng.permutation(["the"] * int(rng.integers(0, 4)) + ["of"] * int(rng.integers(0, 3)) + [f"t{i % 50}w{j}" for j in rng.integers(0, 8, int(rng.integers(2, 12)))] + [f"n{i}"])) for i in range(3000)]
+    texts += ["the " * 200, "of " * 150, ""]
+    asked = ["the t1w1 of t1w2 t1w3 t1w4", "of the t7w0 t7w1 t7w5 t7w6 t7w0", "t9w1 of the t9w2 t9w3 t9w7", "t2w2 t3w3 the", "the", "zzz the of", "t5w1 n77"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    index = build_bm25_index(chunks(spark, texts))
+    for k in (1, 10):
+        whole = bm25_topk(index, queries, k).orderBy("query_id", "rank").collect()
+        assert bm25_topk(index, queries, k, pruned_from=0).orderBy("query_id", "rank").collect() == whole
+    with_stop_words = queries.where("query_id in (0, 1, 2)")
+    wanted = bm25._wanted(index, with_stop_words)
+    bounded = bm25.save(bm25._bounded(index, wanted, 1.5, 0.75))[0]
+    floor, first = bm25.first_floor(index, bounded, wanted, 10)
+    block = ["query_id", "term", "class", "level", "df"]
+    read = first.select(block).union(bm25.essential(bounded, floor).select(block)).distinct()
+    assert read.agg(F.sum("df")).first()[0] < 0.3 * bounded.agg(F.sum("df")).first()[0]
+
+
+def test_segments_are_the_index_of_what_is_left(spark, tmp_path):
+    texts = [*TEXTS, "registration of rules", "a guide to filing", None]
+    whole, path = chunks(spark, texts), f"{tmp_path}/index"
+    store_bm25_index(whole.where("chunk_id < 5"), path)
+    delete_from_bm25_index(whole.where("chunk_id in (1, 2)").union(spark.createDataFrame([(99, 99, "x")], "a long, b long, c string")), path)
+    append_to_bm25_index(whole.where("chunk_id >= 5 or chunk_id = 2"), path)
+    delete_from_bm25_index(whole.where("chunk_id = 8"), path)
+    grown, new = read_bm25_index(spark, path), build_bm25_index(whole.where("chunk_id not in (1, 8)"))
+    for name in ("postings", "terms", "chunks", "corpus"):
+        columns = getattr(new, name).columns
+        rows = lambda index: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in getattr(index, name).select(columns).collect()), key=str)  # noqa: B023, E731
+        assert rows(grown) == rows(new)
+    queries = spark.createDataFrame([(1, "registration guide"), (2, "the rules")], "query_id long, query string")
+    top = lambda index, least: bm25_topk(index, queries, 4, pruned_from=least).orderBy("query_id", "rank").collect()
+    assert top(grown, 0) == top(new, 0) == top(new, 10**9)
+
+
 def test_bm25_ties_and_empty_corpus(spark):
     queries = spark.createDataFrame([(1, "GST registration")], "query_id long, query string")
     rows = bm25_topk(build_bm25_index(chunks(spark, TEXTS[:2])), queries, 2).collect()
