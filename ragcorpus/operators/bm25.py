@@ -180,12 +180,12 @@ def _exact(index: Bm25Index, pairs: DataFrame, wanted: DataFrame, k1: float, b:
 def first_floor(index: Bm25Index, bounded: DataFrame, wanted: DataFrame, k: int, k1: float = K1, b: float = B) -> tuple[DataFrame, DataFrame]:
     """(query_id, floor), a score that k chunks reach, and the blocks of `bounded` that are read for it.
 
-    The rarest terms are read, until they have FIRST_POSTINGS * k postings; of the 2k chunks that they give most the
+    The rarest terms are read, as many as have FIRST_POSTINGS * k postings or the first k; of the 2k chunks that they give most the
     exact scores are looked up.
     """
     best = bounded.groupBy("query_id", "term").agg(F.sum("df").alias("df"))
     before = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
-    chosen = best.withColumn("_read", F.coalesce(F.sum("df").over(before), F.lit(0))).where(F.col("_read") < FIRST_POSTINGS * k).select("query_id", "term")
+    chosen = best.withColumn("_read", F.coalesce(F.sum("df").over(before), F.lit(0))).where((F.col("_read") < k) | (F.col("_read") + F.col("df") <= FIRST_POSTINGS * k)).select("query_id", "term")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     sums = _summed(_weights(index, wanted.join(chosen, ["query_id", "term"], "left_semi"), k1, b))
     most = sums.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= 2 * k).select("query_id", "chunk_id")
