@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 
@@ -57,36 +61,53 @@ def crawl_title(html: Column) -> Column:
 
 
 def remove_javascript(html: Column) -> Column:
-    """html without script elements, event attributes and javascript: links (case-sensitive)."""
-    inert = F.regexp_replace(html, r"""(?s)<script[^>]*>.*?</script>""", "")
-    inert = F.regexp_replace(inert, r""" on\w+=(?:"[^"]*"|'[^']*')""", "")
-    inert = F.regexp_replace(inert, r"""href=(["'])javascript:(?:(?!\1).)*\1""", "href=$1#$1")
-    return F.regexp_replace(inert, r"(?<=\s)javascript:", "")
+    """html without what runs: script elements, event attributes and javascript: links, which lead to # (case-sensitive)."""
+    inert = F.regexp_replace(html, r"""(?<=href=")javascript:[^"]*(?=")|(?<=href=')javascript:[^']*(?=')""", "#")
+    return F.regexp_replace(inert, r"""(?s)<script\b[^>]*>.*?</script>| on\w+=(?:"[^"]*"|'[^']*')|(?<=\s)javascript:""", "")
 
 
 def strip_tags(html: Column) -> Column:
     """Tags and runs of white space as one space, trimmed."""
-    return _one_line(F.regexp_replace(html, r"<[^>]+>", " "))
-
-
-def _one_line(text: Column) -> Column:
-    return F.btrim(F.regexp_replace(text, r"\s+", " "), F.lit(" "))
-
-
-# What stands before and behind the text of an element that is closed, in the order in which they are looked for.
-ELEMENT_MARKS = {"h1": ("# ", " "), "h2": ("## ", " "), "h3": ("### ", " "), "p": ("", " "), "li": ("• ", "")}
-
-
-def basic_clean_html(html: Column) -> Column:
-    """A page as one line of text with marks for headings and list items."""
-    text = html
-    for hidden in (r"<script[^>]*>.*?</script>", r"<style[^>]*>.*?</style>", "<!--.*?-->"):
-        text = F.regexp_replace(text, f"(?s){hidden}", "")
-    for tag, (before, behind) in ELEMENT_MARKS.items():
-        if tag == "li":
-            text = F.regexp_replace(text, "<br[^>]*>", " ")
-        text = F.regexp_replace(text, rf"(?s)<{tag}[^>]*>(.*?)</{tag}>", f" {before}$1{behind}")
-    return strip_tags(text)
+    return F.btrim(F.regexp_replace(F.regexp_replace(html, r"<[^>]+>", " "), r"\s+", " "), F.lit(" "))
+
+
+#: The marks of elements whose opening tags begin so.
+ELEMENT_MARKS = {"h1": "# ", "h2": "## ", "h3": "### ", "li": "• "}
+#: Pieces of a page that are not text: elements and comments that are not shown, and tags, named where they may be marked.
+_PIECE = re.compile(rf"<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->|<(?P<open>{'|'.join(ELEMENT_MARKS)})[^>]*>|</(?P<close>{'|'.join(ELEMENT_MARKS)})>|<(?P<other>)[^>]+>", re.DOTALL)
+
+
+def one_line(html: str) -> str:
+    """A page as one line of text with marks for headings and list items, in one walk over its tags.
+
+    An opening tag of a marked element is a mark if the element is closed and none of its name is open; the closing tag of
+    an item leaves nothing. All other tags are spaces.
+    """
+    out: list[str] = []
+    begun: dict[str, int] = {}  # by name, where in `out` the mark of an open element may go
+    at = 0
+    for m in _PIECE.finditer(html):
+        out.append(html[at : m.start()])
+        at = m.end()
+        if (name := m["open"]) is not None:
+            begun.setdefault(name, len(out))
+            out.append(" ")
+        elif (name := m["close"]) is not None:
+            if name in begun:
+                out[begun.pop(name)] = f" {ELEMENT_MARKS[name]}"
+                out.append("" if name == "li" else " ")
+            else:
+                out.append(" ")
+        elif m["other"] is not None:
+            out.append(" ")
+    out.append(html[at:])
+    return re.sub(r"[ \t\n\x0b\f\r]+", " ", "".join(out)).strip(" ")
+
+
+@F.pandas_udf(T.StringType())
+def basic_clean_html(html: pd.Series) -> pd.Series:
+    """one_line of each page; a null stays null."""
+    return html.map(one_line, na_action="ignore")
 
 
 def tokenize(text: Column) -> Column:
@@ -105,8 +126,8 @@ def fixed_windows(text: Column, size: int, overlap: int, most: int | None = None
 
 def extract_snippet(text: Column, query: Column, most: int = 160) -> Column:
     """The first of the sentences with most of the query's terms, cut to `most` characters."""
-    terms = F.filter(F.split(F.lower(query), r"\s+"), lambda t: t != "")
-    sentences = F.split(text, r"(?<=[.!?])\s+")
     # terms that repeat count again; a term counts by occurring anywhere
-    scored = F.transform(sentences, lambda s, i: F.struct(F.size(F.filter(terms, lambda t: F.contains(F.lower(s), t))).alias("hits"), (-i).alias("at"), s.alias("sentence")))
+    terms = tokenize(query)
+    sentences = F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s, i: F.struct(F.lower(s).alias("low"), (-i).alias("at"), s.alias("sentence")))
+    scored = F.transform(sentences, lambda x: F.struct(F.size(F.filter(terms, lambda t: F.contains(x["low"], t))).alias("hits"), x["at"].alias("at"), x["sentence"].alias("sentence")))
     return F.substring(F.array_max(scored)["sentence"], 1, most)

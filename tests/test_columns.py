@@ -43,6 +43,22 @@ def test_titles_and_cleaning(spark):
     )
     check(spark, text.strip_tags, [("<p>a</p>\n<b> b</b>", "a b"), ("", "")])
     check(spark, text.basic_clean_html, [("<style>s</style><h1>T</h1><!-- c --><p>a<br>b</p><ul><li>x</li><li>y</li></ul>", "# T a b • x • y"), ("<h2>A</h2><h3>B</h3>", "## A ### B")])
+    check(
+        spark,
+        text.basic_clean_html,
+        [
+            ("<h1>a<h1>b</h1> c", "# a b c"),
+            ("<h1>a</h1><h1>b", "# a b"),
+            ("<li>a</li>b<li>c", "• ab c"),
+            ("<li><h2>n</h2>m</li>t", "• ## n mt"),
+            ("</li>x</h1>", "x"),
+            ("<script>if (a < b) {}</script><b>y</b><scripty>", "y"),
+            ("1 < 2 &amp; <i>3</i>", "1 3"),
+            ("a\u00a0\n b", "a\u00a0 b"),
+            (None, None),
+            ("", ""),
+        ],
+    )
 
 
 def test_windows_and_snippets(spark):
