@@ -10,7 +10,7 @@ from ragcorpus.operators import chunking, parse, web
 from ragcorpus.plans.tables import META_SQL, meta, query, table
 from ragcorpus.sources import io
 from ragcorpus.sources.scratch import new_path
-from ragcorpus.streaming.ingest import page_chunks, stream_ingest
+from ragcorpus.streaming.ingest import page_chunks, read_ingested, read_versions, stream_ingest
 
 HOST_SQL = "regexp_extract(url, '^https?://([^/?#]*)', 1)"
 
@@ -357,14 +357,45 @@ def golden_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("id", "question")
 
 
-@query()
-def ingested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages taken through the stream into a store; the store's chunks."""
+#: Two drops of page files. The second brings pages that are older than all of the first, new versions, the same again, and
+#: stale ones; some have no time.
+DROPS_SQL = """drops AS (SELECT 1 AS n, url, html, CASE WHEN page_id % 5 > 0 THEN TIMESTAMP '2024-06-01' + INTERVAL 1 MINUTE * page_id END AS seen FROM pages WHERE page_id % 3 > 0
+  UNION ALL SELECT 2, url, html, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * page_id FROM pages WHERE page_id % 3 = 0
+  UNION ALL SELECT 2, url, html || CASE WHEN page_id % 4 = 2 THEN '' ELSE '<p>' || page_id::VARCHAR || '</p>' END, TIMESTAMP '2024-07-01' - INTERVAL 1 YEAR * (page_id % 4 = 3)::INTEGER FROM pages WHERE page_id % 3 > 0 AND page_id % 4 > 0),
+versions AS (SELECT n, url, seen, sha256(html) AS h, row_number() OVER (PARTITION BY n, url ORDER BY seen IS NOT NULL DESC, seen DESC, sha256(html) DESC) AS k FROM drops),
+both AS (SELECT coalesce(a.url, b.url) AS url, a.url IS NULL AS late, a.seen AS at1, a.h AS h1, b.seen AS at2, b.h AS h2,
+  b.url IS NOT NULL AND (a.url IS NULL OR (b.seen IS NOT NULL AND (a.seen IS NULL OR b.seen > a.seen)) OR (b.seen IS NOT DISTINCT FROM a.seen AND b.h > a.h)) AS second
+  FROM (FROM versions WHERE n = 1 AND k = 1) a FULL JOIN (FROM versions WHERE n = 2 AND k = 1) b ON a.url = b.url)"""
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> str:
+    """Where a store stands that took both drops in."""
+    own = pages(spark, sf_dir).select("page_id", "url", "site", "html")
+    hours = lambda start: F.timestamp_seconds(F.unix_timestamp(F.lit(start)) + 60 * F.col("page_id"))
+    first = own.where("page_id % 3 > 0").withColumn("crawled_at", F.when(F.col("page_id") % 5 > 0, hours("2024-06-01 00:00:00")))
+    late = own.where("page_id % 3 = 0").withColumn("crawled_at", hours("2024-01-01 00:00:00"))
+    again = own.where("page_id % 3 > 0 and page_id % 4 > 0").withColumn("crawled_at", F.when(F.col("page_id") % 4 == 3, F.lit("2023-07-01")).otherwise("2024-07-01").cast("timestamp"))
+    again = again.withColumn("html", F.when(F.col("page_id") % 4 == 2, F.col("html")).otherwise(F.concat("html", F.lit("<p>"), F.col("page_id").cast("string"), F.lit("</p>"))))
     root = new_path(spark)
-    own = pages(spark, sf_dir).select("url", "site", "html", F.lit("2024-01-01").cast("timestamp").alias("crawled_at"))
-    own.write.parquet(f"{root}/in")
-    stream_ingest(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint")
-    return spark.read.parquet(f"{root}/out/chunks").select("source_id", "chunk_index", "total_chunks", "title", "content", "chunk_id")
+    for drop in (first, late.unionByName(again)):
+        drop.drop("page_id").write.mode("append").parquet(f"{root}/in")
+        stream_ingest(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint")
+    return f"{root}/out"
+
+
+@query(f"""WITH {DROPS_SQL} SELECT url, CASE WHEN second THEN at2 ELSE at1 END AS crawled_at, CASE WHEN second THEN h2 ELSE h1 END AS content_hash,
+CASE WHEN NOT second OR late THEN 'new' WHEN h1 = h2 THEN 'same' ELSE 'changed' END AS status, true AS chunked FROM both""")
+def ingested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The version that stands of each page, and whether the store has its chunks."""
+    path = _ingested(spark, sf_dir)
+    chunked = read_ingested(spark, path).select(F.col("source_id").alias("url"), F.lit(True).alias("chunked")).distinct()
+    return read_versions(spark, path).join(chunked, "url", "left").select("url", "crawled_at", "content_hash", "status", F.coalesce("chunked", F.lit(False)).alias("chunked"))
+
+
+@query()
+def ingested_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of the versions that stand."""
+    return read_ingested(spark, _ingested(spark, sf_dir)).select("source_id", "chunk_index", "total_chunks", "title", "content", "chunk_id")
 
 
 @query()

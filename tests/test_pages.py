@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ragcorpus.operators import _html, _split, chunking, parse, web
 from ragcorpus.plans import pages as plans
 from ragcorpus.sources import io
+from ragcorpus.streaming import ingest
 from ragcorpus.streaming.ingest import page_chunks, stream_ingest
 
 PAGE = """<html><head><title> A &amp; B </title></head><body><nav><a href="/n">N</a></nav>tail
@@ -217,15 +218,42 @@ def test_golden(spark, tmp_path):
         io.read_golden(spark, f"{tmp_path}/none.jsonl")
 
 
-def test_stream_equals_batch_and_skips_known(spark, tmp_path):
-    pages = spark.createDataFrame([(f"https://a/{i}", "s", f"<title>T{i}</title><p>{'text ' * (i + 1)}", "2024-01-01") for i in range(6)], "url string, site string, html string, crawled_at string").withColumn("crawled_at", F.col("crawled_at").cast("timestamp"))
-    pages.where("url < 'https://a/4'").repartition(2).write.parquet(f"{tmp_path}/in")
-    out = lambda: sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out/chunks").select("source_id", "chunk_index", "content", "chunk_id").collect()))
-    stream_ingest(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp")
-    pages.write.mode("append").parquet(f"{tmp_path}/in")  # four known pages and two new ones
-    counts = stream_ingest(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp")
-    assert sum(r["n_pages"] for r in counts.collect()) == 6
-    assert out() == sorted(map(tuple, page_chunks(pages).select("source_id", "chunk_index", "content", "chunk_id").collect()))
+def test_the_stream_keeps_the_newest_of_every_page(spark, tmp_path):
+    kind = "url string, site string, html string, crawled_at string"
+    page = lambda i, at, more="": (f"https://a/{i}", "s", f"<title>T{i}</title><p>{'text ' * (i + 1)}{more}", at)
+    names = ("source_id", "chunk_index", "content", "chunk_id")
+    standing = lambda: sorted(map(tuple, ingest.read_ingested(spark, f"{tmp_path}/out").select(*names).collect()))
+
+    def take(rows):
+        spark.createDataFrame(rows, kind).withColumn("crawled_at", F.col("crawled_at").cast("timestamp")).repartition(2).write.mode("append").parquet(f"{tmp_path}/in")
+        log = stream_ingest(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp").orderBy("batch_id").collect()
+        return tuple(log[-1])[1:]
+
+    def batch(*rows):
+        return sorted(map(tuple, page_chunks(spark.createDataFrame([*rows], kind)).select(*names).collect()))
+
+    june = [page(i, "2024-06-01") for i in range(4)]
+    assert take([*june, page(0, "2024-06-01"), page(1, None)]) == (4, 6, 4, 0, 0, 0)
+    # older than all before, without a time, and without a time though known
+    assert take([page(4, "2020-01-01"), page(5, None), page(3, None, "x")]) == (3, 3, 2, 0, 0, 1)
+    assert standing() == batch(*june, page(4, ""), page(5, ""))
+    # changed, the same later, stale, and a page without a time that now has one
+    assert take([page(0, "2024-07-01", "new"), page(1, "2024-07-01"), page(2, "2023-01-01", "old"), page(5, "2019-01-01", "timed")]) == (4, 4, 0, 2, 1, 1)
+    now = batch(page(0, "", "new"), *june[1:], page(4, ""), page(5, "", "timed"))
+    assert standing() == now
+    assert take([page(2, "2024-06-15"), page(0, "2024-06-20", "late")]) == (2, 2, 0, 0, 1, 1)
+    assert take([page(0, "2024-07-02")]) == (1, 1, 0, 1, 0, 0)
+    assert standing() == batch(*june, page(4, ""), page(5, "", "timed"))
+    assert {r["chunk_id"] for r in ingest.replaced_chunks(spark, f"{tmp_path}/out").collect()} == {r[3] for r in batch(page(0, "", "new"), page(5, ""))}
+
+
+def test_a_repeated_batch_replaces_itself(spark, tmp_path):
+    rows = spark.createDataFrame([("https://a/1", "s", "<p>one", "2024-01-01"), (None, "s", "<p>no url", None)], "url string, site string, html string, crawled_at string").withColumn("crawled_at", F.col("crawled_at").cast("timestamp"))
+    rows.write.parquet(f"{tmp_path}/in")
+    for _ in range(2):  # a new checkpoint: the same files are batch 0 again
+        log = stream_ingest(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp{_}").collect()
+        assert [tuple(r) for r in log] == [(0, 2, 2, 2, 0, 0, 0)]
+    assert [r["content"] for r in ingest.read_ingested(spark, f"{tmp_path}/out").orderBy("content").collect()] == ["no url", "one"]
 
 
 def test_html_reader():
