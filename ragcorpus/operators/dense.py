@@ -4,18 +4,25 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ragcorpus.sources.scratch import save
+
 #: Up to so many query vectors go to every task that reads chunks; more are dealt over blocks of so many and joined.
 QUERY_BLOCK = 4096
 #: Chunks of a block that is joined with a block of queries.
 CHUNK_BLOCK = 32_768
 #: Distances that a task computes at once.
 CELLS = 4_000_000
+#: Vectors of a sample for each list of an index, on which its centres are fitted.
+SAMPLE_PER_LIST = 64
 Encoder = Callable[[list[str]], np.ndarray]
 
 
@@ -110,30 +117,54 @@ def knn(chunks: DataFrame, queries: DataFrame, k: int = 20, with_score: bool = F
 
     Where the queries are counted to be QUERY_BLOCK at most they go to every task, which multiplies them with its
     chunks and keeps k of each query, so k rows a query and task are shuffled. More queries are dealt over blocks, and
-    each block of chunks meets each block of queries. Rows with a null vector or id are left out.
+    each block of chunks meets each block of queries. Rows with a null vector or id are left out, and so are vectors
+    with a component that is null or not finite; vectors of different lengths are no neighbours.
     """
-    wanted = queries.where("embedding is not null and query_id is not null").select("query_id", "embedding")
-    own = chunks.where("embedding is not null and chunk_id is not null").select("chunk_id", "embedding")
-    schema = f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(chunks.dtypes)['chunk_id']}, distance double"
+    wanted, own = usable(queries, "query_id"), usable(chunks, "chunk_id")
+    schema = _schema(queries, chunks)
     few = wanted.limit(QUERY_BLOCK + 1).toPandas()
     found = _by_task(own, few, k, schema) if len(few) <= QUERY_BLOCK else _by_blocks(own, wanted, k, schema)
+    return _best(found, k, with_score)
+
+
+def usable(df: DataFrame, key: str) -> DataFrame:
+    """(key, embedding) of the rows that have both and whose components are all finite numbers."""
+    finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return df.where(F.col("embedding").isNotNull() & F.col(key).isNotNull() & (F.size("embedding") > 0)).where(finite).select(key, "embedding")
+
+
+def _schema(queries: DataFrame, chunks: DataFrame) -> str:
+    return f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {dict(chunks.dtypes)['chunk_id']}, distance double"
+
+
+def _best(found: DataFrame, k: int, with_score: bool = False) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     columns = ["query_id", "rank", "chunk_id", "distance"]
     return ranked.withColumn("score", relevance(F.col("distance"))).select(*columns, "score") if with_score else ranked.select(*columns)
 
 
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.array(vectors.tolist(), float)
+
+
+def _of_length(part: pd.DataFrame) -> dict[int, pd.DataFrame]:
+    """The rows by the length of their vectors."""
+    return dict(iter(part.groupby(part["embedding"].map(len), sort=True)))
+
+
 def _by_task(chunks: DataFrame, queries: pd.DataFrame, k: int, schema: str) -> DataFrame:
-    ids = queries["query_id"].to_numpy()
-    matrix = np.array(queries["embedding"].tolist(), float).reshape(len(queries), -1)
+    asked = {n: (rows["query_id"].to_numpy(), _matrix(rows["embedding"])) for n, rows in _of_length(queries).items()} if len(queries) else {}
 
     def nearest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = _Nearest(matrix, k)
+        best = {n: _Nearest(vectors, k) for n, (_, vectors) in asked.items()}
         for part in parts:
-            if len(part) and len(ids):
-                best.add(part["chunk_id"].to_numpy(), np.stack(part["embedding"].tolist()).astype(float))
-        if best.distance.size:
-            yield best.rows(ids)
+            for n, rows in _of_length(part).items() if len(part) else ():
+                if n in best:
+                    best[n].add(rows["chunk_id"].to_numpy(), _matrix(rows["embedding"]))
+        for n, found in best.items():
+            if found.distance.size:
+                yield found.rows(asked[n][0])
 
     return chunks.mapInPandas(nearest, schema)
 
@@ -142,16 +173,134 @@ def _by_blocks(chunks: DataFrame, queries: DataFrame, k: int, schema: str) -> Da
     asked, held = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-chunks.count() // CHUNK_BLOCK))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    left = queries.select("query_id", "embedding", block("query_id", asked).alias("ask"), numbers(held).alias("hold"))
-    right = chunks.select("chunk_id", "embedding", block("chunk_id", held).alias("hold"), numbers(asked).alias("ask"))
+    left = queries.select("query_id", "embedding", F.size("embedding").alias("dims"), block("query_id", asked).alias("ask"), numbers(held).alias("hold"))
+    right = chunks.select("chunk_id", "embedding", F.size("embedding").alias("dims"), block("chunk_id", held).alias("hold"), numbers(asked).alias("ask"))
+    return left.groupBy("ask", "hold", "dims").cogroup(right.groupBy("ask", "hold", "dims")).applyInPandas(_meet(k), schema)
+
 
+def _meet(k: int) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def nearest(key: tuple, some: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        best = _Nearest(np.array(some["embedding"].tolist(), float).reshape(len(some), -1), k)
-        if len(some) and len(rows):
-            best.add(rows["chunk_id"].to_numpy(), np.stack(rows["embedding"].tolist()).astype(float))
+        if not len(some) or not len(rows):
+            return pd.DataFrame({"query_id": some["query_id"][:0], "chunk_id": rows["chunk_id"][:0], "distance": pd.Series(dtype=float)})
+        best = _Nearest(_matrix(some["embedding"]), k)
+        best.add(rows["chunk_id"].to_numpy(), _matrix(rows["embedding"]))
         return best.rows(some["query_id"].to_numpy())
 
-    return left.groupBy("ask", "hold").cogroup(right.groupBy("ask", "hold")).applyInPandas(nearest, schema)
+    return nearest
+
+
+@dataclass
+class VectorIndex:
+    """Vectors of one length in blocks: lists around centres, and parts of lists that are large."""
+
+    vectors: DataFrame  # block, chunk_id, embedding
+    blocks: DataFrame  # block, centre, lo, hi (least and greatest distance of its vectors from the centre), n
+
+
+def store_vector_index(chunks: DataFrame, path: str, lists: int | None = None, seed: int = 7) -> VectorIndex:
+    """Index chunks(chunk_id, embedding) below path; rows that knn leaves out are left out. All vectors are of one length.
+
+    The centres, about as many as the root of the vectors, are fitted by k-means on a seeded sample of SAMPLE_PER_LIST
+    vectors for each; every vector is stored with the nearest one. A list of more than CHUNK_BLOCK vectors is dealt over
+    blocks, so equal vectors may hold any share of the rows.
+    """
+    spark = chunks.sparkSession
+    own = usable(chunks, "chunk_id")
+    counted = own.agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("least"), F.max(F.size("embedding")).alias("most")).first()
+    if counted["least"] != counted["most"]:
+        raise ValueError(f"vectors of {counted['least']} to {counted['most']} components cannot stand in one index")
+    n = counted["n"]
+    lists = lists or max(1, round(n**0.5))
+    centres = np.zeros((1, counted["least"] or 0))
+    if n > lists > 1:
+        sample = own.sample(min(1.0, SAMPLE_PER_LIST * lists / n), seed).select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+        centres = np.array(KMeans(k=lists, seed=seed, maxIter=8, initSteps=2).fit(sample).clusterCenters())
+    elif n:
+        centres = np.array(own.select("embedding").first()["embedding"], float)[None]
+    sent = spark.sparkContext.broadcast(centres)  # the root of the vectors
+
+    def nearest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = sent.value
+        for part in parts:
+            if not len(part):
+                continue
+            x = _matrix(part["embedding"])
+            where = np.concatenate([((c**2).sum(axis=1) - 2 * x[i : i + 1024] @ c.T).argmin(axis=1) for i in range(0, len(x), 1024)])
+            yield part.assign(list=where, away=np.sqrt(((x - c[where]) ** 2).sum(axis=1)))
+
+    kind = dict(own.dtypes)
+    own.mapInPandas(nearest, f"chunk_id {kind['chunk_id']}, embedding {kind['embedding']}, list int, away double").write.parquet(f"{path}/lists")
+    dealt = spark.read.parquet(f"{path}/lists")
+    sizes = dealt.groupBy("list").agg(F.count("*").alias("n")).orderBy("list").collect()  # a row a list
+    parts = [-(-r["n"] // CHUNK_BLOCK) for r in sizes]
+    first = np.concatenate(([0], np.cumsum(parts)))
+    placed = spark.createDataFrame([(r["list"], int(f), p) for r, f, p in zip(sizes, first, parts, strict=False)], "list int, first int, parts int")
+    blocked = dealt.join(F.broadcast(placed), "list").withColumn("block", (F.col("first") + F.pmod(F.xxhash64("chunk_id"), F.col("parts"))).cast("int")).drop("first", "parts")
+    blocked.repartitionByRange("block").sortWithinPartitions("block").write.parquet(f"{path}/vectors")
+    known = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "list int, centre array<double>")
+    of_block = spark.read.parquet(f"{path}/vectors").groupBy("block", "list").agg(F.min("away").alias("lo"), F.max("away").alias("hi"), F.count("*").alias("n"))
+    of_block.join(F.broadcast(known), "list").drop("list").write.parquet(f"{path}/blocks")
+    return read_vector_index(spark, path)
+
+
+def read_vector_index(spark: SparkSession, path: str) -> VectorIndex:
+    return VectorIndex(spark.read.parquet(f"{path}/vectors").select("block", "chunk_id", "embedding"), spark.read.parquet(f"{path}/blocks"))
+
+
+def knn_by_index(index: VectorIndex, queries: DataFrame, k: int = 20, with_score: bool = False) -> DataFrame:
+    """The rows of knn over the index's chunks, from the blocks that can hold them.
+
+    By the triangle inequality no vector of a block is nearer to a query than the query's distance from the centre
+    less `hi`, or `lo` less that distance. The nearest blocks with k vectors give a query its k-th distance so far; then
+    all other blocks with a bound within it are read. Queries of another length than the index have no neighbours.
+    """
+    wanted, schema = usable(queries, "query_id"), _schema(queries, index.vectors)
+    first, _ = save(blocks_to_read(index, wanted, k))
+    near = save(_in_blocks(index, first, k, schema))[0]
+    limits = _best(near, k).groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
+    asked = wanted.join(limits.where(F.col("n") == k).select("query_id", "far"), "query_id", "left")
+    more = blocks_to_read(index, asked, None).join(first.select("query_id", "block"), ["query_id", "block"], "left_anti")
+    return _best(near.unionByName(_in_blocks(index, more, k, schema)), k, with_score)
+
+
+def blocks_to_read(index: VectorIndex, queries: DataFrame, k: int | None) -> DataFrame:
+    """(query_id, embedding, block, n): the nearest blocks that have k vectors, or with k None all whose bound is within
+    sqrt(`far`) of queries(query_id, embedding, far); a null `far` takes all."""
+    rows = index.blocks.collect()  # a row a block: the root of the vectors, or one for CHUNK_BLOCK of them
+    blocks = np.array([r["block"] for r in rows])
+    centres, lo, hi, n = (np.array([r[c] for r in rows], float) for c in ("centre", "lo", "hi", "n"))
+    sent = queries.sparkSession.sparkContext.broadcast((blocks, centres, lo, hi, n))
+
+    def choose(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        blocks, centres, lo, hi, n = sent.value
+        for part in parts:
+            part = part[part["embedding"].map(len) == (centres.shape[1] if len(centres) else -1)].reset_index(drop=True)
+            for at in range(0, len(part), 64):
+                some = part.iloc[at : at + 64]
+                q = _matrix(some["embedding"])
+                away = np.sqrt(((q[:, None, :] - centres[None]) ** 2).sum(axis=2))
+                gap = np.maximum(0, np.maximum(away - hi, lo - away))
+                if k is None:
+                    far = np.sqrt(some["far"].to_numpy(float))[:, None]
+                    row, col = np.nonzero(np.isnan(far) | (gap <= far * (1 + 1e-9) + 1e-4))
+                else:
+                    order = np.argsort(away, axis=1, kind="stable")
+                    before = np.cumsum(n[order], axis=1) - n[order]
+                    row, place = np.nonzero(before < k)
+                    col = order[row, place]
+                yield pd.DataFrame({"query_id": some["query_id"].to_numpy()[row], "embedding": some["embedding"].to_numpy()[row], "block": blocks[col], "n": n[col].astype(int)})
+
+    kind = dict(queries.dtypes)
+    return queries.mapInPandas(choose, f"query_id {kind['query_id']}, embedding {kind['embedding']}, block int, n long")
+
+
+def _in_blocks(index: VectorIndex, read: DataFrame, k: int, schema: str) -> DataFrame:
+    """The k nearest of each query in each block that it reads. Many queries of one block are dealt over several tasks."""
+    most = read.groupBy("block").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    asked = max(1, -(-most // QUERY_BLOCK))
+    left = read.select("query_id", "embedding", "block", F.pmod(F.xxhash64("query_id"), F.lit(asked)).cast("int").alias("ask"))
+    right = index.vectors.join(read.select("block").distinct(), "block", "left_semi").withColumn("ask", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))))
+    return left.groupBy("block", "ask").cogroup(right.groupBy("block", "ask")).applyInPandas(_meet(k), schema)
 
 
 def relevance(distance: Column) -> Column:

@@ -363,7 +363,7 @@ DROPS_SQL = """drops AS (SELECT 1 AS n, url, html, CASE WHEN page_id % 5 > 0 THE
   UNION ALL SELECT 2, url, html, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * page_id FROM pages WHERE page_id % 3 = 0
   UNION ALL SELECT 2, url, html || CASE WHEN page_id % 4 = 2 THEN '' ELSE '<p>' || page_id::VARCHAR || '</p>' END, TIMESTAMP '2024-07-01' - INTERVAL 1 YEAR * (page_id % 4 = 3)::INTEGER FROM pages WHERE page_id % 3 > 0 AND page_id % 4 > 0),
 versions AS (SELECT n, url, seen, sha256(html) AS h, row_number() OVER (PARTITION BY n, url ORDER BY seen IS NOT NULL DESC, seen DESC, sha256(html) DESC) AS k FROM drops),
-both AS (SELECT coalesce(a.url, b.url) AS url, a.url IS NULL AS late, a.seen AS at1, a.h AS h1, b.seen AS at2, b.h AS h2,
+paired AS (SELECT coalesce(a.url, b.url) AS url, a.url IS NULL AS late, a.seen AS at1, a.h AS h1, b.seen AS at2, b.h AS h2,
   b.url IS NOT NULL AND (a.url IS NULL OR (b.seen IS NOT NULL AND (a.seen IS NULL OR b.seen > a.seen)) OR (b.seen IS NOT DISTINCT FROM a.seen AND b.h > a.h)) AS second
   FROM (FROM versions WHERE n = 1 AND k = 1) a FULL JOIN (FROM versions WHERE n = 2 AND k = 1) b ON a.url = b.url)"""
 
@@ -384,7 +384,7 @@ def _ingested(spark: SparkSession, sf_dir: str) -> str:
 
 
 @query(f"""WITH {DROPS_SQL} SELECT url, CASE WHEN second THEN at2 ELSE at1 END AS crawled_at, CASE WHEN second THEN h2 ELSE h1 END AS content_hash,
-CASE WHEN NOT second OR late THEN 'new' WHEN h1 = h2 THEN 'same' ELSE 'changed' END AS status, true AS chunked FROM both""")
+CASE WHEN NOT second OR late THEN 'new' WHEN h1 = h2 THEN 'same' ELSE 'changed' END AS status, true AS chunked FROM paired""")
 def ingested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The version that stands of each page, and whether the store has its chunks."""
     path = _ingested(spark, sf_dir)

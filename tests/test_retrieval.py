@@ -111,6 +111,38 @@ def test_knn(spark, monkeypatch):
     assert all(r["score"] == r["distance"] for r in dense.knn_by_vector(own, asked).collect())
 
 
+def test_vectors_that_are_no_neighbours(spark, monkeypatch):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, [1.0, 0.0]), (2, [nan, 0.0]), (3, [inf, 1.0]), (4, None), (5, [0.0, 1.0]), (6, [0.5, None]), (7, [1.0]), (8, []), (9, [-inf, 0.0]), (10, [3e18, -3e18])]
+    asked = [(1, [1.0, 0.0]), (2, [nan, 1.0]), (3, [2.0]), (4, [1.0, 2.0, 3.0]), (5, None), (6, [0.0, inf])]
+    own, queries = spark.createDataFrame(rows, "chunk_id long, embedding array<float>"), spark.createDataFrame(asked, "query_id long, embedding array<float>")
+    for block in (4096, 1):
+        monkeypatch.setattr(dense, "QUERY_BLOCK", block)
+        got = [(r["query_id"], r["chunk_id"]) for r in dense.knn(own, queries, 5).orderBy("query_id", "rank").collect()]
+        assert got == [(1, 1), (1, 5), (1, 10), (3, 7)]
+
+
+def test_an_index_gives_the_same_from_few_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(dense, "CHUNK_BLOCK", 150)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 12)) * 4
+    x = (centres[rng.integers(0, 40, 2500)] + rng.normal(size=(2500, 12)) * 0.4).astype(np.float32)
+    x[:400] = x[0]  # a third of a list and more are one vector
+    own = vectors(spark, [*x.tolist(), None, [float("nan")] * 12]).repartition(3)
+    asked = vectors(spark, [*x[::100].tolist(), (centres[3] + 9).tolist(), [1.0, 2.0]], "query_id")
+    index = dense.store_vector_index(own, f"{tmp_path}/index")
+    for k in (1, 15, 2600):
+        want = dense.knn(own, asked, k, True).orderBy("query_id", "rank").collect()
+        assert dense.knn_by_index(index, asked, k, True).orderBy("query_id", "rank").collect() == want
+    few = asked.where("query_id < 25")
+    limits = dense.knn(own, few, 15).groupBy("query_id").agg(F.max("distance").alias("far"))
+    read = dense.blocks_to_read(index, few.join(limits, "query_id"), None).union(dense.blocks_to_read(index, few, 15)).select("query_id", "block", "n").distinct()
+    assert read.agg(F.sum("n")).first()[0] < 0.3 * 25 * 2500
+    assert dense.knn_by_index(dense.store_vector_index(own.where("chunk_id < 0"), f"{tmp_path}/empty"), asked, 3).collect() == []
+    with pytest.raises(ValueError):
+        dense.store_vector_index(vectors(spark, [[1.0], [1.0, 2.0]]), f"{tmp_path}/bad")
+
+
 def test_mmr(spark):
     rng = np.random.default_rng(1)
     x, q = rng.normal(size=(12, 6)), rng.normal(size=6)
