@@ -10,6 +10,7 @@ import re
 from collections import Counter
 from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -88,35 +89,149 @@ def read(html: str) -> Node:
     return builder.root
 
 
-def matches(node: Node, selector: str) -> bool:
-    """`tag`, `#id`, `.class`, `tag.class` or `tag#id`."""
-    m = re.fullmatch(r"([\w-]*)(?:([.#])([\w-]+))?", selector.strip())
-    if not m or not (m[1] or m[3]):
-        return False
-    if m[1] and node.tag != m[1].lower():
-        return False
-    return not m[3] or (m[3] == node.attrs.get("id") if m[2] == "#" else m[3] in node.attrs.get("class", "").split())
-
-
-def strip(root: Node, selectors: list[str], drop_tail: bool = False) -> None:
+_ATTRIBUTE = re.compile(r"""\[\s*(@?)([A-Za-z_][\w:-]*)\s*(?:([~^$*|]?=)\s*(?:"([^"]*)"|'([^']*)'|([\w-]+))\s*)?\]""")
+_SIMPLE = re.compile(r"(?P<tag>[A-Za-z][\w-]*|\*)|#(?P<id>[\w-]+)|\.(?P<class>[\w-]+)|(?P<attr>\[)")
+_TESTS = {
+    "=": lambda have, want: have == want,
+    "~=": lambda have, want: want in have.split(),
+    "^=": lambda have, want: bool(want) and have.startswith(want),
+    "$=": lambda have, want: bool(want) and have.endswith(want),
+    "*=": lambda have, want: bool(want) and want in have,
+    "|=": lambda have, want: have == want or have.startswith(want + "-"),
+}
+
+
+@dataclass(frozen=True)
+class Compound:
+    """What one element must be: its tag (or any), id, classes, and attributes as (name, test, value)."""
+
+    tag: str = "*"
+    id: str | None = None
+    classes: tuple[str, ...] = ()
+    attributes: tuple[tuple[str, str, str], ...] = ()
+
+    def fits(self, node: Node) -> bool:
+        if self.tag not in ("*", node.tag) or (self.id is not None and node.attrs.get("id") != self.id):
+            return False
+        if self.classes and not set(self.classes) <= set(node.attrs.get("class", "").split()):
+            return False
+        return all(name in node.attrs and (not test or _TESTS[test](node.attrs[name], value)) for name, test, value in self.attributes)
+
+
+#: An alternative of a selector: compounds, each behind what binds it to the one before: " " (within), ">" (child), "+" (next
+#: sibling), "~" (later sibling), or at the start "" (anywhere) or "/" (the document's own child).
+Steps = tuple[tuple[str, Compound], ...]
+
+
+def _compound(text: str, at: int, selector: str) -> tuple[Compound, int]:
+    own, start = Compound(), at
+    while m := _SIMPLE.match(text, at):
+        if m["tag"] and at > start:
+            break
+        at = m.end()
+        if m["tag"]:
+            own = Compound(m["tag"].lower())
+        elif m["id"]:
+            own = Compound(own.tag, m["id"], own.classes, own.attributes)
+        elif m["class"]:
+            own = Compound(own.tag, own.id, (*own.classes, m["class"]), own.attributes)
+        else:
+            found = _ATTRIBUTE.match(text, at - 1)
+            if not found or bool(found[1]) != selector.strip().startswith("/"):  # names have an @ in paths
+                raise ValueError(f"cannot read the selector {selector!r} at {at - 1}")
+            at = found.end()
+            value = next((v for v in found.groups()[3:] if v is not None), "")
+            own = Compound(own.tag, own.id, own.classes, (*own.attributes, (found[2].lower(), found[3] or "", value)))
+    if at == start:
+        raise ValueError(f"cannot read the selector {selector!r} at {at}")
+    return own, at
+
+
+@lru_cache(maxsize=1024)
+def selector(text: str) -> tuple[Steps, ...]:
+    """The alternatives of a CSS selector, or of a path of `/tag` and `//tag` steps; other syntax is a ValueError.
+
+    CSS: lists of compounds of a tag or *, #id, .class, [name], [name=value] and its kinds ~= ^= $= *= |=, bound by white
+    space, >, + and ~. Paths: steps of a tag or *, with [@name] and [@name='value'].
+    """
+    whole, out, at = text.strip(), [], 0
+    if whole.startswith("/"):
+        steps: list[tuple[str, Compound]] = []
+        while at < len(whole):
+            bond = re.compile("/{1,2}").match(whole, at)
+            if not bond:
+                raise ValueError(f"cannot read the selector {text!r} at {at}")
+            own, at = _compound(whole, bond.end(), text)
+            if own.id is not None or own.classes:
+                raise ValueError(f"cannot read the selector {text!r}: a path has no ids or classes")
+            steps.append((("" if len(bond[0]) == 2 else "/") if not steps else " " if len(bond[0]) == 2 else ">", own))
+        return (tuple(steps),)
+    while True:
+        own, at = _compound(whole, at, text)
+        steps = [("", own)]
+        while at < len(whole) and (bond := re.compile(r"\s*([>+~])\s*|(\s+)(?!,)").match(whole, at)):
+            own, at = _compound(whole, bond.end(), text)
+            steps.append((bond[1] or " ", own))
+        out.append(tuple(steps))
+        comma = re.compile(r"\s*,\s*").match(whole, at)
+        if not comma:
+            break
+        at = comma.end()
+    if at < len(whole):
+        raise ValueError(f"cannot read the selector {text!r} at {at}")
+    return tuple(out)
+
+
+def select(root: Node, alternatives: tuple[Steps, ...], into_found: bool = True) -> Iterator[tuple[Node, Node]]:
+    """(parent, element) of the elements that match, in page order, in one walk; without into_found what is inside of them is
+    passed over.
+
+    The walk carries, for each element, which steps its parent, its ancestors, its next sibling before and all before
+    match: a step matches if its compound fits and the step before is in the right one of these.
+    """
+    Found = frozenset[tuple[int, int]]  # noqa: N806 - of (alternative, step)
+    none: Found = frozenset()
+    # an open element: its children to come, its own steps, those of its ancestors, of the sibling before, of all before
+    stack: list[list] = [[root, iter(root.children), none, none, none, none]]
+    while stack:
+        parent, children, own, above, last, earlier = stack[-1]
+        node = next((c for c in children if isinstance(c, Node)), None)
+        if node is None:
+            stack.pop()
+            continue
+        within = above | own
+        sets = {" ": within, ">": own, "+": last, "~": earlier}
+        here = frozenset(
+            (a, i)
+            for a, steps in enumerate(alternatives)
+            for i, (bond, compound) in enumerate(steps)
+            if (bond == "" or (bond == "/" and len(stack) == 1) or (a, i - 1) in sets.get(bond, none)) and compound.fits(node)
+        )
+        stack[-1][4], stack[-1][5] = here, earlier | here
+        found = any((a, len(steps) - 1) in here for a, steps in enumerate(alternatives))
+        if found:
+            yield parent, node
+        if into_found or not found:
+            stack.append([node, iter(node.children), here, within, none, none])
+
+
+def strip(root: Node, alternatives: tuple[Steps, ...], drop_tail: bool = False) -> None:
     """Remove the elements that match; with drop_tail also the text right behind them."""
-    ahead = [root]
-    while ahead:
-        node, kept, removed = ahead.pop(), [], False
-        for c in node.children:
+    gone: dict[int, tuple[Node, set[int]]] = {}
+    for parent, node in select(root, alternatives, into_found=False):
+        gone.setdefault(id(parent), (parent, set()))[1].add(id(node))
+    for parent, removed in gone.values():
+        kept, behind = [], False
+        for c in parent.children:
             if isinstance(c, Node):
-                removed = any(matches(c, s) for s in selectors)
-                if removed:
-                    continue
-                ahead.append(c)
-            elif removed and drop_tail:
-                continue
-            kept.append(c)
-        node.children = kept
+                behind = id(c) in removed
+            if not (behind and (isinstance(c, Node) or drop_tail)):
+                kept.append(c)
+        parent.children = kept
 
 
-def first(node: Node, selector: str) -> Node | None:
-    return next((n for n in node.walk() if matches(n, selector)), None)
+def first(root: Node, alternatives: tuple[Steps, ...]) -> Node | None:
+    return next((node for _, node in select(root, alternatives)), None)
 
 
 def absolutize(root: Node, base: str) -> None:

@@ -12,22 +12,27 @@ from pyspark.sql import types as T
 from ragcorpus.operators import _html
 
 STRIP = ("nav", "footer", "script", "style")
-CONTENT = "main"
+CONTENT, TITLE = "main", "//title"
 ERROR_TITLE, ERROR_BODY = "Error Parsing Page", "Error parsing the HTML content"
 CAP = 50_000
 
 
 def parse_page(html: str | None, base: str, content: str = CONTENT, strip: tuple[str, ...] = STRIP, fallback: bool = True, drop_tail: bool = False, title: str | None = None) -> tuple[str, str]:
-    """(title, Markdown) of one page; what cannot be parsed gives fixed texts."""
+    """(title, Markdown) of one page; what cannot be parsed gives fixed texts. A selector that cannot be read is a ValueError.
+
+    Selectors are those of _html.selector. The title is that of the page as it came, but for what is stripped.
+    """
+    chooses, names = _html.selector(content), _html.selector(title or TITLE)
+    unwanted = tuple(steps for s in strip for steps in _html.selector(s))
     try:
         if html is None:
             raise ValueError("no page")
         root = _html.read(html)
-        node = _html.first(root, title or "title")
+        _html.strip(root, unwanted, drop_tail)
+        node = _html.first(root, names)
         raw = node.text() if node else ""
-        _html.strip(root, list(strip), drop_tail)
         _html.absolutize(root, base)
-        chosen = _html.first(root, content) or (_html.first(root, "body") if fallback else None)
+        chosen = _html.first(root, chooses) or (_html.first(root, _html.selector("body")) if fallback else None)
         if chosen is None:
             body = html if fallback else ""
             return (raw.strip() if raw else "Untitled"), _html.markdown(_html.read(body)) if body else ""

@@ -174,6 +174,28 @@ def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.parse_pages(pages(spark, sf_dir)).select("page_id", "title", "markdown")
 
 
+#: Selectors that all choose the pages' article, and one that chooses nothing; a site's are those of the length of its name.
+SELECTORS = [
+    ("article", "//title", ["nav", "footer", "script", "style"], True),
+    ("html > body > article", "//article/h1", ["nav", "script, style", "div[class~=ad]"], False),
+    ("main, div.ad + article", "body h1", [], False),
+    ("section[role='main']", "//body//h1", ["nav > ul", "div.ad", "html footer", "script"], True),
+    ("div article, p.intro.wide", "/html/head/title", ["nav"], False),
+]
+
+
+@query(f"""WITH {PARSED_SQL}, chosen AS (SELECT marked.page_id, title, blocks[CASE WHEN {ONE_LINE.format(CHARS.format('ad'))} = '' THEN 1 ELSE 2 END:] AS article, {TRIM.format(CHARS.format('head'))} AS head, length({HOST_SQL}) % 5 AS kind
+  FROM marked JOIN parts USING (page_id, title) JOIN pages USING (page_id))
+SELECT page_id, CASE WHEN kind IN (0, 4) THEN CASE WHEN title = '' THEN 'Untitled' ELSE title END ELSE head END AS title, CASE WHEN kind = 4 THEN '' ELSE array_to_string(article, E'\n\n') END AS markdown FROM chosen""")
+def selected_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages parsed with the selectors of their sites."""
+    kind = F.length("name") % 5
+    config = lambda i: F.struct(F.lit(SELECTORS[i][0]).alias("content_selector"), F.lit(SELECTORS[i][1]).alias("title_selector"), F.array(*[F.lit(x) for x in SELECTORS[i][2]]).cast("array<string>").alias("strip_selectors"), F.lit(SELECTORS[i][3]).alias("fallback_to_body"))
+    parser = F.element_at(F.array(*[config(i) for i in range(5)]), (kind + 1).cast("int"))
+    own = sites(spark, sf_dir).withColumn("parser", parser)
+    return parse.parse_pages(pages(spark, sf_dir), own).select("page_id", "title", "markdown")
+
+
 @query(
     rf"""SELECT page_id, array_to_string(list_concat(CASE WHEN t = '' THEN [] ELSE [t] END, list_filter([{TRIM.format("regexp_extract(html, '(?s)<style>(.*?)</style>', 1)")}, {TRIM.format("regexp_extract(html, '(?s)<script>(.*?)</script>', 1)")}], lambda x: x <> ''),
 {_texts_sql("regexp_extract(html, '(?s)<body>(.*)$', 1)")}), chr(10)) AS text FROM (SELECT *, {TRIM.format(CHARS.format(RAW_TITLE))} AS t FROM pages)"""

@@ -31,6 +31,44 @@ def test_parse_page():
     assert parse.parse_page("<div id=c>in</div><p>out", "", content="div#c")[1] == "in"
 
 
+def test_selectors():
+    page = "<html><head><title>T</title></head><body class='x y'><div id=a role=main lang=en-US><article class='p q'><p>one</p><div class='ad wide'>ad</div><p>two</p></article></div><p>three</p><a href='https://k/f.pdf' title>l</a></body></html>"
+    found = lambda s: [n.text() for _, n in _html.select(_html.read(page), _html.selector(s))]
+    want = {
+        "//title": ["T"],
+        "/html/head/title": ["T"],
+        "/title": [],
+        "//article/p": ["one", "two"],
+        "//body//p": ["one", "two", "three"],
+        "//div[@role='main']/article/div[@class]": ["ad"],
+        "p": ["one", "two", "three"],
+        "body > p": ["three"],
+        "div p": ["one", "two"],
+        "div.ad.wide": ["ad"],
+        ".wide.ad, title": ["T", "ad"],
+        "div[role=main] > article.q > p": ["one", "two"],
+        "p + div": ["ad"],
+        "p ~ p": ["two"],
+        "div ~ p": ["two", "three"],
+        "#a article P": ["one", "two"],
+        "*#a > *": ["oneadtwo"],
+        '[href^="https:"][href$=".pdf"]': ["l"],
+        "a[title]": ["l"],
+        "[lang|='en'] div": ["ad"],
+        "[class*='d w']": ["ad"],
+        "body.x.z": [],
+    }
+    assert {s: found(s) for s in want} == want
+    for bad in ("", "p:first-child", "p >", "> p", "a[href", "p,,b", "//p.c", "//p[1]", "p::before", "//text()", "count(//p)", "a[href=x y]", "a[@href]", "//a[href]"):
+        with pytest.raises(ValueError):
+            _html.selector(bad)
+    assert parse.parse_page(page, "", "div article", ("div.ad.wide", "title"), title="//title") == ("Untitled", "one\n\ntwo")
+    with pytest.raises(ValueError):
+        parse.parse_page(page, "", "p:hover")
+    deep = _html.read("<div>" * 20_000 + "<p>x")
+    assert sum(1 for _ in _html.select(deep, _html.selector("div > div div p"))) == 1
+
+
 def test_parse_pages_by_site(spark):
     sites = spark.createDataFrame([("s", "https://a.de/", (".c", "h1", ["b"], False))], "name string, base_url string, parser struct<content_selector string, title_selector string, strip_selectors array<string>, fallback_to_body boolean>")
     rows = [("s", None, "<h1>T</h1><div class=c>in <b>no</b><a href='/x'>l</a></div>"), ("s", None, "<p>no content"), ("other", "https://b.de", "<head><title>O</title></head><body><p>x</body>")]
