@@ -54,16 +54,18 @@ def trimmed(token: str) -> str:
     return token[_HEAD.match(token).end() : len(token) - _TAIL.match(token[::-1]).end()]
 
 
+#: Tokens, and kinds of tokens, that a worker remembers; beyond either it forgets all of both.
+MOST_SEEN, MOST_CODES = 600_000, 16_384
+
+
 class _Seen(dict):
-    """The codes of tokens already met; forgotten beyond a number, which bounds a worker's memory."""
+    """The codes of tokens already met."""
 
     def __init__(self, code: Callable[[str], int]):
         super().__init__()
         self.code = code
 
     def __missing__(self, token: str) -> int:
-        if len(self) >= 600_000:
-            self.clear()
         found = self.code(token)
         if len(token) <= 64:
             self[token] = found
@@ -127,18 +129,17 @@ class Lexicon:
         if not tokens:
             return [0.0] * len(FEATURES)
         n = len(tokens)
-        codes = np.fromiter(map(self.seen.__getitem__, tokens), np.int64, n)
-        counts = np.bincount(codes)
-        used = np.flatnonzero(counts)
-        values, weight = np.array([self.values[i] for i in used]), counts[used]
+        if len(self.seen) >= MOST_SEEN or len(self.values) >= MOST_CODES:  # between texts, so that a text's codes agree
+            self.seen.clear()
+            self.codes.clear()
+            self.values.clear()
+        # the text's own codes from 0 on, so that its time does not depend on what was met before
+        used, codes, weight = np.unique(np.fromiter(map(self.seen.__getitem__, tokens), np.int64, n), return_inverse=True, return_counts=True)
+        values = np.array([self.values[i] for i in used.tolist()])
         total = weight @ values
-        own = np.zeros(len(counts), bool)
-        own[used] = values[:, HIT] > 0
-        second = np.zeros(len(counts), bool)
-        second[used] = values[:, SECOND] > 0
-        hits, persons = np.flatnonzero(own[codes]), np.flatnonzero(second[codes])
+        hits, persons = np.flatnonzero((values[:, HIT] > 0)[codes]), np.flatnonzero((values[:, SECOND] > 0)[codes])
         near = float(np.sum(np.searchsorted(persons, hits + NEAR, "right") > np.searchsorted(persons, hits - NEAR, "left"))) if len(hits) and len(persons) else 0.0
-        spelled = self._spelled(tokens, codes, used, values, len(counts)) if total[SINGLE] >= 4 else 0
+        spelled = self._spelled(tokens, (values[:, SINGLE] > 0)[codes]) if total[SINGLE] >= 4 else 0
         chars = max(1, len(text or ""))
         words, prefixes = weight @ (values[:, WORD] > 0), weight @ (values[:, PREFIX] > 0)
         return [
@@ -148,11 +149,9 @@ class Lexicon:
             float(len(set(map(tokens.__getitem__, hits.tolist())))),
         ]
 
-    def _spelled(self, tokens: list[str], codes: np.ndarray, used: np.ndarray, values: np.ndarray, size: int) -> int:
+    def _spelled(self, tokens: list[str], single: np.ndarray) -> int:
         """How many known words stand as single letters with spaces between."""
-        single = np.zeros(size, bool)
-        single[used] = values[:, SINGLE] > 0
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], single[codes].astype(np.int8), [0]))))
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], single.astype(np.int8), [0]))))
         return sum("".join(tokens[a:b]).lower() in self.known for a, b in zip(edge[::2], edge[1::2], strict=True) if b - a >= 4)
 
 
@@ -171,7 +170,7 @@ def training_labels(labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     own = labels.where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
     one = own.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
     n = one.count()
-    share = F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, rows / max(n, 1)))
+    share = F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(1 << 40)) < max(1, int((1 << 40) * min(1.0, rows / max(n, 1))))
     return one.where(share).withColumn("half", F.pmod(F.xxhash64("_id", F.lit(2)), F.lit(2)).cast("int"))
 
 

@@ -51,6 +51,68 @@ def test_obfuscated_words():
     assert own.vector("you idiot")[toxicity.FEATURES.index("near_second")] > 0
 
 
+def slow_features(text, lexicon):
+    """Features of a text token by token, without codes or counts of kinds; those that need obfuscation are left out."""
+    tokens = (text or "").split()
+    n, chars = max(1, len(tokens)), max(1, len(text or ""))
+    core = [re.sub(r"^\W+|[\W_]+$", "", t).lower() if not t.rstrip(".,;:!?").isalpha() else t.rstrip(".,;:!?").lower() for t in tokens]
+    weight = [round(4 * lexicon.weights.get(w, 0.0)) / 4 for w in core]
+    prefix = [round(4 * max(lexicon.weights.get(w[:k] + "~", 0.0) if len(w) > k else 0.0 for k in (4, 5, 6))) / 4 for w in core]
+    fixed = [w in toxicity.INSULTS for w in core]
+    person = [w in toxicity.SECOND_PERSON for w in core]
+    hit = [f or w > 0 or p > 0 for f, w, p in zip(fixed, weight, prefix, strict=True)]
+    near = sum(h and any(person[max(0, i - 5) : i + 6]) for i, h in enumerate(hit))
+    letters = [sum(c.isalpha() for c in t) for t in tokens]
+    return {
+        "length": np.log1p(len(tokens)) if tokens else 0,
+        "fixed_density": sum(fixed) / n,
+        "fixed_count": np.log1p(sum(fixed)),
+        "word_density": sum(w > 0 for w in weight) / n,
+        "word_best": max(weight, default=0),
+        "word_sum": sum(weight) / n**0.5,
+        "prefix_density": sum(p > 0 for p in prefix) / n,
+        "prefix_best": max(prefix, default=0),
+        "near_second": near / (sum(hit) + 1),
+        "second_density": sum(person) / n,
+        "capital_words": sum(k >= 2 and sum(map(str.isupper, t)) == k for t, k in zip(tokens, letters, strict=True)) / n,
+        "capital_letters": sum(c.isupper() for t in tokens for c in t) / chars,
+        "exclamations": sum(t.count("!") for t in tokens) / n,
+        "questions": sum(t.count("?") for t in tokens) / n,
+        "digits": sum(c.isdigit() for t in tokens for c in t) / chars,
+        "distinct_hits": len({t for t, h in zip(tokens, hit, strict=True) if h}),
+    }
+
+
+def test_features_and_scores_against_token_by_token(spark, sf_dir):
+    lexicon = toxicity.Lexicon({"garden": 2.3, "gard~": 1.1, "fine": 0.9, "wretch~": 4.0})
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(60).collect()]
+    texts += ["YOU fool! such a fine garden, gardens? WRETCHED wretches 12 of you.", "", None, "a A b B 5", "idiot, you. " * 50]
+    for text in texts:
+        got = dict(zip(toxicity.FEATURES, lexicon.vector(text), strict=True))
+        for name, value in slow_features(text, lexicon).items():
+            if not got["obfuscated"] and not got["elongated"] and not got["obfuscated_hits"]:
+                assert abs(got[name] - value) < 1e-9, (name, text)
+    # a score is the calibrated share of the trees' sum, whatever batch a text is in
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    score = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs.repartition(3), labels).collect()}
+    for r in docs.select("doc_id", "text").limit(40).collect():
+        x = np.array([toxicity.Lexicon(model[0].weights).vector(r["text"])])
+        assert abs(score[r["doc_id"]] - (model[1](x)[0] if model[1] else 1 - np.exp(-20 * x[0, 1]))) < 1e-12
+
+
+def test_what_a_worker_remembers_is_bounded(monkeypatch):
+    rng = np.random.default_rng(1)
+    lexicon, fresh = toxicity.Lexicon(), toxicity.Lexicon()
+    noisy = ["".join(rng.choice(list("aB1!?*.,x"), 9)) for _ in range(60_000)]
+    for i in range(0, len(noisy), 100):
+        lexicon.vector(" ".join(noisy[i : i + 100]))
+    assert len(lexicon.values) <= toxicity.MOST_CODES + 100 and len(lexicon.codes) == len(lexicon.values)
+    assert lexicon.vector("you idiot moron of a garden") == fresh.vector("you idiot moron of a garden")
+    monkeypatch.setattr(toxicity, "MOST_CODES", 1)
+    assert [lexicon.vector(t) for t in noisy[:50]] == [toxicity.Lexicon().vector(t) for t in noisy[:50]]
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "you idiot moron trash"), (3, "you idiot moron trash"), (None, "clean words here"), (4, "x " * 50_000), (5, "!!! ???")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("label", F.lit(7))
