@@ -9,6 +9,7 @@ likelihood on labelled pages and decoded by Viterbi. The labelled pages are writ
 from __future__ import annotations
 
 import html as entities
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled pages that the field is trained on.
-PAGES = 300
+PAGES = 450
 
 _TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
@@ -29,6 +30,8 @@ _TAG = re.compile(
 _LONG_REFERENCE = re.compile(r"&#(?=[0-9]{4000})0*([0-9]*)")
 _MARK = re.compile(r"""\b(class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+|[0-9]+")
+#: A slash that closes a tag; one behind an unquoted value belongs to the value.
+_CLOSED = re.compile(r"(?:^|[\s\"'])/\Z")
 # Element kinds.
 RAW = frozenset("script style iframe textarea title".split())  # text up to their end tag, or the page's end
 HIDDEN = frozenset("noscript template svg math object canvas audio video select".split())
@@ -96,7 +99,7 @@ def _hidden_ends(page: str) -> dict[int, int]:
         at = m.end()
         closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         tag = tag.lower() if tag else ""
-        if tag in RAW and not closing and not attributes.endswith("/"):
+        if tag in RAW and not closing and not _CLOSED.search(attributes):
             at = _behind(tag, page, at)
         if tag not in depth or tag in VOID:
             continue
@@ -107,7 +110,7 @@ def _hidden_ends(page: str) -> dict[int, int]:
                 depth[top] -= 1
                 if top == tag and tag in HIDDEN:
                     ends[start] = at
-        elif not attributes.endswith("/"):
+        elif not _CLOSED.search(attributes):
             if tag in CLOSES_P and stack and stack[-1][0] == "p":
                 stack.pop()
                 depth["p"] -= 1
@@ -225,7 +228,7 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         tag = tag.lower()
         if tag in RAW or tag in HIDDEN:
-            if not closing and not attributes.endswith("/"):
+            if not closing and not _CLOSED.search(attributes):
                 at = _behind(tag, page, at) if tag in RAW else ends.get(at, at)
             pieces.append(" ")
             continue
@@ -258,29 +261,54 @@ def blocks_of(page: str | None) -> list[Block]:
             elif tag == "body" and (heads := stack.by_tag.get("head")):
                 stack.pop_to(heads[0])
         marks = _marks(attributes) if attributes else ()
-        if not attributes.endswith("/"):
+        if not _CLOSED.search(attributes):
             stack.push(tag, marks)
     flush()
     return out
 
 
-def text_features(block: Block, i: int, n: int) -> list[str]:
-    """Features of a block's own text and place."""
-    words = block.text.count(" ") + 1
-    share = block.linked / max(1, len(block.text))
-    out = [
-        "bias",
-        f"tag:{block.tag}",
-        f"words:{min(6, words.bit_length())}",
-        "links:all" if share > 0.8 else "links:some" if share > 0.3 else "links:few" if share > 0 else "links:none",
-        f"end:{'stop' if block.text[-1] in '.!?…:;\"”»)' else 'open'}",
-        f"commas:{min(3, block.text.count(','))}",
-        f"place:{min(4, 5 * i // max(1, n))}",
-    ]
-    if "©" in block.text or "(c)" in block.text.lower():
-        out.append("copyright")
-    if block.tag == "h1":
-        out.append("first:h1" if i < n // 2 else "late:h1")
+#: Kinds of marks that reject what stands within.
+_REJECTING = frozenset(f"mark:{k}" for k in MARKS if k != "main") | {"in:form", "in:nav", "in:aside", "in:footer", "in:header"}
+
+
+def text_features(page: list[Block]) -> list[list[str]]:
+    """Features of each block's own text and place, and of how the page went on from the blocks before."""
+    seen: set[tuple] = set()
+    before: Block | None = None
+    out = []
+    for i, block in enumerate(page):
+        words = block.text.count(" ") + 1
+        share = block.linked / max(1, len(block.text))
+        own = [
+            "bias",
+            f"tag:{block.tag}",
+            f"words:{min(6, words.bit_length())}",
+            "links:all" if share > 0.8 else "links:some" if share > 0.3 else "links:few" if share > 0 else "links:none",
+            f"end:{'stop' if block.text[-1] in '.!?…:;\"”»)' else 'open'}",
+            f"commas:{min(3, block.text.count(','))}",
+            f"place:{min(4, 5 * i // max(1, len(page)))}",
+        ]
+        if "©" in block.text or "(c)" in block.text.lower():
+            own.append("copyright")
+        if block.tag == "h1":
+            own.append("first:h1" if i < len(page) // 2 else "late:h1")
+        here = frozenset(block.path)
+        if before is not None:
+            there = frozenset(before.path)
+            if here == there:
+                own.append("stays")
+            if (left := (there - here) & _REJECTING) and not here & _REJECTING:
+                own += ["leaves", *(f"leaves:{m}" for m in sorted(left))]
+            if (entered := (here - there) & _REJECTING):
+                own += [f"enters:{m}" for m in sorted(entered)]
+            # back beside blocks from before what stood between
+            if here != there and (block.tag, block.path) in seen:
+                own.append("returns")
+                if before.linked > 0.8 * len(before.text):
+                    own.append("returns:links")
+        seen.add((block.tag, block.path))
+        before = block
+        out.append(own)
     return out
 
 
@@ -297,7 +325,7 @@ class Field:
         return [self.names[f] for f in features if f in self.names]
 
     def fit(self, pages: list[list[Block]], rounds: int = 200, rate: float = 0.1, l2: float = 0.01) -> Field:
-        ids = [[self._ids([*b.path, *text_features(b, i, len(p))], True) for i, b in enumerate(p)] for p in pages]
+        ids = [[self._ids([*b.path, *own], True) for b, own in zip(p, text_features(p), strict=True)] for p in pages]
         most, width = max(map(len, pages)), len(self.names)
         x = np.zeros((len(pages), most, width), np.float32)
         y, mask = np.zeros((len(pages), most), int), np.zeros((len(pages), most), bool)
@@ -347,13 +375,13 @@ class Field:
             return []
         t, trail = self.t.tolist(), []
         a, b = self.s.tolist()
-        for i, block in enumerate(page):
+        for i, (block, own) in enumerate(zip(page, text_features(page), strict=True)):
             base = self.paths.get(block.path)
             if base is None:
                 if len(self.paths) > 20_000:
                     self.paths.clear()
                 base = self.paths[block.path] = self.w[self._ids(list(block.path), False)].sum(axis=0)
-            e = base + self.w[self._ids(text_features(block, i, len(page)), False)].sum(axis=0)
+            e = base + self.w[self._ids(own, False)].sum(axis=0)
             if i:
                 from_a, from_b = (a + t[0][0], b + t[1][0]), (a + t[0][1], b + t[1][1])
                 trail.append((int(from_a[1] > from_a[0]), int(from_b[1] > from_b[0])))
@@ -368,18 +396,18 @@ class Field:
 
 def labelled_pages(pages: int = PAGES, seed: int = 3) -> list[list[Block]]:
     """Pages in many layouts whose blocks are labelled: main text is marked in the source by a trailing sign."""
-    rng = np.random.default_rng(seed)
-    pick = lambda *xs: xs[rng.integers(len(xs))]
+    rng = random.Random(seed)
+    pick = lambda *xs: rng.choice(xs)
     yes = lambda p: rng.random() < p
-    word = lambda: "".join(pick("ka", "lo", "mi", "ten", "ra", "sul", "ve", "no", "dor", "pi", "ash", "é", "ün") for _ in range(rng.integers(1, 4)))
-    words = lambda a, b: " ".join(word() for _ in range(rng.integers(a, b)))
+    word = lambda: "".join(pick("ka", "lo", "mi", "ten", "ra", "sul", "ve", "no", "dor", "pi", "ash", "é", "ün") for _ in range(rng.randrange(1, 4)))
+    words = lambda a, b: " ".join(word() for _ in range(rng.randrange(a, b)))
     ok = "⁣"  # no reader sees it; it marks what is main text
 
     def sentence(a: int = 3, b: int = 40) -> str:
         return words(a, b).capitalize() + pick(".", ".", ".", "!", "?", "", ",", " |")
 
     def text(short: float = 0.25) -> str:
-        return sentence(1, 4) if yes(short) else " ".join(sentence() for _ in range(rng.integers(1, 6)))
+        return sentence(1, 4) if yes(short) else " ".join(sentence() for _ in range(rng.randrange(1, 6)))
 
     def links(n: int, tag: str = "li") -> str:
         own = "".join(f"<{tag}><a href='/{word()}'>{words(1, 4)}</a></{tag}>" for _ in range(n))
@@ -392,8 +420,8 @@ def labelled_pages(pages: int = PAGES, seed: int = 3) -> list[list[Block]]:
 
     def noise(kind: str) -> str:
         if kind == "nav":
-            row = pick(" ", " | ", "").join(f"<a href='/{word()}'>{words(1, 3)}</a>" for _ in range(rng.integers(1, 7)))
-            return pick(f"<nav>{row}</nav>", wrap("nav", row), f"<nav>{links(rng.integers(3, 10))}</nav>", wrap("nav", links(rng.integers(3, 10))), wrap("nav", links(rng.integers(3, 8), "span")))
+            row = pick(" ", " | ", "").join(f"<a href='/{word()}'>{words(1, 3)}</a>" for _ in range(rng.randrange(1, 7)))
+            return pick(f"<nav>{row}</nav>", wrap("nav", row), f"<nav>{links(rng.randrange(3, 10))}</nav>", wrap("nav", links(rng.randrange(3, 10))), wrap("nav", links(rng.randrange(3, 8), "span")))
         if kind == "header":
             return pick(f"<header>{words(1, 5)}</header>", f"<header><a href='/'>{words(1, 4)}</a>{f'<p>{sentence(2, 8)}</p>' if yes(0.5) else ''}</header>", wrap("header", f"<p>{words(1, 5)}</p>"))
         if kind == "footer":
@@ -401,12 +429,12 @@ def labelled_pages(pages: int = PAGES, seed: int = 3) -> list[list[Block]]:
             return pick(f"<footer>{inner}</footer>", f"<footer>{inner}</footer>", wrap("footer", inner))
         if kind == "comment":
             one = lambda: pick(f"<p>{text()}</p>", f"<div><b>{word()}</b> <span>{words(1, 3)}</span><p>{text()}</p></div>", f"<article><p>{text()}</p></article>", f"<li><p>{text()}</p></li>")
-            return wrap("comment", f"<h{pick(2, 3, 4)}>{words(1, 3)}</h3>" * yes(0.6) + "".join(one() for _ in range(rng.integers(1, 6))), ("div", "section", "ul", "ol"))
+            return wrap("comment", f"<h{pick(2, 3, 4)}>{words(1, 3)}</h3>" * yes(0.6) + "".join(one() for _ in range(rng.randrange(1, 6))), ("div", "section", "ul", "ol"))
         if kind == "form":
             inner = f"<p>{text()}</p><label>{words(1, 4)}</label><input type='text'><button>{words(1, 3)}</button>"
             return pick(f"<form action='/x'>{inner}</form>", wrap("form", f"<form>{inner}</form>"), wrap("form", f"<p>{text()}</p>"))
         if kind == "side":
-            inner = pick(links(rng.integers(2, 7)), f"<h3>{words(1, 4)}</h3>{links(4)}", f"<p>{text()}</p>", f"<h3>{words(1, 3)}</h3><p>{text()}</p><p>{text()}</p>")
+            inner = pick(links(rng.randrange(2, 7)), f"<h3>{words(1, 4)}</h3>{links(4)}", f"<p>{text()}</p>", f"<h3>{words(1, 3)}</h3><p>{text()}</p><p>{text()}</p>")
             return pick(f"<aside>{inner}</aside>", wrap("side", inner, ("div", "aside", "section")))
         if kind == "share":
             return wrap("share", pick(links(4), links(3, "span"), f"<span>{words(1, 3)}</span>"))
@@ -425,30 +453,47 @@ def labelled_pages(pages: int = PAGES, seed: int = 3) -> list[list[Block]]:
         if kind < 0.72:
             return f"<h{pick(2, 3, 4)}>{good(words(1, 7))}</h2>"
         if kind < 0.82:
-            return pick("<ul>{}</ul>", "<ol>{}</ol>").format("".join(f"<li>{good(text(0.5))}</li>" for _ in range(rng.integers(2, 6))))
+            return pick("<ul>{}</ul>", "<ol>{}</ol>").format("".join(f"<li>{good(text(0.5))}</li>" for _ in range(rng.randrange(2, 6))))
         if kind < 0.88:
             return f"<blockquote>{pick(good(text()), f'<p>{good(text())}</p>')}</blockquote>"
         if kind < 0.92:
             return f"<pre>{good(words(3, 20))}</pre>"
         if kind < 0.96:
-            return "<table>" + "".join(f"<tr><td>{good(words(1, 3))}</td><td>{good(words(1, 5))}</td></tr>" for _ in range(rng.integers(1, 4))) + "</table>"
+            return "<table>" + "".join(f"<tr><td>{good(words(1, 3))}</td><td>{good(words(1, 5))}</td></tr>" for _ in range(rng.randrange(1, 4))) + "</table>"
         return f"<div>{good(text())}</div>"
 
-    inside = ("ad", "share", "form", "side", "notice", "comment")
+    def between() -> str:
+        """What sites put between the paragraphs of an article."""
+        kind = rng.randrange(6)
+        if kind == 0:
+            return noise(pick("ad", "share", "form", "side", "notice"))
+        if kind == 1:
+            return pick(links(rng.randrange(1, 5)), f"<p>{pick(words(1, 3), '')} {links(rng.randrange(2, 5), 'span')}</p>", f"<div>{links(rng.randrange(1, 4), 'p')}</div>")
+        if kind == 2:
+            return wrap(pick("share", "side", "nav"), pick(links(rng.randrange(1, 4), "span"), words(1, 5), f"{words(1, 2)}: <a href='/x'>{words(1, 2)}</a>, <a href='/y'>{words(1, 2)}</a>"), ("p", "div", "span", "p"))
+        if kind == 3:
+            return pick(f"<form>{words(1, 3)}</form>", f"<form><p>{text()}</p><input></form>", f"<form><label>{words(1, 3)}</label><button>{word()}</button></form>")
+        if kind == 4:
+            return wrap(pick("form", "ad", "notice", "side"), pick(f"<p>{text(0.6)}</p>", sentence(1, 8), f"<h4>{words(1, 4)}</h4><p>{text(0.5)}</p>"), ("div", "aside", "section", "div"))
+        return f"<aside>{pick(text(0.5), f'<p>{text(0.5)}</p>', links(3))}</aside>"
+
     out = []
     for _ in range(pages):
         bare = yes(0.12)  # nothing but a short article
         body = [f"<h1>{good(words(1, 10))}{pick('', '.')}</h1>"] * yes(0.4 if bare else 0.85)
-        for _ in range(rng.integers(1, 3 if bare else 16)):
-            body.append(paragraph())
-            if yes(0.06):
-                body.append(noise(pick(*inside[:5])))
+        terse, broken = yes(0.2), pick(0.0, 0.06, 0.15, 0.3)
+        for _ in range(rng.randrange(1, 3 if bare else 16)):
+            body.append(f"{pick('<p>{}</p>', '<p>{}', '{}<br>').format(good(sentence(1, 5)))}" if terse else paragraph())
+            if yes(broken):
+                body.append(between())
+        if broken and yes(0.7):
+            body.append(f"<p>{good(sentence(1, 5) if terse else text())}</p>")
         inner = "".join(body)
         if yes(0.3):
             inner += noise("comment")
         main = pick(
             f"<article>{inner}</article>", f"<article>{inner}</article>", f"<main>{inner}</main>", f"<main><article>{inner}</article></main>", wrap("main", inner), wrap("main", f"<article>{inner}</article>"),
-            f"<div><div>{inner}</div></div>", f"<div role='main'>{inner}</div>", f"<section>{inner}</section>", f"<table><tr><td>{inner}</td></tr></table>",
+            f"<div><div>{inner}</div></div>", wrap("main", inner, ("div",)), f"<div role='main'>{inner}</div>", f"<section>{inner}</section>", f"<table><tr><td>{inner}</td></tr></table>",
         )
         page = "<html><head><title>x</title></head><body>"
         for kind, p in (("notice", 0.3), ("header", 0.45), ("nav", 0.8), ("notice", 0.15), ("ad", 0.5), ("form", 0.15), ("side", 0.2)):

@@ -49,6 +49,40 @@ def test_layouts(page):
     assert html_crf.main_text(page, html_crf.field()) == WANT
 
 
+FIRST, AFTER, END = "The first paragraph says a few things, and more.", "The rest of the article goes on here.", "End."
+BETWEEN = [
+    "<ul><li><a href=/a>One link</a></li><li><a href='/b'>Two link</a></li></ul>",
+    "<p class='tags related'><a href=/x>a</a> <a href=/y>b</a></p>",
+    "<div class='newsletter'>Sign up</div>",
+    "<form><p>Subscribe now.</p><input></form>",
+    "<form>x</form>",
+    "<aside><h4>Read on</h4><p>Another story of the day.</p></aside>",
+    "<div class='ad-box'>Buy now, cheap things here.</div>",
+    "<div id=share-bar><a href=#>Share</a> <a href=#>Tweet</a></div>",
+]
+AROUND = ["<article>{}</article>", "<div class='post-body'>{}</div>", "<main>{}</main>", "<body><nav><a href=/>Home</a></nav><article><h1>Big title</h1>{}</article><footer>&copy; x</footer></body>"]
+
+
+@pytest.mark.parametrize("around", AROUND)
+def test_articles_go_on_behind_what_stands_between(around):
+    """96 pages: each box between long, short and bare paragraphs, in each layout."""
+    model, tp, fp, fn = html_crf.field(), 0, 0, 0
+    for box in BETWEEN:
+        for one, two in ((FIRST, AFTER), ("Before.", "After the box."), ("Some text before", "Short")):
+            for form in ("<p>{}</p>", "<p>{}", "<div>{}</div>"):
+                inner = form.format(one) + box + form.format(two) + box + form.format(END)
+                want = [*(["Big title"] if "<h1>" in around else []), one, two, END]
+                got = html_crf.main_text(around.format(inner), model).split("\n")
+                tp, fp, fn = tp + len(set(got) & set(want)), fp + len(set(got) - set(want)), fn + len(set(want) - set(got))
+    assert 2 * tp / (2 * tp + fp + fn) >= 0.97, (tp, fp, fn)
+
+
+def test_a_slash_behind_a_value_closes_nothing():
+    for page in ("<a href=/>x</a>", "<a href=/ >x</a>", "<a href='/'>x</a>"):
+        assert html_crf.blocks_of(page)[0].linked == 1
+    assert html_crf.blocks_of("<a href='/' />x")[0].linked == 0
+
+
 HIDDEN = ["video", "audio", "object", "canvas", "svg", "math", "noscript", "template", "select"]
 
 
