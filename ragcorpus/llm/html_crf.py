@@ -286,7 +286,6 @@ def text_features(page: list[Block]) -> list[list[str]]:
             "links:all" if share > 0.8 else "links:some" if share > 0.3 else "links:few" if share > 0 else "links:none",
             f"end:{'stop' if block.text[-1] in '.!?…:;\"”»)' else 'open'}",
             f"commas:{min(3, block.text.count(','))}",
-            f"place:{min(4, 5 * i // max(1, len(page)))}",
         ]
         if "©" in block.text or "(c)" in block.text.lower():
             own.append("copyright")
@@ -482,7 +481,7 @@ def labelled_pages(pages: int = PAGES, seed: int = 3) -> list[list[Block]]:
         bare = yes(0.12)  # nothing but a short article
         body = [f"<h1>{good(words(1, 10))}{pick('', '.')}</h1>"] * yes(0.4 if bare else 0.85)
         terse, broken = yes(0.2), pick(0.0, 0.06, 0.15, 0.3)
-        for _ in range(rng.randrange(1, 3 if bare else 16)):
+        for _ in range(rng.randrange(1, 3 if bare else pick(3, 8, 16, 16))):
             body.append(f"{pick('<p>{}</p>', '<p>{}', '{}<br>').format(good(sentence(1, 5)))}" if terse else paragraph())
             if yes(broken):
                 body.append(between())
