@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 from ragcorpus.functions.text import url_to_filename
 from ragcorpus.operators import _html
-from ragcorpus.sources.scratch import drop, new_path, save
+from ragcorpus.sources.keyed import append_keyed, read_keyed
+from ragcorpus.sources.scratch import drop, new_path
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -64,25 +65,32 @@ def rewrite_fragment_links(links: DataFrame, sites: DataFrame) -> DataFrame:
 def crawl_frontier(links: DataFrame, seeds: DataFrame, max_depth: int = 0) -> DataFrame:
     """(url, depth): pages reachable from seeds(url) over links(url, link), each at its least depth; 0 is no limit.
 
-    One join with the links and one anti-join with the known pages a level. Each level is written once, as a
-    partition of a table in the shared folder, and only whether it has rows comes to the driver.
+    The links stand in buckets of the page that they start from, the known pages in buckets of their URL, each level as
+    a partition. So a level is one join that shuffles neither side, one shuffle of what it found, and one anti-join to which
+    the known pages are not shuffled. Only whether a level has rows comes to the driver.
     """
     spark = links.sparkSession
-    edges, edges_path = save(links.where("url is not null and link is not null").select(F.col("url").alias("_from"), "link").distinct())
-    path = new_path(spark)
-    level = lambda depth: f"{path}/depth={depth}"
-    seeds.where("url is not null").select("url").distinct().write.parquet(level(0))
-    pages = spark.read.schema("url string, depth int")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges_path, path = new_path(spark), new_path(spark)
+    append_keyed(links.where("url is not null and link is not null").select(F.col("url").alias("start"), "link").distinct(), edges_path, "start", buckets)
+    known = lambda: read_keyed(spark, path, "url", buckets, ("depth",))
+    append_keyed(seeds.where("url is not null").select("url").distinct().withColumn("depth", F.lit(0)), path, "url", buckets, ("depth",))
     for depth in count(1):
         if max_depth and depth > max_depth:
             break
-        frontier = pages.parquet(level(depth - 1)).select("url")
-        found = frontier.join(edges, F.col("url") == F.col("_from")).select(F.col("link").alias("url")).distinct()
-        found.join(pages.parquet(path).select("url"), "url", "left_anti").write.parquet(level(depth))
-        if pages.parquet(level(depth)).isEmpty():
+        new = next_level(read_keyed(spark, edges_path, "start", buckets), known(), depth)
+        append_keyed(new, path, "url", buckets, ("depth",))
+        if known().where(F.col("depth") == depth).isEmpty():
             break
     drop(spark, edges_path)
-    return pages.parquet(path)
+    return known()
+
+
+def next_level(edges: DataFrame | None, known: DataFrame, depth: int) -> DataFrame:
+    """(url, depth): pages that links(start, link) of the level before lead to and that are not known."""
+    frontier = known.where(F.col("depth") == depth - 1).select("url")
+    found = frontier.join(edges, F.col("url") == F.col("start")).select(F.col("link").alias("url")).distinct()
+    return found.join(known.select("url"), "url", "left_anti").select("url", F.lit(depth).alias("depth"))
 
 
 def mark_skipped(candidates: DataFrame, existing: DataFrame) -> DataFrame:

@@ -24,7 +24,13 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"))
 
 
-@query(f"WITH {BM25_SQL} SELECT term, df, round(idf + 1e-10, 6) AS idf FROM terms")
+#: Document frequencies alone, from the distinct words of each text.
+TERMS_SQL = r"""WITH dfs AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda t: t <> ''))) AS term FROM documents) GROUP BY term),
+raws AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, (SELECT count(*) AS n FROM documents)), mean AS (SELECT avg(raw) AS m FROM raws)
+SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END + 1e-10, 6) AS idf FROM raws, mean"""
+
+
+@query(TERMS_SQL)
 def bm25_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index(spark, sf_dir).terms.select("term", "df", six("idf"))
 
@@ -56,7 +62,7 @@ def bm25_short_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The corpus in three steps: two parts, each a segment, and a third of the first taken out and added again with the second.
-@query(f"WITH {BM25_SQL} SELECT term, df, round(idf + 1e-10, 6) AS idf FROM terms")
+@query(TERMS_SQL)
 def bm25_grown_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grown(spark, sf_dir).terms.select("term", "df", six("idf"))
 

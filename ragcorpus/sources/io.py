@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragcorpus.operators._order import numbered
-from ragcorpus.sources.scratch import exists
+from ragcorpus.sources.keyed import BUCKETS, append_keyed, read_keyed
 
 GOLDEN = "id string, question string, expected_answer string, retrieved_documents array<struct<id string, title string, authority string, relevant_text string>>, question_type string, verbosity string, expected_citations array<string>, expected_authorities array<string>"
 DOCUMENT = "doc_id string, content string, source string, site string, title string, url string, crawled_at timestamp"
@@ -150,24 +150,26 @@ def stored_content(chunks: DataFrame) -> Column:
     return F.coalesce(*usable, F.concat(F.lit("Empty document: "), F.coalesce("source_id", F.lit(""))))
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Append chunks with their id to a store, Parquet by domain. A chunk_id that the store holds is not written again,
-    so that a repeated run adds nothing; what other runs wrote stays."""
+def write_chunks(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Append chunks with their id to a store, Parquet by domain in buckets of the id. A chunk_id that the store holds is not
+    written again, so that a repeated run adds nothing; what other runs wrote stays, and is not shuffled."""
     spark = chunks.sparkSession
     own = chunks.withColumn("content", stored_content(chunks)).withColumn("chunk_id", chunk_id(F.col("source_id"), F.col("chunk_index"), F.col("content"))).dropDuplicates(["chunk_id"])
-    if exists(spark, path):
-        own = own.join(read_chunks(spark, path).select("chunk_id"), "chunk_id", "left_anti")
-    own.write.mode("append").partitionBy("domain").parquet(path)
+    stored = read_keyed(spark, path, "chunk_id", buckets, ("domain",))
+    if stored is not None:
+        own = own.join(stored.select("chunk_id"), "chunk_id", "left_anti")
+    append_keyed(own, path, "chunk_id", buckets, ("domain",))
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_chunks(spark: SparkSession, path: str, buckets: int = BUCKETS) -> DataFrame:
+    return read_keyed(spark, path, "chunk_id", buckets, ("domain",))
 
 
 def get_chunks(chunks: DataFrame, ids: list[str] | DataFrame) -> DataFrame:
-    """The chunks of these ids, given as a list or as a table (chunk_id)."""
-    wanted = ids.select("chunk_id") if isinstance(ids, DataFrame) else chunks.sparkSession.createDataFrame([(i,) for i in ids], "chunk_id string")
-    return chunks.join(wanted, "chunk_id", "left_semi")
+    """The chunks of these ids, given as a list, which reads only their buckets, or as a table (chunk_id), which alone is shuffled."""
+    if isinstance(ids, DataFrame):
+        return chunks.join(ids.select("chunk_id"), "chunk_id", "left_semi")
+    return chunks.where(F.col("chunk_id").isin(list(ids)))
 
 
 def read_golden(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

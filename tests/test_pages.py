@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ragcorpus.operators import _html, _split, chunking, parse, web
 from ragcorpus.plans import pages as plans
-from ragcorpus.sources import io
+from ragcorpus.sources import io, keyed
 from ragcorpus.streaming import ingest
 from ragcorpus.streaming.ingest import page_chunks, stream_ingest
 
@@ -329,6 +329,64 @@ def test_chunk_store_appends(spark, tmp_path):
     assert sorted(r["content"] for r in io.read_chunks(spark, f"{tmp_path}/c").collect()) == ["one", "two"]
 
 
+def shuffled_scans(df):
+    """The tables that the plan reads below an exchange."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    depths = [(len(line) - len(line.lstrip(" :+-")), line) for line in text.split("\n")]
+    found = []
+    for i, (depth, line) in enumerate(depths):
+        if "FileScan" in line:
+            above = depth
+            for d, parent in reversed(depths[:i]):
+                if d < above:
+                    above = d
+                    if "Exchange" in parent:
+                        found.append(line)
+                        break
+    return found
+
+
+def test_the_store_is_not_shuffled(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(io, "BUCKETS", 8)
+    path = f"{tmp_path}/c"
+    rows = [("s", i, f"text {i}", f"d{i % 2}") for i in range(50)]
+    df = spark.createDataFrame(rows, "source_id string, chunk_index int, content string, domain string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        io.write_chunks(df.where("chunk_index < 30"), path, 8)
+        stored = io.read_chunks(spark, path, 8)
+        ids = [r["chunk_id"] for r in stored.limit(3).collect()]
+        wanted = spark.createDataFrame([(i,) for i in [*ids, "none"]], "chunk_id string")
+        assert not shuffled_scans(io.get_chunks(stored, wanted)) and io.get_chunks(stored, wanted).count() == 3
+        assert not shuffled_scans(wanted.join(stored.select("chunk_id"), "chunk_id", "left_anti"))
+        spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", False)  # else the plan does not say which buckets it reads
+        plan = io.get_chunks(stored, ids[:1])._jdf.queryExecution().executedPlan().toString()
+        assert "SelectedBucketsCount: 1 out of 8" in plan
+        # a session that has not seen the path finds its buckets too
+        spark.sql(f"DROP TABLE {keyed._name(path)}")
+        io.write_chunks(df, path, 8)
+        assert io.read_chunks(spark, path, 8).count() == 50 and not shuffled_scans(io.get_chunks(io.read_chunks(spark, path, 8), wanted))
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_level_shuffles_only_what_it_finds(spark, tmp_path):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    links = spark.createDataFrame([(f"p{i}", f"p{2 * i + k}") for i in range(200) for k in (1, 2)], "start string, link string")
+    keyed.append_keyed(links, f"{tmp_path}/e", "start", n)
+    keyed.append_keyed(spark.createDataFrame([("p0", 0), ("p1", 1), ("p2", 1)], "url string, depth int"), f"{tmp_path}/k", "url", n, ("depth",))
+    edges, known = keyed.read_keyed(spark, f"{tmp_path}/e", "start", n), keyed.read_keyed(spark, f"{tmp_path}/k", "url", n, ("depth",))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        level = web.next_level(edges, known, 2)
+        # the one exchange deals out what the level finds; the links, the level before and the known pages stay
+        assert level._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+        assert sorted(r["url"] for r in level.collect()) == ["p3", "p4", "p5", "p6"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_url_tiers(spark):
     files = [("s", "s/a/p.html", "p.html"), ("s", "s/q.html", "q.html"), ("s", "s/r.html", "r.html"), ("s", "s/none.htm", "none.htm"), ("s", "s/x1.html", "x1.html")]
     urls = [("other/p.html", "u1", 0), ("a/p.html", "u2", 1), ("deep/q.html", "u3", 2), ("big-r.html", "u4", 3), ("1.html", "u5", 4), ("x1.html", "u6", 5), ("", "u7", 6)]
