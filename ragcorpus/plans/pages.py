@@ -414,6 +414,36 @@ def ingested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_versions(spark, path).join(chunked, "url", "left").select("url", "crawled_at", "content_hash", "status", F.coalesce("chunked", F.lit(False)).alias("chunked"))
 
 
+@query("SELECT line, 'missing non-empty ''question''' AS error FROM (SELECT item_id, row_number() OVER (ORDER BY item_id)::INTEGER AS line FROM benchmark) WHERE item_id % 5 = 0")
+def golden_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bad lines of the golden file of golden_cases, in order of its items."""
+    item = F.struct(F.col("item_id").cast("string").alias("id"), F.when(F.col("item_id") % 5 > 0, F.col("text")).alias("question"), F.col("text").alias("expected_answer"), F.array(F.struct(F.col("text").alias("relevant_text"))).alias("retrieved_documents"))
+    path = new_path(spark)
+    table(spark, sf_dir, "benchmark").repartition(1).sortWithinPartitions("item_id").select(F.to_json(item).alias("value")).write.text(path)
+    _, bad = io.read_golden(spark, path)
+    return bad.select("line", F.regexp_replace("error", r"^.*:\d+: ", "").alias("error"))
+
+
+@query("SELECT 'p' || page_id::VARCHAR || '.html' AS filename, url, 't' || page_id::VARCHAR AS title FROM pages WHERE page_id % 4 > 0")
+def sidecar_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The URL map of the pages, written as a sidecar and read again; skipped pages are not in it."""
+    number = F.col("page_id").cast("string")
+    items = pages(spark, sf_dir).select(F.concat(F.lit("p"), number, F.lit(".html")).alias("filename"), "url", F.concat(F.lit("t"), number).alias("title"), (F.col("page_id") % 4 == 0).alias("skipped"), F.col("page_id").alias("position"))
+    path = new_path(spark)
+    io.write_url_map(items, path)
+    return io.read_url_map(spark, path).select("filename", "url", "title")
+
+
+@query(f"""WITH lk AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)
+SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) || href AS link, count(*) AS times FROM lk GROUP BY ALL""")
+def content_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links in the Markdown of whole bodies, made absolute on their page's URL."""
+    config = F.struct(F.lit("body").alias("content_selector"), F.array(F.lit("script")).alias("strip_selectors"))
+    own = parse.parse_pages(pages(spark, sf_dir), sites(spark, sf_dir).withColumn("parser", config))
+    links = own.select("page_id", F.explode(F.regexp_extract_all("markdown", F.lit(r"\]\(<([^>]*)>\)"), F.lit(1))).alias("link"))
+    return links.groupBy("page_id", "link").agg(F.count("*").alias("times"))
+
+
 @query()
 def ingested_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks of the versions that stand."""
