@@ -1,6 +1,6 @@
 """Shards by a K-d tree over metadata: every node splits at the weighted median of its widest dimension.
 
-A dimension's values are placed on a scale of 31 bits in their own order (text by its first bytes). Within a node a value
+A dimension's values are placed on a scale of 31 bits in their own order (text by its first bytes behind what all begin with). Within a node a value
 becomes its place in the node's range, followed by a hash of the row, so that a value with any share of the rows can
 still be split. The medians of all nodes of a level are found together by counting the bytes of slices: once over the
 whole ranges of the nodes, and once within the slices that hold the medians. Nodes are rows of tables, and every row
@@ -10,6 +10,7 @@ carries its node, so nothing but the number of shards comes to the driver, howev
 from __future__ import annotations
 
 import math
+import os.path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,22 +25,38 @@ BROADCAST_SHARDS = 100_000
 _TOP = (1 << 31) - 1
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    """A column as a double that keeps its order: text and bytes by their first six bytes."""
+#: Bytes of text that are looked at for what all values begin with.
+PREFIX_BYTES = 4096
+
+
+def _skips(df: DataFrame, dims: list[str]) -> dict[str, int]:
+    """Of each dimension of text or bytes, how many bytes all its values begin with alike: the least and the greatest do so."""
+    texts = [d for d in dims if dict(df.dtypes)[d] in ("string", "binary")]
+    if not texts:
+        return {}
+    start = lambda d: F.substring(F.col(d).cast("binary"), 1, PREFIX_BYTES)
+    ends = df.agg(*[f(start(d)).alias(f"{n}{i}") for i, d in enumerate(texts) for n, f in (("a", F.min), ("b", F.max))]).first()
+    return {d: len(os.path.commonprefix([bytes(ends[f"a{i}"] or b""), bytes(ends[f"b{i}"] or b"")])) for i, d in enumerate(texts)}
+
+
+def _number(df: DataFrame, name: str, skip: int = 0) -> Column:
+    """A column as a double that keeps its order: text and bytes by six bytes behind those that are skipped."""
     kind = dict(df.dtypes)[name]
     if kind in ("string", "binary"):
-        return F.conv(F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+        return F.conv(F.rpad(F.hex(F.substring(F.col(name).cast("binary"), skip + 1, 6)), 12, "0"), 16, 10).cast("double")
     return F.col(name).cast("int").cast("double") if kind == "boolean" else F.col(name).cast("double")
 
 
 def _scaled(df: DataFrame, dims: list[str]) -> list[Column]:
     """Each dimension as 0 .. 2^31 - 1; null and what is no number are 0."""
-    ends = df.agg(*[f(_number(df, d)).alias(f"{n}{i}") for i, d in enumerate(dims) for n, f in (("a", F.min), ("b", F.max))]).first()
+    skips = _skips(df, dims)
+    number = lambda d: _number(df, d, skips.get(d, 0))
+    ends = df.agg(*[f(number(d)).alias(f"{n}{i}") for i, d in enumerate(dims) for n, f in (("a", F.min), ("b", F.max))]).first()
     out = []
     for i, d in enumerate(dims):
         low, high = ends[f"a{i}"], ends[f"b{i}"]
         span = (high - low) if low is not None and high > low and math.isfinite(high - low) else 1.0
-        value = (_number(df, d) - F.lit(low if low is not None and math.isfinite(low) else 0.0)) / span * _TOP
+        value = (number(d) - F.lit(low if low is not None and math.isfinite(low) else 0.0)) / span * _TOP
         out.append(F.coalesce(F.when(~F.isnan(value), F.greatest(F.lit(0.0), F.least(F.lit(float(_TOP)), value))).cast("long"), F.lit(0).cast("long")))
     return out
 

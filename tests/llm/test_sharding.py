@@ -42,3 +42,12 @@ def test_nulls_repeats_clashes_and_empty(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars double").withColumn("slot", F.lit(1)).withColumn("_shard", F.lit("s")).withColumn("size", F.lit("x"))
     check_law(sharding.shard_documents(df, 3).collect(), 3, [(d, t) for d, t, _, _ in rows])
     assert sharding.shard_documents(df.where("doc_id > 99"), 3).collect() == []
+
+
+def test_texts_that_begin_alike_are_told_apart(spark):
+    rows = [(i, f"https://www.example.org/site/{chr(97 + i % 4)}/page", 1) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, url string, size long")
+    got = sharding.kd_shards(df, ["url"], "size", ["doc_id"], shards=4).collect()
+    assert {r["_shard"]: {x["url"] for x in got if x["_shard"] == r["_shard"]} for r in got} == {k: {f"https://www.example.org/site/{chr(97 + k)}/page"} for k in range(4)}
+    same = spark.createDataFrame([(i, "x" * 5000, 1) for i in range(64)] + [(99, None, 1)], "doc_id long, url string, size long")
+    assert sharding.kd_shards(same, ["url"], "size", ["doc_id"], shards=2).groupBy("_shard").count().count() == 2
