@@ -90,7 +90,8 @@ def fingerprint_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     pairs = buckets.where((F.col("n") == 2) & near).select("a", "b")
     large = buckets.where("n > 2").select("t", "k", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-    dealt = tables.join(large, ["t", "k"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    # Spark sizes the exploded tables as the fingerprints they come from and so would send them all through the driver
+    dealt = tables.join(large.hint("merge"), ["t", "k"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     grouped = dealt.groupBy("t", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list("fp").alias("fps"))
 
     def stars(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -85,3 +85,18 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(50)] + [(7, 7), (None, 3), (500, 501), (501, 500)]
     got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {i: 0 for i in range(41)} | {100: 100} | {200 + i: 100 for i in range(50)} | {500: 500, 501: 500}
+
+
+def test_no_bucket_table_is_broadcast(spark):
+    ids = spark.range(20_000)
+    own = ids.select(F.xxhash64("id").alias("fp"))
+    near = own.where("pmod(fp, 20) = 0").select(F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(b)) for b in (1, 2)])).alias("fp"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "2m")  # more than the fingerprints, less than their 31 tables
+    try:
+        edges = simhash.fingerprint_links(own.unionByName(near), 4)
+        linked = edges.collect()
+        plan = edges._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(linked) >= 2 * near.count() // 2
+    assert "Broadcast" not in plan
