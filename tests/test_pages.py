@@ -181,6 +181,14 @@ def test_html_chunks(spark):
             chunking.chunk_html(df, **bad)
 
 
+def test_references_without_a_semicolon_are_text():
+    page = "<title>a &amp; b&amp</title><script>if (a &lt b && c) x('&amp;')</script><p title='&copy=1&amp;'>&lt;&ampfoo; &am &#38; &nosuch;&quot.</p>"
+    root = _html.read(page)
+    assert [n.text() for n in root.walk() if n.tag in ("title", "script", "p")] == ["a & b&amp", "if (a &lt b && c) x('&amp;')", "<&ampfoo; &am & &nosuch;&quot."]
+    assert [n.attrs for n in root.walk() if n.tag == "p"] == [{"title": "&copy=1&"}]
+    assert parse.parse_page("<title>&&amp</title><body><h1>x &amp</h1>", "") == ("&&amp", "# x &amp")
+
+
 def test_chunk_metadata(spark):
     df = spark.createDataFrame([("a/b.c.md", "x", "", "u"), ("n", " ", "s", None), (".hid", "x", "s", None)], "source_path string, content string, source_url string, url string")
     got = {r["source_id"]: (r["file_name"], r["source_url"], r["url"], r["citation_url"]) for r in chunking.prepare_metadata(df).collect()}
