@@ -181,6 +181,14 @@ def test_html_chunks(spark):
             chunking.chunk_html(df, **bad)
 
 
+def test_long_pages_are_split_by_their_headers(spark):
+    whole = "word " * 4000
+    df = spark.createDataFrame([(1, f"<h1>A</h1><p>{whole}</p><h2>B</h2><p>{whole}</p>")], "page_id int, html string")
+    for mode, lead in (("header", ["", ""]), ("section", ["A\n", "B\n"])):
+        rows = chunking.chunk_html(df, 400, 50, mode).orderBy("chunk_index").collect()
+        assert [(r["route"], r["content"]) for r in rows] == [(mode, own + whole.strip()) for own in lead]
+
+
 def test_references_without_a_semicolon_are_text():
     page = "<title>a &amp; b&amp</title><script>if (a &lt b && c) x('&amp;')</script><p title='&copy=1&amp;'>&lt;&ampfoo; &am &#38; &nosuch;&quot.</p>"
     root = _html.read(page)
