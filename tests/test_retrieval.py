@@ -156,6 +156,21 @@ def test_mmr(spark):
     assert [r["chunk_id"] for r in dense.mmr(df).orderBy("pick").collect()] == chosen
 
 
+def test_the_lists_of_words_are_a_map_and_postings_are_dealt_by_words(spark, tmp_path, monkeypatch):
+    texts = ["b a B  c\tb", "", None, "x", " ".join(f"w{i % 7}" for i in range(50))]
+    rows = [(i, i, t) for i, t in enumerate(texts)]
+    forward = bm25._forward(spark.createDataFrame(rows, "chunk_id long, doc_order long, content string"), "content")
+    assert "Exchange" not in forward._jdf.queryExecution().executedPlan().toString()
+    got = {r["chunk_id"]: (r["dl"], {w["term"]: w["tf"] for w in r["words"]}, len(r["words"])) for r in forward.collect()}
+    for i, t in enumerate(texts):
+        count = Counter((t or "").lower().split())
+        assert got[i] == (sum(count.values()), dict(count), len(count))
+    monkeypatch.setattr(bm25, "WORDS_PER_TASK", 100)
+    many = [(i, i, " ".join(f"t{(i + j) % 11}" for j in range(10))) for i in range(400)]
+    store_bm25_index(spark.createDataFrame(many, "chunk_id long, doc_order long, content string").coalesce(1), str(tmp_path / "x"))
+    assert len(list((tmp_path / "x" / "postings" / "segment=0").glob("*.parquet"))) > 20
+
+
 def test_only_texts_without_words_have_no_direction(spark):
     texts = ["w38 w46", "", None, " \t\n", "\u00a0", "w1 w2 w3"]  # the signed counts of w38 and w46 cancel out
     rows = spark.createDataFrame(list(enumerate(texts)), "n int, content string")
