@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragcorpus.operators import _html
+from ragcorpus.operators._batches import few_rows
 
 STRIP = ("nav", "footer", "script", "style")
 CONTENT, TITLE = "main", "//title"
@@ -59,7 +60,7 @@ def parse_pages(pages: DataFrame, sites: DataFrame | None = None, drop_tail: boo
     def parse(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         import json
 
-        for html, at, config in parts:
+        for html, at, config in few_rows(parts):
             rows = []
             for h, b, c in zip(html, at, config, strict=True):
                 own = json.loads(c) if c else {}

@@ -3,12 +3,14 @@
 import json
 import time
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ragcorpus.operators import _html, _split, chunking, parse, web
+from ragcorpus.operators._batches import few_rows
 from ragcorpus.plans import pages as plans
 from ragcorpus.sources import io, keyed
 from ragcorpus.streaming import ingest
@@ -415,3 +417,10 @@ def test_numbers_of_thousands_of_digits(zeros):
     for number, want in (("1" * 5_000, "�"), ("65", "A"), ("1114112", "�")):
         root = _html.read(f"<p><a href='x&#{'0' * zeros}{number};'>a &#{'0' * zeros}{number};</a></p>")
         assert _html.visible_text(root) == f"a {want}" and _html.outlinks(root) == [f"x{want}"], number[:9]
+
+
+def test_batches_come_in_runs_of_few_rows():
+    texts, ids = pd.Series([f"t{i}" for i in range(450)]), pd.Series(range(450))
+    assert [len(p) for p in few_rows(iter([texts, texts.iloc[:0]]))] == [200, 200, 50, 0]
+    runs = list(few_rows(iter([(texts, ids)])))
+    assert [len(a) for a, _ in runs] == [200, 200, 50] and [n for _, b in runs for n in b] == list(range(450))
