@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ragcorpus.functions.authority import authority_bonus, safe_score
 from ragcorpus.operators.bm25 import Bm25Index, bm25_topk
 from ragcorpus.operators.dense import knn
+from ragcorpus.sources.scratch import save
 
 RRF_K = 60
 Scorer = Callable[[list[str], list[str]], list[float]]
@@ -33,6 +34,13 @@ def rrf(dense: DataFrame, lexical: DataFrame, k: int = RRF_K) -> DataFrame:
     return fused.select("query_id", F.row_number().over(order).alias("rank"), "content", F.col("best.chunk_id").alias("chunk_id"), "score")
 
 
+def with_chunks(arms: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """arms(query_id, rank, chunk_id, ...) and the chunks that they name, as tables. The arms have few rows a query, so chunks
+    are picked where they are; all of them would be shuffled if the arms' size were not known."""
+    found, _ = save(arms)
+    return found, save(chunks.join(found.select("chunk_id"), "chunk_id", "left_semi"))[0]
+
+
 def overlap_scorer(queries: list[str], texts: list[str]) -> list[float]:
     """Share of the query's distinct words that the text has."""
     out = []
@@ -83,21 +91,21 @@ def retrieve(chunks: DataFrame, queries: DataFrame, index: Bm25Index | None = No
     """
     if strategy not in ("hybrid", "dense"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    texts = chunks.select("chunk_id", "content")
-    near = knn(chunks, queries, fetch_k, with_score=True)
+    near, own = knn(chunks, queries, fetch_k, with_score=True), chunks.drop("embedding", "score")
     if strategy == "hybrid":
         if index is None:
             raise ValueError("hybrid retrieval needs a BM25 index")
         lexical = bm25_topk(index, queries, fetch_k)
         # one join brings the contents of both arms, at most 2 x fetch_k rows a query
-        arms = near.select("query_id", "rank", "chunk_id", F.lit(0).alias("arm")).unionByName(lexical.select("query_id", "rank", "chunk_id", F.lit(1).alias("arm"))).join(texts, "chunk_id")
+        found, own = with_chunks(near.select("query_id", "rank", "chunk_id", F.lit(0).alias("arm")).unionByName(lexical.select("query_id", "rank", "chunk_id", F.lit(1).alias("arm"))), own)
+        arms = found.join(own.select("chunk_id", "content"), "chunk_id")
         pool = rrf(arms.where("arm = 0"), arms.where("arm = 1"))
     else:
-        pool = near.join(texts, "chunk_id").select("query_id", "rank", "content", "chunk_id", "score")
+        found, own = with_chunks(near, own)
+        pool = found.join(own.select("chunk_id", "content"), "chunk_id").select("query_id", "rank", "content", "chunk_id", "score")
     if scorer is not None:
         pool = rerank(pool.join(queries.select("query_id", "query"), "query_id"), scorer).drop("query")
-    rest = [c for c in chunks.columns if c not in ("content", "embedding", "score")]
-    return select_with_authority(pool.join(chunks.select(*rest), "chunk_id"), top_k, bonuses, authority)
+    return select_with_authority(pool.join(own.drop("content"), "chunk_id"), top_k, bonuses, authority)
 
 
 def combine_search_results(results: DataFrame) -> DataFrame:

@@ -82,6 +82,39 @@ def test_segments_are_the_index_of_what_is_left(spark, tmp_path):
     assert top(grown, 0) == top(new, 0) == top(new, 10**9)
 
 
+def test_pairs_are_summed_where_their_chunks_are_dealt(spark, tmp_path, monkeypatch):
+    texts = [" ".join(f"t{(i * j) % 13}" for j in range(1, 2 + i % 9)) for i in range(300)]
+    asked = ["t1 t2 t3 t0", "t5 t7", "t0 t1 t4 t9 t11", "nothing", "t12"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    path = str(tmp_path / "grown")
+    store_bm25_index(chunks(spark, texts), path)
+    delete_from_bm25_index(spark.range(0, 300, 3).toDF("chunk_id"), path)
+    append_to_bm25_index(chunks(spark, texts).where("chunk_id % 6 = 0"), path)
+    indexes = [build_bm25_index(chunks(spark, texts)), read_bm25_index(spark, path)]
+
+    def rows(index):
+        found = [bm25_topk(index, queries, 12, pruned_from=least).orderBy("query_id", "rank").collect() for least in (0, 10**9)]
+        return [bm25.bm25_scores(index, queries).orderBy("query_id", "chunk_id").collect(), *found]
+
+    want = [rows(index) for index in indexes]
+    assert want[0][1] == want[0][2] and want[1][1] == want[1][2]
+    monkeypatch.setattr(bm25, "PAIRS_PER_TASK", 40)
+    scores = bm25.bm25_scores(indexes[0], queries)
+    assert "hashpartitioning(query_id" not in scores._jdf.queryExecution().executedPlan().toString()
+    assert scores.rdd.getNumPartitions() >= len(want[0][0]) // 40 > 4
+    monkeypatch.setattr(bm25, "BROADCAST_ROWS", 0)  # queries and their chunks that are too many to broadcast
+    assert [rows(index) for index in indexes] == want
+
+
+def test_documents_are_not_shuffled_for_their_hits(spark, sf_dir):
+    """The best of each query are a table before documents are read for them."""
+    from ragcorpus.plans.queries import QUERIES
+
+    for name in ("hit_contexts", "rrf_fusion"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "documents.parquet" not in plan and "scratch-" in plan
+
+
 def test_bm25_ties_and_empty_corpus(spark):
     queries = spark.createDataFrame([(1, "GST registration")], "query_id long, query string")
     rows = bm25_topk(build_bm25_index(chunks(spark, TEXTS[:2])), queries, 2).collect()
