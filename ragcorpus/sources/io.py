@@ -20,6 +20,19 @@ def read_pages(spark: SparkSession, path: str, names: str = "*.html") -> DataFra
     return files.select(_site(inner), inner.alias("path"), F.substring_index("path", "/", -1).alias("filename"), F.decode("content", "UTF-8").alias("html"))
 
 
+#: Files that one task writes: making one costs as much as reading many rows, so rows alone, packed in few parts, keep few tasks busy.
+FILES_PER_TASK = 1_000
+
+
+def write_pages(pages: DataFrame, path: str, end: str = "\n") -> None:
+    """pages(site, value) as a file each with `end` behind its text, in folders of their sites below path, which is new. Pages are
+    dealt by their number, and tasks put their own files in place; else the driver would, one after the other."""
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    parts = cores * max(1, -(-pages.count() // (FILES_PER_TASK * cores)))
+    writer = pages.select("site", "value").repartition(parts, F.xxhash64("value")).write.option("maxRecordsPerFile", 1).option("lineSep", end)
+    writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("site").text(path)
+
+
 def _below(path: Column, root: str) -> Column:
     """A file's path below root, whatever the scheme that it is listed with."""
     base = root.split("://", 1)[-1].split("/", 1)[-1].strip("/") if "://" in root else root.strip("/")

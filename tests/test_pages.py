@@ -424,3 +424,12 @@ def test_batches_come_in_runs_of_few_rows():
     assert [len(p) for p in few_rows(iter([texts, texts.iloc[:0]]))] == [200, 200, 50, 0]
     runs = list(few_rows(iter([(texts, ids)])))
     assert [len(a) for a, _ in runs] == [200, 200, 50] and [n for _, b in runs for n in b] == list(range(450))
+
+
+def test_pages_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(io, "FILES_PER_TASK", 10)
+    rows = [(f"s{i % 3}.example.org", f"{i % 50}<p>page</p>") for i in range(100)]  # equal pages are two files
+    io.write_pages(spark.createDataFrame(rows, "site string, value string").coalesce(1), f"{tmp_path}/pages", "|")
+    back = io.read_pages(spark, f"{tmp_path}/pages", "part-*").collect()
+    assert sorted((r["site"].removeprefix("site="), r["html"].removesuffix("|")) for r in back) == sorted(rows)
+    assert len({r["filename"].split("-")[1] for r in back}) > 4
