@@ -106,6 +106,48 @@ def test_pairs_are_summed_where_their_chunks_are_dealt(spark, tmp_path, monkeypa
     assert [rows(index) for index in indexes] == want
 
 
+def test_blocks_are_summed_in_parts_that_follow_them(spark, tmp_path, monkeypatch):
+    texts = [" ".join(f"t{(i * j) % 97}" for j in range(1, 2 + i % 9)) for i in range(200)]
+    queries = spark.createDataFrame([(1, "t1 t2 t3 t0"), (2, "nothing"), (3, "t5 t5")], "query_id long, query string")
+
+    def grown(path):
+        store_bm25_index(chunks(spark, texts), path)
+        delete_from_bm25_index(spark.range(0, 200, 3).toDF("chunk_id"), path)
+        append_to_bm25_index(chunks(spark, texts).where("chunk_id % 6 = 0"), path)
+        return read_bm25_index(spark, path)
+
+    def rows(index):
+        found = [bm25_topk(index, queries, 12, pruned_from=least).orderBy("query_id", "rank").collect() for least in (0, 10**9)]
+        return [sorted(index.terms.collect()), sorted(index.blocks.collect()), sorted(bm25._wanted(index, queries).collect()), *found]
+
+    want = rows(grown(str(tmp_path / "whole")))
+    settings = [spark.conf.get(f"spark.sql.{name}") for name in ("files.maxPartitionBytes", "shuffle.partitions")]
+    monkeypatch.setattr(bm25, "WORDS_PER_TASK", 50)
+    monkeypatch.setattr(bm25, "BLOCK_BYTES", 1 << 16)
+    monkeypatch.setattr(bm25, "BLOCKS_PER_TASK", 40)
+    path = str(tmp_path / "parts")
+    index = grown(path)
+    assert rows(index) == want
+    # no task sums several files of postings, and the counts of terms are summed in more parts where there are more
+    own = bm25._few_at_once(spark, f"{path}/postings/segment=0", 9)
+    files = len(own.inputFiles())
+    assert files > 12 and own.rdd.getNumPartitions() == files
+    assert settings == [spark.conf.get(f"spark.sql.{name}") for name in ("files.maxPartitionBytes", "shuffle.partitions")]
+    assert index.terms.rdd.getNumPartitions() >= index.stored["blocks"].count() // 40 > 4
+    assert index.blocks.rdd.getNumPartitions() == index.terms.rdd.getNumPartitions()
+
+
+def test_only_blocks_of_wanted_terms_are_summed(spark):
+    index = build_bm25_index(chunks(spark, ["a b c", "a b", "c d e f g"]))
+    queries = spark.createDataFrame([(1, "a c zz")], "query_id long, query string")
+    wanted = bm25._wanted(index, queries)
+    for found in (wanted, bm25._bounded(index, wanted, bm25.K1, bm25.B)):
+        plan = found._jdf.queryExecution().executedPlan().toString().split("\n")
+        sums = next(i for i, line in enumerate(plan) if "partial_sum(df" in line)
+        assert "LeftSemi" in plan[sums + 1]  # before they are summed
+    assert sorted(r["term"] for r in wanted.collect()) == ["a", "c"]
+
+
 def test_documents_are_not_shuffled_for_their_hits(spark, sf_dir):
     """The best of each query are a table before documents are read for them."""
     from ragcorpus.plans.queries import QUERIES
