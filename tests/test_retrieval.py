@@ -137,6 +137,27 @@ def test_blocks_are_summed_in_parts_that_follow_them(spark, tmp_path, monkeypatc
     assert index.blocks.rdd.getNumPartitions() == index.terms.rdd.getNumPartitions()
 
 
+def test_few_stored_bytes_are_dealt_at_once(spark, tmp_path, monkeypatch):
+    """Tasks that deal postings or lists of words read few of them, also where these stand in one file, and callers keep their session."""
+    texts = [" ".join(f"t{(i * j) % 997}" for j in range(1, 60)) for i in range(1500)]
+    queries = spark.createDataFrame([(1, "t1 t2 t3 t0"), (2, "t5 t5 t996")], "query_id long, query string")
+    own = chunks(spark, texts).coalesce(1)
+    want = bm25_topk(store_bm25_index(own, str(tmp_path / "whole")), queries, 12).orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(bm25, "WORDS_PER_TASK", 5_000)
+    monkeypatch.setattr(bm25, "BLOCK_BYTES", 1 << 16)
+    index = store_bm25_index(own, str(tmp_path / "few"))
+    found = [bm25_topk(index, queries, 12, pruned_from=least).orderBy("query_id", "rank") for least in (0, 10**9)]
+    assert [x.collect() for x in found] == [want, want]
+    assert index.stored["postings"].rdd.getNumPartitions() == len(index.postings.inputFiles()) > 12
+    stored = index.stored["forward"]
+    assert len(stored.inputFiles()) == 1
+    filled = stored.groupBy(F.spark_partition_id()).count()  # a task gets no less than a group of rows
+    assert filled.count() > 2 and filled.agg(F.max("count")).first()[0] < 1000
+    wanted = bm25._wanted(index, queries)
+    for df in (*found, bm25._weights(index, wanted, bm25.K1, bm25.B, 9), bm25._exact(index, wanted.select("query_id", F.lit(3).cast("long").alias("chunk_id")), wanted, bm25.K1, bm25.B, 9)):
+        assert df.sparkSession._jsparkSession.equals(spark._jsparkSession)
+
+
 def test_only_blocks_of_wanted_terms_are_summed(spark):
     index = build_bm25_index(chunks(spark, ["a b c", "a b", "c d e f g"]))
     queries = spark.createDataFrame([(1, "a c zz")], "query_id long, query string")
