@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ragcorpus.operators import _html, _split, chunking, parse, web
-from ragcorpus.operators._batches import few_rows
+from ragcorpus.operators._batches import few_characters, few_rows
 from ragcorpus.plans import pages as plans
 from ragcorpus.sources import io, keyed
 from ragcorpus.streaming import ingest
@@ -191,6 +191,29 @@ def test_long_pages_are_split_by_their_headers(spark):
         assert [(r["route"], r["content"]) for r in rows] == [(mode, own + whole.strip()) for own in lead]
 
 
+def test_all_sections_of_a_page_are_kept(spark, tmp_path):
+    body = "".join(f"<h{1 + i % 2}>S{i}</h{1 + i % 2}><p>{'word ' * 5}{i}</p>" for i in range(130))
+    spark.createDataFrame([(1, body), (2, body * 10)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    for query, lead in ((plans.html_header_chunks, False),):
+        rows = query(spark, str(tmp_path)).orderBy("page_id", "chunk_index").collect()
+        assert [(r["page_id"], r["chunk_index"]) for r in rows] == [(1, i) for i in range(130)] + [(2, i) for i in range(1300)]
+        for r in rows:
+            i = r["chunk_index"] % 130
+            own = {f"Header {1 + i % 2}": f"S{i}"}
+            assert r["content"] == (f"S{i}\n" if lead else "") + "word " * 5 + str(i)
+            assert json.loads(r["metadata"]) == (own if lead or i % 2 == 0 else {"Header 1": f"S{i - 1}", **own})
+
+
+def test_pages_that_have_no_sections_are_kept_whole_as_text(spark, monkeypatch):
+    words = [f"w{i}" for i in range(5000)]
+    df = spark.createDataFrame([(1, " ".join(words), "text/plain")], "page_id int, html string, content_type string")
+    for mode in ("header",):
+        rows = chunking.chunk_html(df, 400, 0, mode).orderBy("chunk_index").collect()
+        assert {r["route"] for r in rows} == {"plain"} and " ".join(r["content"] for r in rows).split() == words
+    monkeypatch.setattr(_html, "read", lambda text: 1 // 0)
+    assert " ".join(c["content"] for c in chunking._html_chunks("header", "<p>", " ".join(words), 400, 0, None)).split() == words
+
+
 def test_references_without_a_semicolon_are_text():
     page = "<title>a &amp; b&amp</title><script>if (a &lt b && c) x('&amp;')</script><p title='&copy=1&amp;'>&lt;&ampfoo; &am &#38; &nosuch;&quot.</p>"
     root = _html.read(page)
@@ -426,6 +449,15 @@ def test_batches_come_in_runs_of_few_rows():
     assert [len(a) for a, _ in runs] == [200, 200, 50] and [n for _, b in runs for n in b] == list(range(450))
 
 
+def test_batches_come_in_runs_of_few_characters():
+    texts = pd.Series(["abc", None, "", "x" * 25, "y", "z" * 4, "abcdef"], dtype=object)
+    ids = pd.Series(range(len(texts)))
+    assert [list(a) for a, _ in few_characters(iter([(ids, texts)]), 1, 10)] == [[0, 1, 2], [3, 4], [5, 6]]
+    assert [len(a) for a, _ in few_characters(iter([(ids.iloc[:0], texts.iloc[:0])]), 1, 10)] == [0]
+    many = pd.Series(["t"] * 450)
+    assert [len(a) for (a,) in few_characters(iter([(many,)]), 0)] == [200, 200, 50]
+
+
 def test_pages_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(io, "FILES_PER_TASK", 10)
     rows = [(f"s{i % 3}.example.org", f"{i % 50}<p>page</p>") for i in range(100)]  # equal pages are two files
