@@ -194,7 +194,7 @@ def test_long_pages_are_split_by_their_headers(spark):
 def test_all_sections_of_a_page_are_kept(spark, tmp_path):
     body = "".join(f"<h{1 + i % 2}>S{i}</h{1 + i % 2}><p>{'word ' * 5}{i}</p>" for i in range(130))
     spark.createDataFrame([(1, body), (2, body * 10)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    for query, lead in ((plans.html_header_chunks, False),):
+    for query, lead in ((plans.html_header_chunks, False), (plans.html_section_chunks, True)):
         rows = query(spark, str(tmp_path)).orderBy("page_id", "chunk_index").collect()
         assert [(r["page_id"], r["chunk_index"]) for r in rows] == [(1, i) for i in range(130)] + [(2, i) for i in range(1300)]
         for r in rows:
@@ -207,7 +207,7 @@ def test_all_sections_of_a_page_are_kept(spark, tmp_path):
 def test_pages_that_have_no_sections_are_kept_whole_as_text(spark, monkeypatch):
     words = [f"w{i}" for i in range(5000)]
     df = spark.createDataFrame([(1, " ".join(words), "text/plain")], "page_id int, html string, content_type string")
-    for mode in ("header",):
+    for mode in ("header", "section"):
         rows = chunking.chunk_html(df, 400, 0, mode).orderBy("chunk_index").collect()
         assert {r["route"] for r in rows} == {"plain"} and " ".join(r["content"] for r in rows).split() == words
     monkeypatch.setattr(_html, "read", lambda text: 1 // 0)
